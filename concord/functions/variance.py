@@ -24,6 +24,19 @@ def as_number(c: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+# Texts up to this length travel as they are; it is one less than the length of the digest below.
+SHORT_TEXT = 63
+
+
+def short_text(c: Column) -> Column:
+    """A text, or its digest when it is long: equal texts stay equal and no text equals a digest.
+
+    What a verdict needs of a long text is whether it equals another, so the text itself need
+    not be moved.
+    """
+    return F.when(F.length(c) <= SHORT_TEXT, c).otherwise(F.sha2(c, 256))
+
+
 def same_text(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> Column:
     """Equality of the two values' own texts."""
     if a_type == b_type and not isinstance(a_type, (T.FloatType, T.DoubleType)):
@@ -37,10 +50,11 @@ def numeric_variance(a: Column, b: Column) -> Column:
     return F.when(base == 0, F.lit(0.0)).otherwise(F.abs(a - b) / base * 100.0)
 
 
-def variance_type(same: Column, a: Column, b: Column, a_number: Column, b_number: Column) -> Column:
+def variance_type(nulls: Column, same: Column, a_number: Column, b_number: Column) -> Column:
+    """Kind of variance, from the number of NULLs in the pair, text equality and the two numbers."""
     return (
-        F.when(a.isNull() & b.isNull(), EXACT_MATCH)
-        .when(a.isNull() | b.isNull(), NULL_MISMATCH)
+        F.when(nulls == 2, EXACT_MATCH)
+        .when(nulls == 1, NULL_MISMATCH)
         .when(same, EXACT_MATCH)
         .when(a_number.isNotNull() & b_number.isNotNull(), NUMERIC)
         .otherwise(TEXT)

@@ -27,13 +27,15 @@ def has_null_key(keys: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def hot_keys(p: Prepared, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(p: Prepared, hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
     """The keys with at least `hot_rows` rows on a side, or None if there are none.
 
-    A count per key over the key columns alone: counted within each task before the shuffle,
-    and only the hottest MAX_HOT_KEYS keys come back. It decides where rows are compared,
-    never which rows are.
+    Runs at once, unless `hot_rows` is None. It reads the key columns alone, counts within each
+    task before the shuffle, and brings back the hottest MAX_HOT_KEYS keys at most. The answer
+    decides where rows are compared, never which rows are.
     """
+    if hot_rows is None:
+        return None
     one, none = F.lit(1), F.lit(0)
     both = p.source.select(*p.keys, one.alias("s"), none.alias("t")).unionAll(
         p.target.select(*p.keys, none.alias("s"), one.alias("t"))
@@ -51,16 +53,15 @@ def hot_keys(p: Prepared, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     return p.source.sparkSession.createDataFrame(found, heavy.schema) if found else None
 
 
-def align(p: Prepared, hot_rows: int | None = HOT_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def align(p: Prepared, hot: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Full outer join on all keys, with presence flags and status.
 
     Rows with a NULL key have no partner and never enter the join, so they are not gathered
-    into one task. `hot_rows=None` skips the search for hot keys.
+    into one task. Keys listed in `hot` (see `hot_keys`) are split over several tasks.
     """
     null_key = has_null_key(p.keys)
     src = p.source.where(~null_key)
     tgt = p.target.where(~null_key)
-    hot = hot_keys(p, hot_rows) if hot_rows else None
 
     parts = []
     if hot is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.domain import Domain, Side
-from concord.functions import canon
+from concord.functions import canon, variance
 
 # Accepted names of a stored hash column, in order of preference.
 HASH_COLUMNS = ("record_hash", "_record_hash", "hash")
@@ -54,7 +54,11 @@ def hash_view(
 
 @dataclass(frozen=True)
 class PairColumns:
-    """Where a field pair lives in the aligned frame."""
+    """Where a field pair lives in the aligned frame.
+
+    A text field has two columns more, its short form and its number, so that counting verdicts
+    moves neither long texts nor parses them after the join.
+    """
 
     name: str
     src: str
@@ -62,6 +66,28 @@ class PairColumns:
     src_type: T.DataType
     tgt_type: T.DataType
 
+    def sides(self) -> list[tuple[str, T.DataType]]:
+        return [(self.src, self.src_type), (self.tgt, self.tgt_type)]
+
+
+def short_column(column: str) -> str:
+    return f"_short_{column}"
+
+
+def number_column(column: str) -> str:
+    return f"_number_{column}"
+
+
+def value_columns(c: Column, name: str, dtype: T.DataType) -> list[Column]:
+    """A compared column under its aligned name, with the two extra columns of a text."""
+    if not isinstance(dtype, T.StringType):
+        return [c.alias(name)]
+    return [
+        c.alias(name),
+        variance.short_text(c).alias(short_column(name)),
+        variance.as_number(c, dtype).alias(number_column(name)),
+    ]
+
 
 @dataclass(frozen=True)
 class Prepared:
@@ -100,8 +126,8 @@ def prepare(source: DataFrame, target: DataFrame, domain: Domain, use_hash_colum
             column_type(source, a.name), column_type(target, b.name),
         )
         pairs.append(p)
-        src_cols.append(source[a.name].alias(p.src))
-        tgt_cols.append(target[b.name].alias(p.tgt))
+        src_cols += value_columns(source[a.name], p.src, p.src_type)
+        tgt_cols += value_columns(target[b.name], p.tgt, p.tgt_type)
         ta, tb = canon.paired_text(
             source[a.name], p.src_type, a, target[b.name], p.tgt_type, b, domain.ignore_case
         )

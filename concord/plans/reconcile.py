@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.domain import DEFAULT_VARIANCE, Domain
 from concord.functions import canon, variance, verdict
-from concord.operators.align import HOT_ROWS, align
-from concord.operators.hashview import PairColumns, Prepared, prepare
+from concord.operators.align import HOT_ROWS, align, has_null_key, hot_keys
+from concord.operators.hashview import PairColumns, number_column, prepare, short_column
 from concord.operators.records import record_id
 from concord.plans import contracts
 from concord.plans.summary import summarize
@@ -18,24 +20,37 @@ from concord.plans.summary import summarize
 
 @dataclass(frozen=True)
 class Result:
-    """Lazy frames; nothing but the hot-key list has been computed."""
+    """Lazy frames; nothing but the hot-key list has been computed.
+
+    `rows` are the aligned rows with the extra columns of text fields (see PairColumns).
+    """
 
     domain: Domain
     source: DataFrame
     target: DataFrame
     keys: list[str]
     pairs: list[PairColumns]
-    aligned: DataFrame
+    rows: DataFrame
+
+    @property
+    def aligned(self) -> DataFrame:
+        """Every joined pair and one-sided row, with hashes, compared columns and status."""
+        return without_extras(self.rows)
 
     @property
     def judged(self) -> DataFrame:
-        """Every aligned row with its variance columns and verdicts."""
-        return judge(self.aligned, self.pairs, self.domain)
+        """Every aligned row with its field counts and verdicts.
+
+        Texts are compared in their short form: unless the caller selects the compared columns,
+        no long text is moved.
+        """
+        return without_extras(judge(self.rows, self.pairs, self.domain, short=True))
 
     @property
     def discrepancies(self) -> DataFrame:
         """Rows that do not match, with type, details, verdicts and the list of variances."""
-        return describe(self.judged.where(F.col("status") != verdict.MATCH), self.keys, self.pairs)
+        judged = judge(self.rows, self.pairs, self.domain)
+        return without_extras(describe(judged.where(F.col("status") != verdict.MATCH), self.keys, self.pairs))
 
     @property
     def summary(self) -> DataFrame:
@@ -46,16 +61,24 @@ class Result:
         """The same result with the aligned rows written to the checkpoint folder.
 
         Worth it when both the summary and the discrepancies are wanted: the join then runs
-        once, and a lost executor does not bring it back. The folder is the session's
-        `spark.checkpoint.dir`, or one set on the context before.
+        once, and a lost executor does not bring it back.
         """
-        spark = self.aligned.sparkSession
-        if spark.sparkContext.getCheckpointDir() is None:
-            folder = spark.conf.get("spark.checkpoint.dir", None)
-            if not folder:
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            spark.sparkContext.setCheckpointDir(folder)
-        return replace(self, aligned=self.aligned.checkpoint())
+        sc = self.rows.sparkSession.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(shared_folder(self.rows.sparkSession))
+        return replace(self, rows=self.rows.checkpoint())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return folder
+
+
+def without_extras(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def reconcile(
@@ -72,27 +95,63 @@ def reconcile(
     rows from which a key is split over several tasks; None skips the search for such keys.
     """
     contracts.require(source, target, domain, use_hash_column)
-    p: Prepared = prepare(source, target, domain, use_hash_column)
-    return Result(domain, source, target, p.keys, p.pairs, align(p, hot_rows))
+    p = prepare(source, target, domain, use_hash_column)
+    return Result(domain, source, target, p.keys, p.pairs, align(p, hot_keys(p, hot_rows)))
 
 
-def judge(aligned: DataFrame, pairs: list[PairColumns], domain: Domain) -> DataFrame:
-    """Add per-pair variance columns (mismatches only), field counts and both verdicts."""
+def rare_discrepancies(
+    source: DataFrame,
+    target: DataFrame,
+    domain: Domain,
+    *,
+    folder: str | None = None,
+    use_hash_column: bool = False,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """The discrepancies, for wide rows that mostly match.
+
+    Keys and hashes alone are aligned first, and the keys that do not match everywhere are written
+    to the shared folder. Only rows of those keys then take part in the comparison of fields.
+    Spark joins them by the written size: broadcast when small, shuffled otherwise. Costs a second
+    read of both sides, and spares the shuffle of every matching row's fields.
+    """
+    contracts.require(source, target, domain, use_hash_column)
+    p = prepare(source, target, domain, use_hash_column)
+    hot = hot_keys(p, hot_rows)
+    thin = replace(p, source=p.source.select(*p.keys, "src_hash"), target=p.target.select(*p.keys, "tgt_hash"))
+    odd = align(thin, hot).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
+    path = f"{folder or shared_folder(source.sparkSession)}/odd-keys-{uuid.uuid4()}"
+    odd.select(*p.keys).distinct().write.parquet(path)
+    keys = source.sparkSession.read.parquet(path)
+
+    def picked(df: DataFrame) -> DataFrame:
+        return df.join(keys, p.keys, "left_semi").unionAll(df.where(has_null_key(p.keys)))
+
+    q = replace(p, source=picked(p.source), target=picked(p.target))
+    return Result(domain, source, target, p.keys, p.pairs, align(q, hot)).discrepancies
+
+
+def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool = False) -> DataFrame:
+    """Add per-pair variance columns (mismatches only), field counts and both verdicts.
+
+    `short` compares texts by their short form instead of in full.
+    """
     mismatch = F.col("status") == verdict.MISMATCH
     measured = {}
     for i, p in enumerate(pairs):
-        a, b = F.col(p.src), F.col(p.tgt)
+        (a, a_number), (b, b_number) = [_value(name, dtype, short) for name, dtype in p.sides()]
         measured[f"_same_{i}"] = F.when(mismatch, variance.same_text(a, p.src_type, b, p.tgt_type))
-        measured[f"_src_{i}"] = F.when(mismatch, variance.as_number(a, p.src_type))
-        measured[f"_tgt_{i}"] = F.when(mismatch, variance.as_number(b, p.tgt_type))
+        measured[f"_null_{i}"] = F.when(mismatch, a.isNull().cast("int") + b.isNull().cast("int"))
+        measured[f"_src_{i}"] = F.when(mismatch, a_number)
+        measured[f"_tgt_{i}"] = F.when(mismatch, b_number)
     kinds = {
         f"_type_{i}": F.when(
             mismatch,
             variance.variance_type(
-                F.col(f"_same_{i}"), F.col(p.src), F.col(p.tgt), F.col(f"_src_{i}"), F.col(f"_tgt_{i}")
+                F.col(f"_null_{i}"), F.col(f"_same_{i}"), F.col(f"_src_{i}"), F.col(f"_tgt_{i}")
             ),
         )
-        for i, p in enumerate(pairs)
+        for i in range(len(pairs))
     }
     pcts = {
         f"_pct_{i}": variance.variance_pct(F.col(f"_type_{i}"), F.col(f"_src_{i}"), F.col(f"_tgt_{i}"))
@@ -102,7 +161,7 @@ def judge(aligned: DataFrame, pairs: list[PairColumns], domain: Domain) -> DataF
     total = len(pairs)
     status = F.col("status")
     return (
-        aligned.withColumns(measured)
+        rows.withColumns(measured)
         .withColumns(kinds)
         .withColumns(pcts)
         .drop(*measured)
@@ -130,6 +189,13 @@ def judge(aligned: DataFrame, pairs: list[PairColumns], domain: Domain) -> DataF
     )
 
 
+def _value(name: str, dtype: T.DataType, short: bool) -> tuple[Column, Column]:
+    """A compared column, or its short form, and its number."""
+    if short and isinstance(dtype, T.StringType):
+        return F.col(short_column(name)), F.col(number_column(name))
+    return F.col(name), variance.as_number(F.col(name), dtype)
+
+
 def describe(judged: DataFrame, keys: list[str], pairs: list[PairColumns]) -> DataFrame:
     """Add record id, discrepancy type, details and the variances as one list per row."""
     variances = F.array(
@@ -145,7 +211,6 @@ def describe(judged: DataFrame, keys: list[str], pairs: list[PairColumns]) -> Da
         ]
     )
     mismatch = F.col("status") == verdict.MISMATCH
-    inner = [c for c in judged.columns if c.startswith(("_pct_", "_type_"))]
     return judged.withColumns(
         {
             "record_id": record_id(keys),
@@ -153,7 +218,7 @@ def describe(judged: DataFrame, keys: list[str], pairs: list[PairColumns]) -> Da
             "details": verdict.lookup(F.col("status"), verdict.DETAILS),
             "variances": F.when(mismatch, variances).otherwise(F.filter(variances, lambda _: F.lit(False))),
         }
-    ).drop(*inner)
+    )
 
 
 def field_variances(discrepancies: DataFrame, keys: list[str]) -> DataFrame:
