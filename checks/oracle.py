@@ -260,6 +260,10 @@ SELECT k_1, k_2, coalesce(min(sc.n), 0) AS source_rows, coalesce(min(tc.n), 0) A
 FROM j LEFT JOIN sc ON sc.k = k_1 AND sc.k2 = k_2 LEFT JOIN tc ON tc.k = k_1 AND tc.k2 = k_2
 GROUP BY k_1, k_2""",
     "composite_key_summary": summary(LINEITEMS, 3, "lineitems", **LINE_KEYS),
+    "match_counts": f"""
+SELECT domain, total_source, total_target, matched, mismatched, source_only, target_only, match_pct,
+       total_discrepancies
+FROM ({summary(LINEITEMS, 3, "lineitems", **LINE_KEYS)})""",
     "cross_type_key_status": aligned(CUSTOMERS, 4, **CUSTOMER_KEYS)
     + "\nSELECT k_1, s3 AS src_c_acctbal, t3 AS tgt_balance, status FROM j",
     "null_key_status": aligned(NULL_KEYS, 4)

@@ -18,7 +18,7 @@ from concord.operators.hashview import prepare
 from concord.operators.records import field_names, get_field, record
 from concord.plans import contracts, report
 from concord.plans.reconcile import field_variances
-from concord.plans.summary import breakdown, text_line, union_summaries
+from concord.plans.summary import breakdown, count_statuses, text_line, union_summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,11 @@ def composite_key_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prepare(pairs.lineitems(spark, sf_dir), pairs.lineitems_copy(spark, sf_dir), pairs.lineitems_domain())
+    return count_statuses(key_tally(p), pairs.lineitems_domain())
+
+
 def composite_key_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(
         pairs.lineitems(spark, sf_dir), pairs.lineitems_copy(spark, sf_dir), pairs.lineitems_domain()
@@ -343,6 +348,7 @@ QUERIES: dict[str, Query] = {
     "composite_key_status": composite_key_status,
     "composite_key_tally": composite_key_tally,
     "composite_key_summary": composite_key_summary,
+    "match_counts": match_counts,
     "cross_type_key_status": cross_type_key_status,
     "null_key_status": null_key_status,
     "missing_either_way": missing_either_way,

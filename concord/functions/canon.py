@@ -118,7 +118,11 @@ def family_text(
     """
     if family in ("string", "text", "binary", "uuid"):
         return to_family(c, dtype, family)
-    value = to_family(c, dtype, family, scale)
+    digits = {"decimal": scale, "float": FRACTION_DIGITS}.get(family)
+    if isinstance(dtype, T.DecimalType) and dtype.scale == digits:
+        value = c
+    else:
+        value = to_family(c, dtype, family, scale)
     if profile == "oracle" and family in DATETIME_FAMILIES:
         text = F.date_format(value, ORACLE_TIME_FORMAT)
     else:

@@ -1,4 +1,7 @@
-"""How far apart the two values of a field pair are."""
+"""How far apart the two values of a field pair are.
+
+The expressions over a pair's intermediate columns are given by column name and written as SQL.
+"""
 
 from __future__ import annotations
 
@@ -14,17 +17,7 @@ NULL_MISMATCH = "NULL_MISMATCH"
 NUMERIC = "NUMERIC"
 TEXT = "TEXT"
 
-
-def as_number(c: Column, dtype: T.DataType) -> Column:
-    """The value as a double, NULL when its text is not a number."""
-    if isinstance(dtype, (T.IntegralType, T.DecimalType, T.DoubleType)):
-        return c.cast("double")
-    if isinstance(dtype, (T.StringType, T.FloatType)):
-        return raw_text(c, dtype).try_cast("double")
-    return F.lit(None).cast("double")
-
-
-# Texts up to this length travel as they are; it is one less than the length of the digest below.
+# Texts up to this length travel as they are; it is one less than the length of a digest.
 SHORT_TEXT = 63
 
 
@@ -37,6 +30,33 @@ def short_text(c: Column) -> Column:
     return F.when(F.length(c) <= SHORT_TEXT, c).otherwise(F.sha2(c, 256))
 
 
+# The texts that read as a double, decimal or hexadecimal.
+DECIMAL_DIGITS = r"(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+HEX_DIGITS = r"0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+"
+NAMED_NUMBERS = r"(?i:nan|inf|infinity)"
+NUMBER = rf"^[\x00-\x20]*[+-]?({NAMED_NUMBERS}|({DECIMAL_DIGITS}|{HEX_DIGITS})[fFdD]?)[\x00-\x20]*$"
+
+
+def text_number(text: Column) -> Column:
+    """A text as a double, NULL when it is not a number.
+
+    The pattern comes first because a failing cast is some hundred times slower than a
+    failing match.
+    """
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def as_number(c: Column, dtype: T.DataType) -> Column:
+    """The value as a double, NULL when its text is not a number."""
+    if isinstance(dtype, (T.IntegralType, T.DecimalType, T.DoubleType)):
+        return c.cast("double")
+    if isinstance(dtype, T.FloatType):
+        return raw_text(c, dtype).cast("double")
+    if isinstance(dtype, T.StringType):
+        return text_number(c)
+    return F.lit(None).cast("double")
+
+
 def same_text(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> Column:
     """Equality of the two values' own texts."""
     if a_type == b_type and not isinstance(a_type, (T.FloatType, T.DoubleType)):
@@ -44,32 +64,33 @@ def same_text(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> C
     return raw_text(a, a_type) == raw_text(b, b_type)
 
 
-def numeric_variance(a: Column, b: Column) -> Column:
-    """Distance in percent of the source value, or of the target value when the source is zero."""
-    base = F.abs(F.when(a == 0, b).otherwise(a))
-    return F.when(base == 0, F.lit(0.0)).otherwise(F.abs(a - b) / base * 100.0)
-
-
-def variance_type(nulls: Column, same: Column, a_number: Column, b_number: Column) -> Column:
+def variance_type(nulls: str, same: str, a_number: str, b_number: str) -> Column:
     """Kind of variance, from the number of NULLs in the pair, text equality and the two numbers."""
-    return (
-        F.when(nulls == 2, EXACT_MATCH)
-        .when(nulls == 1, NULL_MISMATCH)
-        .when(same, EXACT_MATCH)
-        .when(a_number.isNotNull() & b_number.isNotNull(), NUMERIC)
-        .otherwise(TEXT)
+    return F.expr(
+        f"""CASE WHEN {nulls} = 2 THEN '{EXACT_MATCH}'
+                 WHEN {nulls} = 1 THEN '{NULL_MISMATCH}'
+                 WHEN {same} THEN '{EXACT_MATCH}'
+                 WHEN {a_number} IS NOT NULL AND {b_number} IS NOT NULL THEN '{NUMERIC}'
+                 WHEN {nulls} = 0 THEN '{TEXT}' END"""
     )
 
 
-def variance_pct(kind: Column, a_number: Column, b_number: Column) -> Column:
-    """Percentage for a variance type; NULL for TEXT."""
-    return (
-        F.when(kind == EXACT_MATCH, F.lit(0.0))
-        .when(kind == NULL_MISMATCH, F.lit(100.0))
-        .when(kind == NUMERIC, numeric_variance(a_number, b_number))
+def variance_pct(kind: str, a_number: str, b_number: str) -> Column:
+    """Percentage for a variance type; NULL for TEXT.
+
+    Numbers differ in percent of the source value, or of the target value when the source is zero.
+    """
+    base = f"abs(if({a_number} = 0, {b_number}, {a_number}))"
+    return F.expr(
+        f"""CASE {kind} WHEN '{EXACT_MATCH}' THEN 0D
+                        WHEN '{NULL_MISMATCH}' THEN 100D
+                        WHEN '{NUMERIC}' THEN if({base} = 0, 0D, abs({a_number} - {b_number}) / {base} * 100D) END"""
     )
 
 
-def exceeds(pct: Column, threshold: float) -> Column:
-    """Strictly above the threshold; never for NULL or NaN (Spark would order NaN above everything)."""
-    return F.coalesce((pct > threshold) & ~F.isnan(pct), F.lit(False))
+def exceeds(pct: str, threshold: float) -> str:
+    """Condition: strictly above the threshold, and not NaN, which Spark orders above everything.
+
+    NULL for a NULL percentage, which an `if` takes for not exceeding.
+    """
+    return f"({pct} > {float(threshold)!r}D AND NOT isnan({pct}))"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,46 +59,43 @@ def status(src_present: Column, tgt_present: Column, src_hash: Column, tgt_hash:
     )
 
 
-def fields_within(pcts: Sequence[Column], threshold: float) -> Column:
+def fields_within(pcts: Sequence[str], threshold: float) -> Column:
     """Number of pairs that do not exceed the threshold."""
-    within = [F.when(exceeds(p, threshold), 0).otherwise(1) for p in pcts]
-    return reduce(lambda a, b: a + b, within, F.lit(0))
+    return F.expr(" + ".join(f"if({exceeds(p, threshold)}, 0, 1)" for p in pcts) or "0")
 
 
-def fields_exceeding(pcts: Sequence[Column], threshold: float = DEFAULT_VARIANCE) -> Column:
-    over = [F.when(exceeds(p, threshold), 1).otherwise(0) for p in pcts]
-    return reduce(lambda a, b: a + b, over, F.lit(0))
+def fields_exceeding(pcts: Sequence[str], threshold: float = DEFAULT_VARIANCE) -> Column:
+    return F.expr(" + ".join(f"if({exceeds(p, threshold)}, 1, 0)" for p in pcts) or "0")
 
 
-def field_match_pct(matching: Column, total: int) -> Column:
-    return matching / F.lit(float(total)) * 100.0 if total else F.lit(0.0)
+def field_match_pct(matching: str, total: int) -> Column:
+    return F.expr(f"{matching} / {float(total)!r}D * 100D" if total else "0D")
 
 
-def largest(pcts: Sequence[Column]) -> Column:
+def largest(pcts: Sequence[str]) -> Column:
     """Largest percentage, NULLs ignored; NULL when there is none."""
     if not pcts:
         return F.lit(None).cast("double")
-    return pcts[0] if len(pcts) == 1 else F.greatest(*pcts)
+    return F.col(pcts[0]) if len(pcts) == 1 else F.greatest(*pcts)
 
 
-def slo_verdict(row_status: Column, match_pct: Column, slo_target: float) -> Column:
+def slo_verdict(slo_target: float) -> Column:
     """The verdict that drives the counts: share of fields within the threshold against the target."""
-    return (
-        F.when(row_status == MATCH, PRISTINE)
-        .when((row_status == MISMATCH) & (match_pct >= slo_target), NOISY)
-        .otherwise(MATERIAL)
+    return F.expr(
+        f"""CASE WHEN status = '{MATCH}' THEN '{PRISTINE}'
+                 WHEN status = '{MISMATCH}' AND field_match_pct >= {float(slo_target)!r}D THEN '{NOISY}'
+                 ELSE '{MATERIAL}' END"""
     )
 
 
-def strict_verdict(
-    row_status: Column, src_hash: Column, tgt_hash: Column, exceeding: Column, total: int
-) -> Column:
+def strict_verdict(total: int) -> Column:
     """Any field over the default threshold is material, whatever the domain's own thresholds.
 
     Two missing hashes count as equal here, though the row's status is MISMATCH.
     """
-    empty = F.lit("")
-    paired = row_status.isin(MATCH, MISMATCH)
-    equal = F.coalesce(src_hash, empty) == F.coalesce(tgt_hash, empty)
-    quiet = paired & (exceeding == 0) if total else F.lit(False)
-    return F.when(paired & equal, PRISTINE).when(quiet, NOISY).otherwise(MATERIAL)
+    paired = f"status IN ('{MATCH}', '{MISMATCH}')"
+    quiet = f"{paired} AND excessive_fields = 0" if total else "false"
+    return F.expr(
+        f"""CASE WHEN {paired} AND coalesce(src_hash, '') = coalesce(tgt_hash, '') THEN '{PRISTINE}'
+                 WHEN {quiet} THEN '{NOISY}' ELSE '{MATERIAL}' END"""
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.domain import DATETIME_FAMILIES, NUMERIC_FAMILIES, Domain, Field, Side
-from concord.functions import canon
+from concord.functions import canon, variance
 from concord.operators.hashview import HASH_COLUMNS, column_type, find_hash_column
 
 
@@ -146,7 +146,8 @@ def _fits(c: Column, df: DataFrame, f: Field) -> Column:
     text = canon.raw_text(c, column_type(df, f.name))
     if family == "uuid":
         return text.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
-    return text.try_cast(SPARK_TYPE[f.type]).isNotNull()
+    fits = text.try_cast(SPARK_TYPE[f.type]).isNotNull()
+    return text.rlike(variance.NUMBER) & fits if f.is_numeric() else fits
 
 
 # The Spark type a declared type is checked against.

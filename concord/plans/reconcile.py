@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.domain import DEFAULT_VARIANCE, Domain
+from concord.domain import Domain
 from concord.functions import canon, variance, verdict
-from concord.operators.align import HOT_ROWS, align, has_null_key, hot_keys
-from concord.operators.hashview import PairColumns, number_column, prepare, short_column
+from concord.operators.align import HOT_ROWS, align, has_null_key, hot_keys, key_tally
+from concord.operators.hashview import PairColumns, Prepared, number_column, prepare, short_column
 from concord.operators.records import record_id
 from concord.plans import contracts
-from concord.plans.summary import summarize
+from concord.plans.summary import count_statuses, summarize
 
 
 @dataclass(frozen=True)
@@ -28,10 +28,17 @@ class Result:
     domain: Domain
     source: DataFrame
     target: DataFrame
-    keys: list[str]
-    pairs: list[PairColumns]
+    prepared: Prepared
     rows: DataFrame
 
+    @property
+    def keys(self) -> list[str]:
+        return self.prepared.keys
+
+    @property
+    def pairs(self) -> list[PairColumns]:
+        return self.prepared.pairs
+
     @property
     def aligned(self) -> DataFrame:
         """Every joined pair and one-sided row, with hashes, compared columns and status."""
@@ -57,6 +64,16 @@ class Result:
         """One row of counts and gates."""
         return summarize(self.judged, self.source, self.target, self.domain)
 
+    @property
+    def key_counts(self) -> DataFrame:
+        """Rows and pairs per key, counted without joining."""
+        return key_tally(self.prepared)
+
+    @property
+    def match_counts(self) -> DataFrame:
+        """One row of totals, status counts and match percentage, counted without joining."""
+        return count_statuses(self.key_counts, self.domain)
+
     def checkpointed(self) -> "Result":
         """The same result with the aligned rows written to the checkpoint folder.
 
@@ -96,7 +113,7 @@ def reconcile(
     """
     contracts.require(source, target, domain, use_hash_column)
     p = prepare(source, target, domain, use_hash_column)
-    return Result(domain, source, target, p.keys, p.pairs, align(p, hot_keys(p, hot_rows)))
+    return Result(domain, source, target, p, align(p, hot_keys(p, hot_rows)))
 
 
 def rare_discrepancies(
@@ -128,7 +145,7 @@ def rare_discrepancies(
         return df.join(keys, p.keys, "left_semi").unionAll(df.where(has_null_key(p.keys)))
 
     q = replace(p, source=picked(p.source), target=picked(p.target))
-    return Result(domain, source, target, p.keys, p.pairs, align(q, hot)).discrepancies
+    return Result(domain, source, target, q, align(q, hot)).discrepancies
 
 
 def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool = False) -> DataFrame:
@@ -144,47 +161,29 @@ def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool
         measured[f"_null_{i}"] = F.when(mismatch, a.isNull().cast("int") + b.isNull().cast("int"))
         measured[f"_src_{i}"] = F.when(mismatch, a_number)
         measured[f"_tgt_{i}"] = F.when(mismatch, b_number)
+    n = range(len(pairs))
     kinds = {
-        f"_type_{i}": F.when(
-            mismatch,
-            variance.variance_type(
-                F.col(f"_null_{i}"), F.col(f"_same_{i}"), F.col(f"_src_{i}"), F.col(f"_tgt_{i}")
-            ),
-        )
-        for i in range(len(pairs))
-    }
-    pcts = {
-        f"_pct_{i}": variance.variance_pct(F.col(f"_type_{i}"), F.col(f"_src_{i}"), F.col(f"_tgt_{i}"))
-        for i in range(len(pairs))
+        f"_type_{i}": variance.variance_type(f"_null_{i}", f"_same_{i}", f"_src_{i}", f"_tgt_{i}") for i in n
     }
-    pct_cols = [F.col(c) for c in pcts]
+    pcts = {f"_pct_{i}": variance.variance_pct(f"_type_{i}", f"_src_{i}", f"_tgt_{i}") for i in n}
     total = len(pairs)
-    status = F.col("status")
     return (
         rows.withColumns(measured)
         .withColumns(kinds)
         .withColumns(pcts)
-        .drop(*measured)
         .withColumns(
             {
                 "total_fields": F.when(mismatch, F.lit(total)).otherwise(0),
                 "matching_fields": F.when(
-                    mismatch, verdict.fields_within(pct_cols, domain.variance_threshold)
+                    mismatch, verdict.fields_within(list(pcts), domain.variance_threshold)
                 ).otherwise(0),
-                "excessive_fields": F.when(
-                    mismatch, verdict.fields_exceeding(pct_cols, DEFAULT_VARIANCE)
-                ).otherwise(0),
-                "max_variance": F.when(mismatch, verdict.largest(pct_cols)),
+                "excessive_fields": F.when(mismatch, verdict.fields_exceeding(list(pcts))).otherwise(0),
+                "max_variance": F.when(mismatch, verdict.largest(list(pcts))),
             }
         )
-        .withColumn("field_match_pct", verdict.field_match_pct(F.col("matching_fields"), total))
+        .withColumn("field_match_pct", verdict.field_match_pct("matching_fields", total))
         .withColumns(
-            {
-                "verdict": verdict.slo_verdict(status, F.col("field_match_pct"), domain.slo_target),
-                "strict_verdict": verdict.strict_verdict(
-                    status, F.col("src_hash"), F.col("tgt_hash"), F.col("excessive_fields"), total
-                ),
-            }
+            {"verdict": verdict.slo_verdict(domain.slo_target), "strict_verdict": verdict.strict_verdict(total)}
         )
     )
 

@@ -15,10 +15,9 @@ from concord.functions import verdict
 ACCEPTABLE_PCT = 99.0
 APPROVAL_PCT = 95.0
 
-COUNTS = (
-    "total_source", "total_target", "matched", "mismatched", "source_only", "target_only",
-    "pristine", "noisy", "material",
-)
+STATUS_COUNTS = ("total_source", "total_target", "matched", "mismatched", "source_only", "target_only")
+COUNTS = (*STATUS_COUNTS, "pristine", "noisy", "material")
+DISCREPANCIES = "mismatched + source_only + target_only"
 
 
 def summarize(judged: DataFrame, source: DataFrame, target: DataFrame, domain: Domain) -> DataFrame:
@@ -42,12 +41,28 @@ def summarize(judged: DataFrame, source: DataFrame, target: DataFrame, domain: D
         target.agg(F.count("*").alias("total_target")),
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    totals = stacked.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+    totals = stacked.agg(*[F.expr(f"coalesce(sum({c}), 0)").alias(c) for c in COUNTS])
     return gates(totals.select(F.lit(domain.name).alias("domain"), *COUNTS))
 
 
 def _copies(column: str, value: str) -> Column:
-    return F.sum(F.when(F.col(column) == value, F.col("copies")).otherwise(0))
+    return F.expr(f"sum(if({column} = '{value}', copies, 0))")
+
+
+def count_statuses(tally: DataFrame, domain: Domain) -> DataFrame:
+    """One row of totals, status counts and match percentage from the counts per key.
+
+    No pair is formed, so repeated keys cost nothing extra; verdicts need the pairs and are
+    left to `summarize`.
+    """
+    source = {"total_source": "source_rows", "total_target": "target_rows"}
+    counts = [F.expr(f"coalesce(sum({source.get(c, c)}), 0)").alias(c) for c in STATUS_COUNTS]
+    pct = match_pct(F.col("matched"), F.col("total_source"), F.col("total_target"))
+    return (
+        tally.agg(*counts)
+        .select(F.lit(domain.name).alias("domain"), *STATUS_COUNTS)
+        .withColumns({"match_pct": pct, "total_discrepancies": F.expr(DISCREPANCIES)})
+    )
 
 
 def match_pct(matched: Column, total_source: Column, total_target: Column) -> Column:
@@ -60,10 +75,10 @@ def gates(counts: DataFrame) -> DataFrame:
     pct = match_pct(F.col("matched"), F.col("total_source"), F.col("total_target"))
     return counts.withColumn("match_pct", pct).withColumns(
         {
-            "total_discrepancies": F.col("mismatched") + F.col("source_only") + F.col("target_only"),
-            "passed": F.col("material") == 0,
+            "total_discrepancies": F.expr(DISCREPANCIES),
+            "passed": F.expr("material = 0"),
             "acceptable": F.col("match_pct") >= ACCEPTABLE_PCT,
-            "needs_approval": (F.col("material") > 0) | (F.col("match_pct") < APPROVAL_PCT),
+            "needs_approval": F.expr(f"material > 0 OR match_pct < {APPROVAL_PCT}"),
         }
     )
 

@@ -48,7 +48,7 @@ def test_one_key_holds_a_third_of_both_sides(spark, cell_rows):
     hot = hot_keys(p, 40)
     assert 5 in {row["k_1"] for row in hot.collect()}
     rows = align(p, hot, cell_rows)
-    r = Result(d, p.source, p.target, p.keys, p.pairs, rows)
+    r = Result(d, p.source, p.target, p, rows)
     assert counted(r.judged) == brute_force(src, tgt)
     # Copies are counted, not repeated: one line per pair of distinct rows.
     of_key = rows.where("k_1 = 5")
@@ -73,7 +73,7 @@ def test_hot_key_against_a_single_row(spark):
     tgt = [(1, Decimal(5), "n"), (3, Decimal(1), "n")]
     d = domain()
     p = prepare(frame(spark, src), frame(spark, tgt), d)
-    r = Result(d, p.source, p.target, p.keys, p.pairs, align(p, hot_keys(p, 100), cell_rows=10))
+    r = Result(d, p.source, p.target, p, align(p, hot_keys(p, 100), cell_rows=10))
     assert counted(r.judged) == brute_force(src, tgt)
 
 

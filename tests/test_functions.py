@@ -149,7 +149,8 @@ def test_nan_does_not_exceed(spark):
 
 @pytest.mark.parametrize(("pct", "over"), [(0.99, False), (0.999, False), (1.0, False), (1.001, True), (1.01, True)])
 def test_threshold_is_strict(spark, pct, over):
-    assert spark.range(1).select(variance.exceeds(F.lit(pct), 1.0)).first()[0] is over
+    df = spark.createDataFrame([(pct,)], "p double")
+    assert df.select(F.expr(variance.exceeds("p", 1.0))).first()[0] is over
 
 
 def test_double_texts_keep_their_sign(spark):
