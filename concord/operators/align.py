@@ -20,7 +20,7 @@ HOT_ROWS = 10_000
 # At most this many keys are split; keys beyond it take the ordinary join.
 MAX_HOT_KEYS = 10_000
 # Distinct rows of one key, per side, that one task compares.
-CELL_ROWS = 5_000
+CELL_ROWS = 2_000
 
 
 def has_null_key(keys: list[str]) -> Column:

@@ -130,7 +130,8 @@ def rare_discrepancies(
     Keys and hashes alone are aligned first, and the keys that do not match everywhere are written
     to the shared folder. Only rows of those keys then take part in the comparison of fields.
     Spark joins them by the written size: broadcast when small, shuffled otherwise. Costs a second
-    read of both sides, and spares the shuffle of every matching row's fields.
+    read of both sides, and spares the shuffle of every matching row's fields. The written keys
+    are read again by every action on the result; clearing them away is left to the caller.
     """
     contracts.require(source, target, domain, use_hash_column)
     p = prepare(source, target, domain, use_hash_column)

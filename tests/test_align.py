@@ -86,7 +86,7 @@ def test_copies_of_one_row_are_counted_before_they_meet(spark):
     assert (s["matched"], s["mismatched"], s["total_source"], s["total_target"]) == (60_000, 300, 300, 201)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(data=st.data())
 def test_any_pair(spark, data):
     row = st.tuples(st.sampled_from([None, 1, 2, 3]), st.sampled_from(AMOUNTS), st.sampled_from(NOTES))

@@ -140,6 +140,19 @@ def test_variance_cases(spark, a, b, kind, pct, over):
     assert row["strict_verdict"] == ("MATERIAL" if over else "NOISY")
 
 
+def test_number_pattern_lets_every_number_through(spark):
+    """The pattern only spares failing casts: with and without it the result is the same."""
+    texts = [
+        "1", "+1", "-1.5", "1.", ".5", ".", "", " ", "1e3", "1E-3", "1e", "1f", "1.0d", "1L", "0x1p3", "0x1.8P1", "0x10",
+        "0x.8p0f", "NaN", "nan", "-NaN", "inf", "-INF", "Infinity", "+infinity", "infinit", " 1 ", "\t2\n", "1 2", "1,000",
+        "12 Main St", "abc", "1_000", "٣", "--1", "+-1", "1e3e3", "1..2", "true", "2024-01-01",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", variance.text_number(F.col("t")).alias("a"), F.col("t").try_cast("double").alias("b")).collect()
+    assert [(r["t"], str(r["a"])) for r in rows] == [(r["t"], str(r["b"])) for r in rows]
+    assert sum(r["a"] is not None for r in rows) >= 20
+
+
 def test_nan_does_not_exceed(spark):
     row = verdict_of(spark, "NaN", "5")
     assert row["variances"][0]["variance_type"] == "NUMERIC"

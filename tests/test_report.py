@@ -85,7 +85,7 @@ def pages(df, size):
         last = rows[-1]
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 100])
+@pytest.mark.parametrize("size", [2, 100])
 def test_pages_hold_everything(spark, size):
     src = [*SRC, (None, Decimal(1), "x"), (None, Decimal(1), "x"), (2, Decimal("100.00"), "z"), (2, Decimal("100.00"), "z")]
     d = reconcile(frame(spark, src), frame(spark, TGT), domain()).discrepancies

@@ -23,7 +23,7 @@ def invoice(n, amount, line, created=datetime(2024, 1, 15)):
 def invoices():
     fields = (Field("vendor_name"), Field("amount", "DECIMAL"), Field("line_item_id"))
     side = Side("vendor_invoices", (Field("id"),), fields, schema="finance", view_suffix="_with_hash")
-    return Domain("vendor-reconciliation", side, side)
+    return Domain("vendor-invoices", side, side)
 
 
 @pytest.mark.parametrize(
