@@ -40,7 +40,7 @@ tgt AS (
 
 LINEITEMS = """
 src AS (
-  SELECT l_orderkey AS k, l_linenumber AS k2, l_partkey AS f1,
+  SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS k2, l_partkey AS f1,
          CAST(l_extendedprice AS DECIMAL(19,4)) AS f2, l_returnflag AS f3
   FROM lineitem),
 tgt AS (

@@ -310,11 +310,13 @@ def discrepancy_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scope
 
 
-def _scoped(restrict: Callable[[DataFrame], DataFrame]) -> Query:
+def _scoped(field: str, restrict: Callable[[DataFrame, str], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = reconcile(
-            restrict(pairs.orders(spark, sf_dir)), restrict(pairs.orders_copy(spark, sf_dir)), pairs.orders_domain()
+        domain = pairs.orders_domain()
+        src, tgt = scope.both_sides(
+            pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), domain, field, restrict
         )
+        r = reconcile(src, tgt, domain)
         return r.aligned.select("k_1", "src_hash", "tgt_hash", "status")
 
     return query
@@ -376,9 +378,9 @@ QUERIES: dict[str, Query] = {
     "high_variance": _listed(lambda d: listing.high_variance(d, 5.0)),
     "discrepancy_report": discrepancy_report,
     "discrepancy_page": discrepancy_page,
-    "scope_period": _scoped(lambda d: scope.period(d, "o_orderdate", "1996-09-17")),
-    "scope_entity": _scoped(lambda d: scope.entity(d, "o_custkey", 605)),
-    "scope_range": _scoped(lambda d: scope.date_range(d, "o_orderdate", "1996-01-01", "1997-12-31")),
+    "scope_period": _scoped("o_orderdate", lambda df, c: scope.period(df, c, "1996-09-17")),
+    "scope_entity": _scoped("o_custkey", lambda df, c: scope.entity(df, c, 605)),
+    "scope_range": _scoped("o_orderdate", lambda df, c: scope.date_range(df, c, "1996-01-01", "1997-12-31")),
     "key_audit": key_audit,
     "type_conformance": type_conformance,
 }

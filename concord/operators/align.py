@@ -20,7 +20,7 @@ HOT_ROWS = 10_000
 # At most this many keys are split; keys beyond it take the ordinary join.
 MAX_HOT_KEYS = 10_000
 # Distinct rows of one key, per side, that one task compares.
-CELL_ROWS = 2_000
+CELL_ROWS = 1_000
 
 
 def has_null_key(keys: list[str]) -> Column:
@@ -122,9 +122,14 @@ def _hot_pairs(src: DataFrame, tgt: DataFrame, keys: list[str], cell_rows: int)
         F.explode(F.sequence(F.lit(0).cast("bigint"), row - 1)).alias("cell_row"),
         F.pmod(F.xxhash64(*tgt.columns), col).alias("cell_col"),
     )
+    # A stated number of partitions: the work is in the pairs, so a cell's few bytes must not
+    # lead adaptive execution to merge cells into one task.
+    cell = [*keys, "cell_row", "cell_col"]
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = (
         _present(s_cells, "src")
-        .join(_present(t_cells, "tgt"), [*keys, "cell_row", "cell_col"])
+        .repartition(parts, *cell)
+        .join(_present(t_cells, "tgt").repartition(parts, *cell), cell)
         .withColumn("copies", F.col("src_copies") * F.col("tgt_copies"))
         .drop("src_copies", "tgt_copies", "cell_row", "cell_col")
     )

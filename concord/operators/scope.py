@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.domain import Domain
 from concord.operators.hashview import column_type
 
 
@@ -45,3 +48,16 @@ def period(df: DataFrame, column: str, day: str | dt.date) -> DataFrame:
 def date_range(df: DataFrame, column: str, first: str | dt.date, last: str | dt.date) -> DataFrame:
     """Rows from `first` to `last`, both days included."""
     return df.where(_days(df, column, first, last))
+
+
+def both_sides(
+    source: DataFrame, target: DataFrame, domain: Domain, field: str, restrict: Callable[[DataFrame, str], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """Apply a filter to a source field and to the target field it is paired with.
+
+    `restrict` takes a frame and a column name, e.g. `lambda df, c: period(df, c, "2024-01-31")`.
+    """
+    for a, b in [*domain.id_pairs(), *domain.field_pairs()]:
+        if a.name == field:
+            return restrict(source, a.name), restrict(target, b.name)
+    raise ValueError(f"{field!r} is not a field of the source")

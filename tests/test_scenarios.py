@@ -153,3 +153,13 @@ def test_scope(spark):
     zoned = df.select("id", F.col("at").cast("timestamp").alias("at"))
     assert [r["id"] for r in scope.period(zoned, "at", "2024-02-01").collect()] == [2]
     assert [r["id"] for r in scope.entity(df, "id", 2).collect()] == [2]
+
+
+def test_scope_of_a_pair(spark):
+    src = spark.createDataFrame([(1, "a"), (2, "b")], "id int, vendor string")
+    tgt = spark.createDataFrame([(1, "a"), (2, "b")], "ref int, supplier string")
+    d = Domain("d", Side("s", (("id", "INT"),), ("vendor",)), Side("t", (("ref", "INT"),), ("supplier",)))
+    s, t = scope.both_sides(src, tgt, d, "vendor", lambda df, c: scope.entity(df, c, "b"))
+    assert (s.first()["id"], t.first()["ref"]) == (2, 2) and s.count() == t.count() == 1
+    with pytest.raises(ValueError):
+        scope.both_sides(src, tgt, d, "supplier", lambda df, c: df)
