@@ -46,6 +46,16 @@ def text_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def long_number(c: Column) -> Column:
+    """The number of a text too long for its short form, which no longer shows it."""
+    return F.when(F.length(c) > SHORT_TEXT, text_number(c))
+
+
+def short_number(short: Column, number: Column) -> Column:
+    """The number of a text, from its short form and `long_number`."""
+    return F.when(F.length(short) <= SHORT_TEXT, text_number(short)).otherwise(number)
+
+
 def as_number(c: Column, dtype: T.DataType) -> Column:
     """The value as a double, NULL when its text is not a number."""
     if isinstance(dtype, (T.IntegralType, T.DecimalType, T.DoubleType)):

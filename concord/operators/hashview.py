@@ -56,8 +56,8 @@ def hash_view(
 class PairColumns:
     """Where a field pair lives in the aligned frame.
 
-    A text field has two columns more, its short form and its number, so that counting verdicts
-    moves neither long texts nor parses them after the join.
+    A text field has two columns more, its short form and the number a long text may be, so that
+    counting verdicts moves no long texts.
     """
 
     name: str
@@ -85,7 +85,7 @@ def value_columns(c: Column, name: str, dtype: T.DataType) -> list[Column]:
     return [
         c.alias(name),
         variance.short_text(c).alias(short_column(name)),
-        variance.as_number(c, dtype).alias(number_column(name)),
+        variance.long_number(c).alias(number_column(name)),
     ]
 
 

@@ -192,7 +192,8 @@ def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool
 def _value(name: str, dtype: T.DataType, short: bool) -> tuple[Column, Column]:
     """A compared column, or its short form, and its number."""
     if short and isinstance(dtype, T.StringType):
-        return F.col(short_column(name)), F.col(number_column(name))
+        text = F.col(short_column(name))
+        return text, variance.short_number(text, F.col(number_column(name)))
     return F.col(name), variance.as_number(F.col(name), dtype)
 
 

@@ -15,7 +15,7 @@ from concord.plans.reconcile import Result, rare_discrepancies
 from helpers import brute_force, counted, domain, frame
 
 AMOUNTS = [None, Decimal("0.00"), Decimal("100.00"), Decimal("100.50"), Decimal("-100.00"), Decimal("250.00")]
-NOTES = [None, "a", "b", "7", "7.0", "NaN", "x" * 80, "x" * 79 + "y"]
+NOTES = [None, "a", "b", "7", "7.0", "NaN", "x" * 80, "x" * 79 + "y", "0" * 70 + "7"]
 
 
 def sample(rng, n, keys, hot_key=None, share=0.0, null_share=0.1):
