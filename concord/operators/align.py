@@ -152,14 +152,14 @@ def key_tally(p: Prepared) -> DataFrame:
     sides costs no more than its distinct hashes. Rows with a NULL key are counted per side.
     """
     counts = []
-    for df, side in ((p.source, "source"), (p.target, "target")):
+    for df, side, s, t in ((p.source, "src", 1, 0), (p.target, "tgt", 0, 1)):
         counts.append(
             df.select(
                 *p.keys,
-                F.col(f"{'src' if side == 'source' else 'tgt'}_hash").alias("hash"),
+                F.col(f"{side}_hash").alias("hash"),
                 F.when(has_null_key(p.keys), side).alias("loose_side"),
-                F.lit(int(side == "source")).cast("bigint").alias("s"),
-                F.lit(int(side == "target")).cast("bigint").alias("t"),
+                F.lit(s).cast("bigint").alias("s"),
+                F.lit(t).cast("bigint").alias("t"),
             )
         )
     per_hash = counts[0].unionAll(counts[1]).groupBy(*p.keys, "loose_side", "hash").agg(

@@ -17,20 +17,15 @@ from concord.domain import Domain
 from concord.operators.hashview import column_type
 
 
-def _is_timestamp(df: DataFrame, column: str) -> bool:
-    return isinstance(column_type(df, column), (T.TimestampType, T.TimestampNTZType))
-
-
 def _day(value: str | dt.date) -> dt.date:
     return dt.date.fromisoformat(value) if isinstance(value, str) else value
 
 
 def _days(df: DataFrame, column: str, first: str | dt.date, last: str | dt.date) -> Column:
     """From the first day to the end of the last, as plain bounds a parquet or JDBC scan can use."""
-    c = df[column]
-    if not _is_timestamp(df, column):
+    c, kind = df[column], column_type(df, column)
+    if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return c.between(F.lit(_day(first)), F.lit(_day(last)))
-    kind = column_type(df, column)
     after = _day(last) + dt.timedelta(days=1)
     return (c >= F.lit(str(_day(first))).cast(kind)) & (c < F.lit(str(after)).cast(kind))
 
