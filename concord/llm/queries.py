@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import ann, decontaminate, language, packing, pii, quality, warc
+from concord.llm import ann, decontaminate, language, packing, phrase_dedup, pii, quality, suffix_dedup, warc
 from concord.llm.storage import crc_bucket, new_path, shipped
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left when strings of 200 that recur are removed."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"), 200)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket("doc_id", 4) == 2)
@@ -45,6 +50,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left when passages of 20 that occurred earlier are removed."""
+    return phrase_dedup.removed(table(spark, sf_dir, "documents"), 20)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark passages in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_nearest": op2_nearest,
     "op3_packing": op3_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language": op5_language,
+    "op6_phrase_dedup": op6_phrase_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,

@@ -61,3 +61,11 @@ def shipped(spark: SparkSession) -> None:
 def crc_bucket(key: str, buckets: int) -> Column:
     """crc32 of a key as text, modulo `buckets`; 0 for a NULL key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % buckets, F.lit(0))
+
+
+def forget(frame: DataFrame) -> None:
+    """Delete the files of a frame that `saved` returned and that nothing will read again."""
+    spark = frame.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
