@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import ann, decontaminate, language, packing, phrase_dedup, pii, quality, suffix_dedup, warc
+from concord.llm import ann, decontaminate, jaccard_join, language, packing, phrase_dedup, pii, quality, suffix_dedup, warc
 from concord.llm.storage import crc_bucket, new_path, shipped
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,11 @@ def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.removed(table(spark, sf_dir, "documents"), 20)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a similarity of 0.8."""
+    return jaccard_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark passages in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language": op5_language,
     "op6_phrase_dedup": op6_phrase_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
