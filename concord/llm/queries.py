@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and the SQL for those that SQL can express."""
+"""The registered queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm import ann, decontaminate, jaccard_join, language, packing, phrase_dedup, pii, quality, suffix_dedup, warc
+from concord.llm.oracle import ORACLE
 from concord.llm.storage import crc_bucket, new_path, shipped
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
