@@ -22,12 +22,12 @@ CUSTOMERS = """
 src AS (
   SELECT c_custkey AS k, c_name AS f1, c_nationkey AS f2, c_acctbal AS f3, c_mktsegment AS f4,
          c_name AS c1, CAST(c_nationkey AS DECIMAL(38,0)) AS c2,
-         CAST(c_acctbal AS DECIMAL(38,4)) AS c3, c_mktsegment AS c4
+         CAST(c_acctbal AS DOUBLE) AS c3, c_mktsegment AS c4
   FROM customer),
 tgt AS (
   SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS f1, CAST(c_nationkey AS DECIMAL(10,0)) AS f2,
          CAST(CASE WHEN c_nationkey = 7 THEN c_acctbal * 1.1 ELSE c_acctbal END AS DECIMAL(19,4)) AS f3,
-         lower(c_mktsegment) AS f4, f1 AS c1, CAST(f2 AS DECIMAL(38,0)) AS c2, CAST(f3 AS DECIMAL(38,4)) AS c3,
+         lower(c_mktsegment) AS f4, f1 AS c1, CAST(f2 AS DECIMAL(38,0)) AS c2, CAST(f3 AS DOUBLE) AS c3,
          f4 AS c4
   FROM customer)"""
 
@@ -164,10 +164,11 @@ def scoped(where: str) -> str:
 
 
 def enriched(how: str) -> str:
-    """Both sides joined with the customers in credit; the segment is the fifth field."""
-    sides = ORDERS.replace("src AS (", "o AS (", 1).replace("tgt AS (", "p AS (", 1).replace("FROM src)", "FROM o)")
+    """Both sides joined with all customers, which one order in ten does not find; the segment is the fifth field."""
+    sides = ORDERS.replace("o_custkey AS f1", "CASE WHEN o_custkey % 10 = 3 THEN -o_custkey ELSE o_custkey END AS f1")
+    sides = sides.replace("src AS (", "o AS (", 1).replace("tgt AS (", "p AS (", 1).replace("FROM src)", "FROM o)")
     base = f"""{sides},
-ref AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0),
+ref AS (SELECT c_custkey, c_mktsegment FROM customer),
 src AS (SELECT o.*, c_mktsegment AS f5 FROM o {how} JOIN ref ON f1 = c_custkey),
 tgt AS (SELECT p.*, c_mktsegment AS f5 FROM p {how} JOIN ref ON f1 = c_custkey)"""
     return aligned(base, 5) + """
@@ -343,12 +344,17 @@ SELECT l_orderkey, l_linenumber, count(*) AS row_count,
 FROM lineitem GROUP BY l_orderkey, l_linenumber
 HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL""",
     "type_conformance": """
-WITH e AS (SELECT *, json_extract_string(props, '$.k') AS kk FROM events)
+WITH e AS (
+  SELECT *, json_extract_string(props, '$.k') AS kk, CAST(value AS VARCHAR) AS amount, md5(CAST(event_id AS VARCHAR)) AS d,
+         CASE WHEN event_id % 3 = 0
+              THEN concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 12))
+              ELSE d END AS ref
+  FROM events)
 SELECT 'k' AS field_name, 'INT' AS declared_type, count(kk) AS present,
        count(*) FILTER (WHERE kk IS NOT NULL AND TRY_CAST(kk AS INTEGER) IS NULL) AS nonconforming FROM e
 UNION ALL
 SELECT 'event_type', 'DECIMAL', count(event_type),
-       count(*) FILTER (WHERE event_type IS NOT NULL AND TRY_CAST(event_type AS DECIMAL(19,4)) IS NULL) FROM e
+       count(*) FILTER (WHERE NOT regexp_full_match(event_type, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)')) FROM e
 UNION ALL
 SELECT 'event_id', 'SMALLINT', count(event_id),
        count(*) FILTER (WHERE event_id IS NOT NULL AND TRY_CAST(CAST(event_id AS VARCHAR) AS SMALLINT) IS NULL) FROM e
@@ -356,7 +362,12 @@ UNION ALL
 SELECT 'props', 'DATE', count(props),
        count(*) FILTER (WHERE props IS NOT NULL AND TRY_CAST(props AS DATE) IS NULL) FROM e
 UNION ALL
-SELECT 'user_id', 'UUID', count(user_id), count(user_id) FROM e
+SELECT 'ref', 'UUID', count(ref),
+       count(*) FILTER (WHERE NOT regexp_full_match(ref, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}')) FROM e
+UNION ALL
+SELECT 'amount', 'DECIMAL', count(amount),
+       count(*) FILTER (WHERE amount IS NOT NULL AND coalesce(TRY_CAST(amount AS DECIMAL(4,2)) = TRY_CAST(amount AS DECIMAL(38,16)), FALSE) IS FALSE)
+FROM e
 UNION ALL
 SELECT 'event_type', 'STRING', count(event_type), 0 FROM e""",
 }

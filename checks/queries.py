@@ -147,6 +147,8 @@ def missing_either_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enriched(how: str) -> Query:
+    """Every order with the segment of its customer; orders of one customer in ten name none."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         joins = (Enrichment("customer", "o_custkey", "c_custkey", how, ("c_mktsegment",)),)
         side = Side(
@@ -154,11 +156,15 @@ def _enriched(how: str) -> Query:
         )
 
         def customers(_: str) -> DataFrame:
-            return pairs.customers(spark, sf_dir).where(F.col("c_acctbal") > 0)
+            return pairs.customers(spark, sf_dir)
+
+        def renumbered(orders: DataFrame) -> DataFrame:
+            key = F.col("o_custkey")
+            return orders.withColumn("o_custkey", F.when(key % 10 == 3, -key).otherwise(key))
 
         r = reconcile(
-            enrich_side(pairs.orders(spark, sf_dir), side, customers),
-            enrich_side(pairs.orders_copy(spark, sf_dir), side, customers),
+            enrich_side(renumbered(pairs.orders(spark, sf_dir)), side, customers),
+            enrich_side(renumbered(pairs.orders_copy(spark, sf_dir)), side, customers),
             Domain(f"enriched-{how}", side, side),
         )
         return r.aligned.select("k_1", "src_c_mktsegment", "tgt_c_mktsegment", "src_hash", "tgt_hash", "status")
@@ -330,10 +336,19 @@ def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pairs.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    digest = F.md5(F.col("event_id").cast("string"))
+    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    df = pairs.table(spark, sf_dir, "events").withColumns(
+        {
+            "k": F.get_json_object("props", "$.k"),
+            "ref": F.when(F.col("event_id") % 3 == 0, F.concat_ws("-", *parts)).otherwise(digest),
+            "amount": F.col("value").cast("string"),
+        }
+    )
     fields = [
         Field("k", "INT"), Field("event_type", "DECIMAL"), Field("event_id", "SMALLINT"),
-        Field("props", "DATE"), Field("user_id", "UUID"), Field("event_type", "STRING"),
+        Field("props", "DATE"), Field("ref", "UUID"), Field("event_type", "STRING"),
+        Field("amount", "DECIMAL", precision=4, scale=2),
     ]
     return contracts.type_conformance(df, fields)
 

@@ -39,10 +39,17 @@ DATETIME_FAMILIES = frozenset({"date", "timestamp"})
 
 @dataclass(frozen=True)
 class Field:
-    """A column and its declared type; a missing type means STRING."""
+    """A column and its declared type; a missing type means STRING.
+
+    Numbers are compared exactly. `digits` rounds them, half up, to so many fraction digits first.
+    `precision` and `scale` say what a DECIMAL declaration holds, for checks of conformance.
+    """
 
     name: str
     type: str | None = "STRING"
+    digits: int | None = None
+    precision: int | None = None
+    scale: int | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "type", (self.type or "STRING").upper())

@@ -17,7 +17,6 @@ from concord.domain import DATETIME_FAMILIES, NUMERIC_FAMILIES, Field
 # Fixed values of the hash format.
 NULL_TEXT = "NULL"
 SEPARATOR = "|"
-FRACTION_DIGITS = 4
 ORACLE_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -43,10 +42,13 @@ def physical_family(dtype: T.DataType) -> str:
 
 
 def effective_family(dtype: T.DataType, field: Field) -> str:
-    """The stored type decides; text takes its declared type, and a timestamp declared DATE is a date."""
+    """The stored type decides; text takes its declared type, a timestamp declared DATE is a date, and a
+    number declared BOOLEAN is one."""
     family = physical_family(dtype)
     if family == "string":
         return field.family or "string"
+    if family in ("integer", "decimal") and field.family == "boolean":
+        return "boolean"
     if family == "timestamp" and field.family == "date":
         return "date"
     return family
@@ -66,17 +68,6 @@ def pair_family(a: str, b: str) -> str:
     return "text"
 
 
-def pair_scale(*dtypes: T.DataType) -> int:
-    """Fraction digits that hold every value of the pair; text and floats get the default."""
-    scales = []
-    for dtype in dtypes:
-        if isinstance(dtype, T.DecimalType):
-            scales.append(dtype.scale)
-        elif not isinstance(dtype, T.IntegralType):
-            scales.append(FRACTION_DIGITS)
-    return max(scales, default=0)
-
-
 def raw_text(c: Column, dtype: T.DataType) -> Column:
     """The value's own text; bytes as hex."""
     if isinstance(dtype, T.BinaryType):
@@ -86,15 +77,55 @@ def raw_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def to_family(c: Column, dtype: T.DataType, family: str, scale: int = FRACTION_DIGITS) -> Column:
-    """The value in the type its family is compared in; NULL where it does not fit."""
-    if family == "integer":
-        return c.cast("bigint") if isinstance(dtype, T.IntegralType) else c.try_cast("bigint")
-    if family == "decimal":
-        return c.try_cast(f"decimal(38,{scale})")
+# Texts of a number without exponent, and the digits that every double keeps.
+PLAIN_NUMBER = r"^[+-]?+(\d++(\.\d*+)?+|\.\d++)$"
+SAFE_DIGITS = 15
+
+
+def short_number(text: Column) -> Column:
+    """The shortest text of a plain number: `+012.500` -> `12.5`, `-0.0` -> `0`. Exact, as no digit but a
+    zero goes; any other text is left alone."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0++(?=\d)", "$1")
+    bare = F.regexp_replace(bare, r"^(-?)\.", "$10.")
+    bare = F.when(bare.contains("."), F.regexp_replace(F.rtrim(bare, F.lit("0")), r"\.$", "")).otherwise(bare)
+    return F.when(text.rlike(PLAIN_NUMBER), F.when(bare == "-0", "0").otherwise(bare)).otherwise(text)
+
+
+def double_text(c: Column) -> Column:
+    """A double's or float's own text, with one zero."""
+    return F.when(c == 0, "0.0").otherwise(c.cast("string"))
+
+
+def number_text(c: Column, dtype: T.DataType, family: str, digits: int | None = None) -> Column:
+    """Exact text of a number among numbers of its pair; the value's own text where it is none.
+
+    Decimals and integers have their shortest text. Next to a double every number is its nearest double;
+    a text is one only if it has few enough digits to name that double alone.
+    """
+    kind = physical_family(dtype)
+    own = raw_text(c, dtype)
+    if digits is not None:
+        return F.coalesce(c.try_cast(f"decimal(38,{digits})").cast("string"), own)
+    if kind not in ("string", "integer", "decimal", "float"):
+        return own
     if family == "float":
-        return c.try_cast(f"decimal(38,{FRACTION_DIGITS})")
+        if kind == "float":
+            return double_text(c)
+        if kind in ("integer", "decimal"):
+            return double_text(c.cast("double"))
+        few = F.length(F.regexp_replace(short_number(own), "[^0-9]", "")) <= SAFE_DIGITS
+        number = F.when(own.rlike(PLAIN_NUMBER) & few, own.try_cast("double"))
+        return F.coalesce(double_text(number), own)
+    if kind == "decimal" and dtype.scale == 0 or kind == "integer":
+        return own
+    return double_text(c) if kind == "float" else short_number(own)
+
+
+def to_family(c: Column, dtype: T.DataType, family: str) -> Column:
+    """The value in the type its family is compared in; NULL where it does not fit."""
     if family in ("date", "boolean"):
+        if family == "boolean" and physical_family(dtype) in NUMERIC_FAMILIES:
+            return F.when(c == 1, True).when(c == 0, False)
         return c.try_cast(family)
     if family == "timestamp":
         return c.try_cast("timestamp_ntz")
@@ -107,41 +138,40 @@ def family_text(
     c: Column,
     dtype: T.DataType,
     family: str,
-    scale: int = FRACTION_DIGITS,
+    digits: int | None = None,
     profile: str = "plain",
     strip_zeros: bool = False,
 ) -> Column:
     """Text of a value compared in `family`.
 
     A value that does not fit the type keeps its own text, so two different misfits stay different.
-    `profile="oracle"` writes dates and timestamps with a time of day.
+    `profile="oracle"` writes dates and timestamps with a time of day, and numbers as TO_CHAR does: without
+    closing zeros, and without the zero before the point.
     """
     if family in ("string", "text", "binary", "uuid"):
         return to_family(c, dtype, family)
-    digits = {"decimal": scale, "float": FRACTION_DIGITS}.get(family)
-    if isinstance(dtype, T.DecimalType) and dtype.scale == digits:
-        value = c
-    else:
-        value = to_family(c, dtype, family, scale)
+    if family in NUMERIC_FAMILIES:
+        same = physical_family(dtype) == family
+        text = raw_text(c, dtype) if same and family != "float" and digits is None else number_text(c, dtype, family, digits)
+        if profile == "oracle":
+            return F.regexp_replace(short_number(text), r"^(-?)0\.", "$1.")
+        return short_number(text) if strip_zeros and family != "integer" else text
+    value = to_family(c, dtype, family)
     if profile == "oracle" and family in DATETIME_FAMILIES:
         text = F.date_format(value, ORACLE_TIME_FORMAT)
     else:
         text = value.cast("string")
-    if strip_zeros and family in ("decimal", "float"):
-        text = strip_trailing_zeros(text)
-    if physical_family(dtype) == family and family not in ("decimal", "float"):
-        return text
-    return F.coalesce(text, raw_text(c, dtype))
-
-
-def strip_trailing_zeros(text: Column) -> Column:
-    """`12.5000` -> `12.5`, `12.0000` -> `12`; text without a fraction is left alone."""
-    return F.regexp_replace(text, r"^(-?\d+)(?:\.0*|(\.\d*[1-9])0*)$", "$1$2")
+    return text if physical_family(dtype) == family else F.coalesce(text, raw_text(c, dtype))
 
 
 def declared_text(c: Column, dtype: T.DataType, field: Field, **options) -> Column:
-    """Text of a single column in its declared type."""
-    return family_text(c, dtype, field.family or "string", **options)
+    """Text of a single column in its declared type. Numbers keep all their digits."""
+    family = field.family or "string"
+    if family in NUMERIC_FAMILIES and physical_family(dtype) in NUMERIC_FAMILIES:
+        family = physical_family(dtype)  # the stored type holds the value
+    elif family in ("integer", "float") and physical_family(dtype) == "string":
+        family = "decimal"
+    return family_text(c, dtype, family, field.digits, **options)
 
 
 def paired_text(
@@ -150,8 +180,11 @@ def paired_text(
 ) -> tuple[Column, Column]:
     """Text of both columns of a pair, in the type the pair has in common."""
     family = pair_family(effective_family(a_type, a_field), effective_family(b_type, b_field))
-    scale = pair_scale(a_type, b_type)
-    texts = [family_text(c, t, family, scale) for c, t in ((a, a_type), (b, b_type))]
+    digits = [f.digits for f in (a_field, b_field) if f.digits is not None]
+    if family in NUMERIC_FAMILIES and (digits or a_type != b_type or isinstance(a_type, T.StringType)):
+        texts = [number_text(c, t, family, min(digits, default=None)) for c, t in ((a, a_type), (b, b_type))]
+    else:
+        texts = [family_text(c, t, family) for c, t in ((a, a_type), (b, b_type))]
     if ignore_case and family in ("string", "text"):
         texts = [F.lower(t) for t in texts]
     return texts[0], texts[1]
@@ -160,20 +193,39 @@ def paired_text(
 def paired_key(
     a: Column, a_type: T.DataType, a_field: Field, b: Column, b_type: T.DataType, b_field: Field,
 ) -> tuple[Column, Column]:
-    """Both columns of a key pair as one joinable type.
+    """Both columns of a key pair as one joinable type, in which no value becomes NULL.
 
     Keys keep a typed form within a family; across families, and wherever one side is stored as
-    text, they are compared as text.
+    text, they are compared as text. Next to a double every number is a double.
     """
     families = [physical_family(a_type), physical_family(b_type)]
     if "string" in families:
         family = "uuid" if a_field.is_uuid() or b_field.is_uuid() else "text"
-    elif families == ["float", "float"]:
-        return a.cast("double"), b.cast("double")
+    elif set(families) <= NUMERIC_FAMILIES:
+        if "float" in families:
+            return a.cast("double"), b.cast("double")
+        if families == ["integer", "integer"]:
+            return a.cast("bigint"), b.cast("bigint")
+        common = _common_decimal(a_type, b_type)
+        if common:
+            return a.cast(common), b.cast(common)
+        return number_text(a, a_type, "decimal"), number_text(b, b_type, "decimal")
     else:
-        family = pair_family(effective_family(a_type, a_field), effective_family(b_type, b_field))
-    scale = pair_scale(a_type, b_type)
-    return to_family(a, a_type, family, scale), to_family(b, b_type, family, scale)
+        family = pair_family(*families)
+        if families == ["timestamp", "timestamp"] and "date" in (a_field.family, b_field.family):
+            family = "date"
+    return to_family(a, a_type, family), to_family(b, b_type, family)
+
+
+# Digits that the integer types hold.
+_INTEGER_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def _common_decimal(*dtypes: T.DataType) -> str | None:
+    """The decimal type that holds every value of both types, if there is one."""
+    whole = max(t.precision - t.scale if isinstance(t, T.DecimalType) else _INTEGER_DIGITS[type(t)] for t in dtypes)
+    scale = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in dtypes)
+    return f"decimal({whole + scale},{scale})" if whole + scale <= 38 else None
 
 
 def digest(text: Column, algorithm: str = "md5") -> Column:

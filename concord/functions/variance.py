@@ -30,11 +30,12 @@ def short_text(c: Column) -> Column:
     return F.when(F.length(c) <= SHORT_TEXT, c).otherwise(F.sha2(c, 256))
 
 
-# The texts that read as a double, decimal or hexadecimal.
-DECIMAL_DIGITS = r"(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
-HEX_DIGITS = r"0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+"
-NAMED_NUMBERS = r"(?i:nan|inf|infinity)"
-NUMBER = rf"^[\x00-\x20]*[+-]?({NAMED_NUMBERS}|({DECIMAL_DIGITS}|{HEX_DIGITS})[fFdD]?)[\x00-\x20]*$"
+# The texts that read as a double, decimal or hexadecimal. Repetitions are possessive: each
+# digit is looked at once.
+DECIMAL_DIGITS = r"(\d++(\.\d*+)?+|\.\d++)([eE][+-]?+\d++)?+"
+HEX_DIGITS = r"0[xX]([0-9a-fA-F]++(\.[0-9a-fA-F]*+)?+|\.[0-9a-fA-F]++)[pP][+-]?+\d++"
+NAMED_NUMBERS = r"(NaN|Infinity)"
+NUMBER = rf"^[\x00-\x20]*+[+-]?+({NAMED_NUMBERS}|({HEX_DIGITS}|{DECIMAL_DIGITS})[fFdD]?+)[\x00-\x20]*+$"
 
 
 def text_number(text: Column) -> Column:

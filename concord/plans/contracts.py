@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.domain import DATETIME_FAMILIES, NUMERIC_FAMILIES, Domain, Field, Side
 from concord.functions import canon, variance
@@ -146,18 +147,35 @@ def _fits(c: Column, df: DataFrame, f: Field) -> Column:
     text = canon.raw_text(c, column_type(df, f.name))
     if family == "uuid":
         return text.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+    if family == "decimal":
+        return _fits_decimal(c, text, column_type(df, f.name), f)
     fits = text.try_cast(SPARK_TYPE[f.type]).isNotNull()
     return text.rlike(variance.NUMBER) & fits if f.is_numeric() else fits
 
 
+def _fits_decimal(c: Column, text: Column, dtype: T.DataType, f: Field) -> Column:
+    """Whether a decimal of the declared precision and scale, else of the column's own, else any of 38 digits,
+    holds the value without rounding it."""
+    whole_number = text.rlike(canon.PLAIN_NUMBER)
+    short = canon.short_number(text)
+    if f.precision is not None and isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.coalesce(c.try_cast(f"decimal({f.precision},{f.scale or 0})").cast("double") == text.cast("double"), F.lit(False))
+    if f.precision is not None:
+        kept = text.try_cast(f"decimal({f.precision},{f.scale or 0})").cast("string")
+        return whole_number & F.coalesce(canon.short_number(kept) == short, F.lit(False))
+    if isinstance(dtype, (T.DecimalType, T.IntegralType)):
+        return F.lit(True)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return ~text.isin("NaN", "Infinity", "-Infinity")
+    return whole_number & (F.length(F.regexp_replace(short, "[^0-9]", "")) <= 38)
+
+
 # The Spark type a declared type is checked against.
 SPARK_TYPE = {
     "INT": "int",
     "INTEGER": "int",
     "BIGINT": "bigint",
     "SMALLINT": "smallint",
-    "DECIMAL": "decimal(19,4)",
-    "NUMERIC": "decimal(19,4)",
     "FLOAT": "double",
     "DOUBLE": "double",
     "DATE": "date",

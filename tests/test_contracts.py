@@ -73,6 +73,18 @@ def test_key_audit(spark):
     assert rows == {(1, 1): (2, False), (2, None): (1, True)}
 
 
+def test_decimals_that_would_be_rounded_do_not_fit(spark):
+    df = spark.createDataFrame(
+        [("1.23456", Decimal(10**19), 0.1), ("1.2300", Decimal(5), 1e-9), ("1e5", Decimal(5), float("inf")), ("x", None, None)],
+        "t string, big decimal(38,0), d double",
+    )
+    fields = [
+        Field("t", "DECIMAL"), Field("t", "DECIMAL", precision=10, scale=2), Field("big", "DECIMAL"),
+        Field("big", "NUMERIC", precision=9), Field("d", "DECIMAL"), Field("d", "DECIMAL", precision=9, scale=2),
+    ]
+    assert [r["nonconforming"] for r in contracts.type_conformance(df, fields).collect()] == [2, 3, 0, 1, 1, 2]
+
+
 def test_type_conformance(spark):
     df = spark.createDataFrame(
         [("1", "2024-01-01", "550e8400-e29b-41d4-a716-446655440000", "true"), ("x", "soon", "nope", "maybe"), (None,) * 4],

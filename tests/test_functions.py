@@ -30,10 +30,20 @@ def one(spark, value, dtype):
         (Decimal("1200"), DEC, "DECIMAL", {"strip_zeros": True}, "1200"),
         (Decimal("0"), DEC, "DECIMAL", {"strip_zeros": True}, "0"),
         (Decimal("-0.0500"), DEC, "DECIMAL", {"strip_zeros": True}, "-0.05"),
-        (12345678.9, T.DoubleType(), "DOUBLE", {}, "12345678.9000"),
+        (Decimal("0.5"), DEC, "DECIMAL", {"profile": "oracle"}, ".5"),
+        (Decimal("-0.25"), DEC, "DECIMAL", {"profile": "oracle"}, "-.25"),
+        (Decimal("1.00000001"), T.DecimalType(20, 8), "DECIMAL", {}, "1.00000001"),
+        (Decimal("1.9"), T.DecimalType(10, 1), "INTEGER", {}, "1.9"),
+        (0.00001, T.DoubleType(), "DOUBLE", {}, "1.0E-5"),
+        (-0.0, T.DoubleType(), "DOUBLE", {}, "0.0"),
+        ("0.00001", T.StringType(), "DECIMAL", {}, "0.00001"),
+        ("+012.50", T.StringType(), "DECIMAL", {}, "12.5"),
+        ("-.50", T.StringType(), "DECIMAL", {}, "-0.5"),
+        ("-0.0", T.StringType(), "INT", {}, "0"),
+        ("1e5", T.StringType(), "INT", {}, "1e5"),
         (float("nan"), T.DoubleType(), "DOUBLE", {}, "NaN"),
         (1e300, T.DoubleType(), "DOUBLE", {}, "1.0E300"),
-        ("12.5", T.StringType(), "DECIMAL", {}, "12.5000"),
+        ("12.5", T.StringType(), "DECIMAL", {}, "12.5"),
         ("n/a", T.StringType(), "DECIMAL", {}, "n/a"),
         (date(2024, 1, 15), T.DateType(), "DATE", {}, "2024-01-15"),
         (date(2024, 1, 15), T.DateType(), "DATE", {"profile": "oracle"}, "2024-01-15 00:00:00"),
@@ -72,6 +82,19 @@ def pair_texts(spark, a, a_type, b, b_type, a_decl="STRING", b_decl="STRING"):
         ((bytearray(b"a"), T.BinaryType(), bytearray(b"a"), T.BinaryType()), True),
         ((True, T.BooleanType(), "true", T.StringType()), True),
         ((1e300, T.DoubleType(), 2e300, T.DoubleType()), False),
+        ((0.00001, T.DoubleType(), 0.00004, T.DoubleType()), False),
+        ((-0.0, T.DoubleType(), 0.0, T.DoubleType()), True),
+        (("0.00001", T.StringType(), "0.00004", T.StringType(), "DECIMAL", "DECIMAL"), False),
+        (("1.50", T.StringType(), "01.5", T.StringType(), "DECIMAL", "DECIMAL"), True),
+        ((Decimal("0.00001"), T.DecimalType(20, 8), 0.00004, T.DoubleType()), False),
+        ((Decimal("0.00004"), T.DecimalType(20, 8), 0.00004, T.DoubleType()), True),
+        ((Decimal("1.00000001"), T.DecimalType(20, 8), Decimal("1.00000002"), T.DecimalType(20, 8)), False),
+        ((Decimal(10**19), T.DecimalType(38, 0), 1e19, T.DoubleType()), True),
+        (("0.1", T.StringType(), 0.1, T.DoubleType(), "DOUBLE", "DOUBLE"), True),
+        (("0.10000000000000000001", T.StringType(), 0.1, T.DoubleType(), "DOUBLE", "DOUBLE"), False),
+        ((True, T.BooleanType(), Decimal(1), T.DecimalType(1, 0), "BOOLEAN", "BOOLEAN"), True),
+        ((True, T.BooleanType(), 2, T.IntegerType(), "BOOLEAN", "BOOLEAN"), False),
+        ((False, T.BooleanType(), 0, T.IntegerType(), "BOOLEAN", "BOOLEAN"), True),
     ],
 )
 def test_paired_text(spark, args, equal):
@@ -79,6 +102,49 @@ def test_paired_text(spark, args, equal):
     assert (a == b) is equal
 
 
+def test_rounding_is_asked_for(spark):
+    df = spark.createDataFrame([(0.12345, Decimal("0.1235"))], "a double, b decimal(10,4)")
+    types = {f.name: f.dataType for f in df.schema}
+    for digits, equal in ((None, False), (4, True), (2, True), (3, False), (5, False)):
+        a, b = canon.paired_text(df["a"], types["a"], Field("a", "DOUBLE", digits), df["b"], types["b"], Field("b", "DECIMAL"))
+        row = df.select(a.alias("a"), b.alias("b")).first()
+        assert (row["a"] == row["b"]) is equal
+
+
+@pytest.mark.parametrize(
+    ("a_type", "a", "b_type", "b", "pairs"),
+    [
+        ("decimal(10,5)", ["1.00001", "1.00002"], "double", [1.00001, 1.00002], 2),
+        ("double", [1e36], "decimal(38,0)", [10**36], 1),
+        ("decimal(38,0)", [10**37, 10**37 + 1], "decimal(38,10)", ["5", "6"], 0),
+        ("decimal(38,0)", [12], "decimal(38,10)", ["12"], 1),
+        ("bigint", [5], "decimal(12,2)", ["5.00"], 1),
+        ("float", [0.5], "double", [0.5], 1),
+    ],
+)
+def test_number_keys(spark, a_type, a, b_type, b, pairs):
+    """No two keys of a side become one, and none becomes NULL."""
+
+    def side(kind, values):
+        rows = [(Decimal(v) if "decimal" in kind else v, str(v)) for v in values]
+        return spark.createDataFrame(rows, f"k {kind}, v string")
+
+    key = Side("t", (Field("k", "NUMERIC"),), (Field("v"),))
+    rows = reconcile(side(a_type, a), side(b_type, b), Domain("keys", key, key)).aligned.collect()
+    assert sum(r["src_present"] and r["tgt_present"] for r in rows) == pairs
+    assert all(r["k_1"] is not None for r in rows) and len(rows) == len(a) + len(b) - pairs
+
+
+def test_long_digit_runs_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([("1" * 1_000_000 + "x",), ("0x" + "f" * 1_000_000,), ("1e" + "5" * 1_000_000 + "x",)], "t string")
+    df.select(variance.text_number(F.lit("1"))).collect()
+    start = time.perf_counter()
+    assert [r[0] for r in df.select(variance.text_number(F.col("t"))).collect()] == [None] * 3
+    assert time.perf_counter() - start < 10
+
+
 def test_record_hash_format(spark):
     side = Side("t", (Field("id", "INT"),), (Field("name"), Field("amount", "DECIMAL"), Field("day", "DATE")))
     df = spark.createDataFrame(
@@ -86,10 +152,10 @@ def test_record_hash_format(spark):
         "id int, name string, amount decimal(15,2), day date",
     )
     got = {r["id"]: r["record_hash"] for r in hash_view(df, side).collect()}
-    assert got[1] == hashlib.md5(b"Acme|1500.5000|2024-01-15").hexdigest()
+    assert got[1] == hashlib.md5(b"Acme|1500.50|2024-01-15").hexdigest()
     assert got[2] == hashlib.md5(b"NULL|NULL|NULL").hexdigest()
     sha = {r["id"]: r["record_hash"] for r in hash_view(df, side, algorithm="sha256").collect()}
-    assert sha[1] == hashlib.sha256(b"Acme|1500.5000|2024-01-15").hexdigest()
+    assert sha[1] == hashlib.sha256(b"Acme|1500.50|2024-01-15").hexdigest()
     with pytest.raises(ValueError):
         hash_view(df, Side("t", (), (Field("name"),)))
 
@@ -141,16 +207,24 @@ def test_variance_cases(spark, a, b, kind, pct, over):
 
 
 def test_number_pattern_lets_every_number_through(spark):
-    """The pattern only spares failing casts: with and without it the result is the same."""
+    """The pattern spares failing casts, and tells NaN and Infinity, written so, from other words."""
     texts = [
         "1", "+1", "-1.5", "1.", ".5", ".", "", " ", "1e3", "1E-3", "1e", "1f", "1.0d", "1L", "0x1p3", "0x1.8P1", "0x10",
-        "0x.8p0f", "NaN", "nan", "-NaN", "inf", "-INF", "Infinity", "+infinity", "infinit", " 1 ", "\t2\n", "1 2", "1,000",
+        "0x.8p0f", "NaN", "-NaN", "Infinity", "-Infinity", "infinit", " 1 ", "\t2\n", "1 2", "1,000",
         "12 Main St", "abc", "1_000", "٣", "--1", "+-1", "1e3e3", "1..2", "true", "2024-01-01",
     ]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = ["nan", "inf", "-INF", "+infinity", "INFINITY"]
+    df = spark.createDataFrame([(t,) for t in texts + words], "t string")
     rows = df.select("t", variance.text_number(F.col("t")).alias("a"), F.col("t").try_cast("double").alias("b")).collect()
-    assert [(r["t"], str(r["a"])) for r in rows] == [(r["t"], str(r["b"])) for r in rows]
-    assert sum(r["a"] is not None for r in rows) >= 20
+    assert [(r["t"], str(r["a"])) for r in rows if r["t"] in texts] == [(r["t"], str(r["b"])) for r in rows if r["t"] in texts]
+    assert sum(r["a"] is not None for r in rows) >= 18
+    assert all(r["a"] is None for r in rows if r["t"] in words)
+
+
+@pytest.mark.parametrize("word", ["INF", "nan"])
+def test_other_spellings_are_text(spark, word):
+    row = verdict_of(spark, "12", word)
+    assert (row["variances"][0]["variance_type"], row["variances"][0]["variance_pct"], row["strict_verdict"]) == ("TEXT", None, "NOISY")
 
 
 def test_nan_does_not_exceed(spark):
