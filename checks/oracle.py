@@ -147,20 +147,20 @@ def summary(base: str, n: int, name: str, **options) -> str:
 
 def listed(where: str) -> str:
     return judged(ORDERS, 4) + f"""
-SELECT k_1, discrepancy_type, details, max_variance, strict_verdict FROM v
-WHERE status <> 'MATCH' AND {where}"""
+SELECT k_1, discrepancy_type, details, max_variance, strict_verdict, count(*) AS copies FROM v
+WHERE status <> 'MATCH' AND {where} GROUP BY ALL"""
 
 
 def verdicts(**thresholds) -> str:
     return judged(ORDERS, 4, **thresholds) + """
 SELECT k_1, status, matching_fields, total_fields, field_match_pct, excessive_fields, max_variance,
-       verdict, strict_verdict
-FROM v WHERE status <> 'MATCH'"""
+       verdict, strict_verdict, count(*) AS copies
+FROM v WHERE status <> 'MATCH' GROUP BY ALL"""
 
 
 def scoped(where: str) -> str:
     base = ORDERS.replace("FROM orders)", f"FROM orders WHERE {where})")
-    return aligned(base, 4) + "\nSELECT k_1, src_hash, tgt_hash, status FROM j"
+    return aligned(base, 4) + "\nSELECT k_1, src_hash, tgt_hash, status, count(*) AS copies FROM j GROUP BY ALL"
 
 
 def enriched(how: str) -> str:
@@ -172,7 +172,8 @@ ref AS (SELECT c_custkey, c_mktsegment FROM customer),
 src AS (SELECT o.*, c_mktsegment AS f5 FROM o {how} JOIN ref ON f1 = c_custkey),
 tgt AS (SELECT p.*, c_mktsegment AS f5 FROM p {how} JOIN ref ON f1 = c_custkey)"""
     return aligned(base, 5) + """
-SELECT k_1, s5 AS src_c_mktsegment, t5 AS tgt_c_mktsegment, src_hash, tgt_hash, status FROM j"""
+SELECT k_1, s5 AS src_c_mktsegment, t5 AS tgt_c_mktsegment, src_hash, tgt_hash, status, count(*) AS copies FROM j
+GROUP BY ALL"""
 
 
 CUSTOMER_KEYS = {"on": "CAST(s.k AS VARCHAR) = t.k", "keys": "coalesce(CAST(s.k AS VARCHAR), t.k) AS k_1", "prefix": "c"}
@@ -180,7 +181,7 @@ LINE_KEYS = {"on": "s.k = t.k AND s.k2 = t.k2", "keys": "coalesce(s.k, t.k) AS k
 
 VARIANCES = " UNION ALL ".join(
     f"SELECT k_1, '{name}' AS field_name, CAST(s{i} AS VARCHAR) AS source_value, CAST(t{i} AS VARCHAR) AS target_value, "
-    f"pct{i} AS variance_pct, type{i} AS variance_type FROM v WHERE status = 'MISMATCH'"
+    f"pct{i} AS variance_pct, type{i} AS variance_type, count(*) AS copies FROM v WHERE status = 'MISMATCH' GROUP BY ALL"
     for i, name in enumerate(ORDER_NAMES, start=1)
 )
 
@@ -216,7 +217,27 @@ PLAIN_HASH = "SELECT o_orderkey, {hash} AS record_hash FROM orders"
 ORDER_COLUMNS = ["o_custkey", "CAST(o_totalprice AS DECIMAL(19,4))", "o_orderdate", "o_orderstatus"]
 SHORT_PRICE = r"regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(19,4)) AS VARCHAR), '\.?0+$', '')"
 
-STATUS = "\nSELECT k_1, src_hash, tgt_hash, status FROM j"
+STATUS = "\nSELECT k_1, src_hash, tgt_hash, status, count(*) AS copies FROM j GROUP BY ALL"
+
+
+def with_copies(sql: str) -> str:
+    """Equal lines as one, with their number."""
+    return f"SELECT *, count(*) AS copies FROM ({sql}) GROUP BY ALL"
+
+
+SMALL = """
+src AS (SELECT o_orderkey AS k, {x} AS f1 FROM orders),
+tgt AS (SELECT k, CASE WHEN k % 20 = 3 THEN {step} ELSE f1 END AS f1 FROM src)"""
+VERDICTS = "\nSELECT k_1, status, verdict FROM v"
+
+FLOAT_KEYS = """
+src AS (SELECT CAST(o_orderkey * 0.00001 AS DECIMAL(20,5)) AS k, o_orderstatus AS f1 FROM orders),
+tgt AS (
+  SELECT CAST(CASE WHEN o_orderkey % 50 = 9 THEN -1 - o_orderkey ELSE o_orderkey END AS DOUBLE) / 100000.0::DOUBLE AS k,
+         CASE WHEN o_orderkey % 20 = 6 THEN 'Z' ELSE o_orderstatus END AS f1
+  FROM orders)"""
+FLOAT_KEY_PAIRS = {"on": "CAST(s.k AS DOUBLE) = t.k", "keys": "coalesce(CAST(s.k AS DOUBLE), t.k) AS k_1"}
+BY_ORDER = {"on": "s.k = t.k"}
 
 ORACLE: dict[str, str] = {
     "recon_summary": summary(ORDERS, 4, "orders"),
@@ -246,7 +267,7 @@ FROM orders""",
         src_hash=STORED_HASH.format(k="k", m=30),
         tgt_hash=STORED_HASH.format(k="k", m=15),
     )
-    + "\nSELECT k_1, src_hash, tgt_hash, status, verdict, strict_verdict FROM v",
+    + "\nSELECT k_1, src_hash, tgt_hash, status, verdict, strict_verdict, count(*) AS copies FROM v GROUP BY ALL",
     "composite_key_status": aligned(LINEITEMS, 3, **LINE_KEYS)
     + "\nSELECT k_1, k_2, status, count(*) AS pairs FROM j GROUP BY k_1, k_2, status",
     "composite_key_tally": aligned(LINEITEMS, 3, **LINE_KEYS)
@@ -266,9 +287,9 @@ SELECT domain, total_source, total_target, matched, mismatched, source_only, tar
        total_discrepancies
 FROM ({summary(LINEITEMS, 3, "lineitems", **LINE_KEYS)})""",
     "cross_type_key_status": aligned(CUSTOMERS, 4, **CUSTOMER_KEYS)
-    + "\nSELECT k_1, s3 AS src_c_acctbal, t3 AS tgt_balance, status FROM j",
+    + "\nSELECT k_1, s3 AS src_c_acctbal, t3 AS tgt_balance, status, count(*) AS copies FROM j GROUP BY ALL",
     "null_key_status": aligned(NULL_KEYS, 4)
-    + "\nSELECT k_1, src_present, tgt_present, src_hash, tgt_hash, status FROM j",
+    + "\nSELECT k_1, src_present, tgt_present, src_hash, tgt_hash, status, count(*) AS copies FROM j GROUP BY ALL",
     "missing_either_way": f"""WITH {ORDERS.strip()}
 SELECT k AS k_1, 'MISSING_IN_TARGET' AS discrepancy_type FROM src WHERE k NOT IN (SELECT k FROM tgt)
 UNION ALL
@@ -276,7 +297,7 @@ SELECT k, 'MISSING_IN_SOURCE' FROM tgt WHERE k NOT IN (SELECT k FROM src)""",
     "enriched_left": enriched("LEFT"),
     "enriched_inner": enriched("INNER"),
     "order_vs_lineitem_total": judged(ORDER_TOTALS, 1)
-    + "\nSELECT k_1, s1 AS order_price, t1 AS lines_price, status, max_variance, verdict FROM v",
+    + "\nSELECT k_1, s1 AS order_price, t1 AS lines_price, status, max_variance, verdict, count(*) AS copies FROM v GROUP BY ALL",
     "name_mapped_pairs": aligned(CUSTOMERS, 4, **CUSTOMER_KEYS) + STATUS,
     "case_insensitive": aligned(
         CUSTOMERS.replace("c_mktsegment AS c4", "lower(c_mktsegment) AS c4")
@@ -287,18 +308,43 @@ SELECT k, 'MISSING_IN_SOURCE' FROM tgt WHERE k NOT IN (SELECT k FROM src)""",
     )
     + STATUS,
     "date_vs_timestamp": aligned(SHIP_DATES, 1) + STATUS,
+    "small_decimals": with_copies(
+        judged(
+            SMALL.format(x="CAST(CAST(o_totalprice AS DECIMAL(19,4)) * 0.000001 AS DECIMAL(20,8))", step="CAST(f1 + 0.00000001 AS DECIMAL(20,8))"),
+            1,
+        )
+        + VERDICTS
+    ),
+    "double_values": with_copies(
+        judged(
+            SMALL.format(
+                x="CAST(CAST(o_totalprice AS DECIMAL(19,4)) AS DOUBLE) / 1000000.0::DOUBLE",
+                step="f1 * (1.0::DOUBLE + pow(2.0::DOUBLE, -52))",
+            ),
+            1,
+        )
+        + VERDICTS
+    ),
+    "float_keys": with_copies(aligned(FLOAT_KEYS, 1, **FLOAT_KEY_PAIRS) + "\nSELECT k_1, status FROM j"),
+    "number_words": """
+SELECT o_orderkey AS k_1, CASE WHEN o_orderkey % 7 IN (3, 4, 5) THEN 'NUMERIC' ELSE 'TEXT' END AS variance_type,
+       CASE WHEN o_orderkey % 7 IN (4, 5) THEN 'MATERIAL' ELSE 'NOISY' END AS verdict,
+       CASE WHEN o_orderkey % 7 IN (4, 5) THEN 'MATERIAL' ELSE 'NOISY' END AS strict_verdict, 1 AS copies
+FROM orders WHERE o_orderkey % 7 <> 0""",
+    "hot_key_status": aligned(LINEITEMS, 3, **BY_ORDER) + "\nSELECT k_1, status, count(*) AS pairs FROM j GROUP BY k_1, status",
+    "hot_key_summary": summary(LINEITEMS, 3, "by-order", **BY_ORDER),
     "field_variances": judged(ORDERS, 4) + f"\n{VARIANCES}",
     "verdicts": verdicts(),
     "verdicts_loose": verdicts(slo=75.0),
     "verdicts_strict": verdicts(slo=99.0, threshold=0.4),
     "document_verdicts": judged(DOCUMENTS, 3)
-    + "\nSELECT k_1, status, matching_fields, max_variance, verdict, strict_verdict FROM v",
+    + "\nSELECT k_1, status, matching_fields, max_variance, verdict, strict_verdict, count(*) AS copies FROM v GROUP BY ALL",
     "record_fields": aligned(ORDERS, 4)
     + """
 SELECT k_1, CASE WHEN tgt_present THEN CAST(k_1 AS VARCHAR) END AS id, tgt_hash AS record_hash,
        CASE WHEN tgt_present THEN 'target' END AS side, CAST(t2 AS VARCHAR) AS price, t4 AS o_orderstatus,
-       CASE WHEN tgt_present THEN 'o_custkey,o_orderdate,o_orderstatus,price' END AS field_names
-FROM j""",
+       CASE WHEN tgt_present THEN 'o_custkey,o_orderdate,o_orderstatus,price' END AS field_names, count(*) AS copies
+FROM j GROUP BY ALL""",
     "status_breakdown": aligned(ORDERS, 4) + "\nSELECT status, count(*) AS records FROM j GROUP BY status",
     "verdict_breakdown": judged(ORDERS, 4) + "\nSELECT verdict, count(*) AS records FROM v GROUP BY verdict",
     "type_breakdown": judged(ORDERS, 4)
@@ -329,14 +375,33 @@ SELECT CAST(k_1 AS VARCHAR) AS record_id, src_hash, tgt_hash, discrepancy_type,
             ELSE 'Record exists in target but not in source' END AS type_description,
        details, verdict,
        CASE verdict WHEN 'NOISY' THEN 'Noisy - Minor differences (variance <= 1% on all fields)'
-            ELSE 'Material - Significant differences (variance > 1% on some fields)' END AS verdict_description
-FROM v WHERE status <> 'MATCH'""",
+            ELSE 'Material - Significant differences (variance > 1% on some fields)' END AS verdict_description,
+       count(*) AS copies
+FROM v WHERE status <> 'MATCH' GROUP BY ALL""",
+    "rare_discrepancies": listed("TRUE"),
+    "discrepancy_json": with_copies(
+        judged(ORDERS, 4)
+        + """
+SELECT discrepancy_type, verdict, details, CASE WHEN src_present THEN CAST(k_1 AS VARCHAR) END AS source_id,
+       src_hash AS source_hash, CASE WHEN tgt_present THEN CAST(k_1 AS VARCHAR) END AS target_id, tgt_hash AS target_hash
+FROM v WHERE status <> 'MATCH'"""
+    ),
+    "discrepancy_second_page": judged(ORDERS, 4)
+    + """
+SELECT k_1, status, discrepancy_type, count(*) AS copies FROM v WHERE status <> 'MATCH'
+GROUP BY k_1, status, discrepancy_type ORDER BY k_1 LIMIT 100 OFFSET 100""",
     "discrepancy_page": judged(ORDERS, 4)
     + """
 SELECT k_1, status, discrepancy_type, count(*) AS copies FROM v WHERE status <> 'MATCH'
 GROUP BY k_1, status, discrepancy_type ORDER BY k_1 LIMIT 100""",
     "scope_period": scoped("CAST(o_orderdate AS DATE) = DATE '1996-09-17'"),
     "scope_entity": scoped("o_custkey = 605"),
+    "scope_other_column": aligned(
+        ORDERS.replace("src AS (", "src0 AS (", 1).replace("FROM src)", "FROM src0)").replace("tgt AS (", "tgt0 AS (")
+        + ", src AS (SELECT * FROM src0 WHERE f4 = 'F'), tgt AS (SELECT * FROM tgt0 WHERE f4 = 'F')",
+        4,
+    )
+    + STATUS,
     "scope_range": scoped("CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'"),
     "key_audit": """
 SELECT l_orderkey, l_linenumber, count(*) AS row_count,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import pairs
@@ -17,7 +17,7 @@ from concord.operators.enrich import enrich_side
 from concord.operators.hashview import prepare
 from concord.operators.records import field_names, get_field, record
 from concord.plans import contracts, report
-from concord.plans.reconcile import field_variances
+from concord.plans.reconcile import field_variances, rare_discrepancies
 from concord.plans.summary import breakdown, count_statuses, text_line, union_summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,7 @@ def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).aligned.select("k_1", "src_hash", "tgt_hash", "status")
+    return _orders(spark, sf_dir).aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
 
 def precomputed_hash_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def precomputed_hash_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_record_hash", F.when(key % 15 != 1, F.md5(F.concat_ws("|", "o_custkey", "o_orderstatus")))
     )
     r = reconcile(src, tgt, pairs.orders_domain(), use_hash_column=True)
-    return r.judged.select("k_1", "src_hash", "tgt_hash", "status", "verdict", "strict_verdict")
+    return r.judged.select("k_1", "src_hash", "tgt_hash", "status", "verdict", "strict_verdict", "copies")
 
 
 def composite_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def composite_key_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_type_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _customers(spark, sf_dir)
-    return r.aligned.select("k_1", "src_c_acctbal", "tgt_balance", "status")
+    return r.aligned.select("k_1", "src_c_acctbal", "tgt_balance", "status", "copies")
 
 
 def null_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def null_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         without(pairs.orders_copy(spark, sf_dir), "O"),
         pairs.orders_domain(),
     )
-    return r.aligned.select("k_1", "src_present", "tgt_present", "src_hash", "tgt_hash", "status")
+    return r.aligned.select("k_1", "src_present", "tgt_present", "src_hash", "tgt_hash", "status", "copies")
 
 
 def missing_either_way(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def _enriched(how: str) -> Query:
             enrich_side(renumbered(pairs.orders_copy(spark, sf_dir)), side, customers),
             Domain(f"enriched-{how}", side, side),
         )
-        return r.aligned.select("k_1", "src_c_mktsegment", "tgt_c_mktsegment", "src_hash", "tgt_hash", "status")
+        return r.aligned.select("k_1", "src_c_mktsegment", "tgt_c_mktsegment", "src_hash", "tgt_hash", "status", "copies")
 
     return query
 
@@ -184,7 +184,7 @@ def order_vs_lineitem_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reconcile(pairs.orders(spark, sf_dir), totals, domain)
     return r.judged.select(
         "k_1", F.col("src_price").alias("order_price"), F.col("tgt_total").alias("lines_price"),
-        "status", "max_variance", "verdict",
+        "status", "max_variance", "verdict", "copies",
     )
 
 
@@ -194,11 +194,11 @@ def name_mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = {"c_name": "full_name", "c_nationkey": "nation", "c_acctbal": "balance", "c_mktsegment": "segment"}
     domain = Domain("mapped", d.source, shuffled, field_mappings=mapping)
     r = reconcile(pairs.customers(spark, sf_dir), pairs.customers_copy(spark, sf_dir), domain)
-    return r.aligned.select("k_1", "src_hash", "tgt_hash", "status")
+    return r.aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
 
 def case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir, ignore_case=True).aligned.select("k_1", "src_hash", "tgt_hash", "status")
+    return _customers(spark, sf_dir, ignore_case=True).aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
 
 def date_vs_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,59 @@ def date_vs_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("l_shipdate").cast("date").alias("ship"))
     )
     orders = pairs.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("ship"))
-    return reconcile(first, orders, domain).aligned.select("k_1", "src_hash", "tgt_hash", "status")
+    return reconcile(first, orders, domain).aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
+
+
+# Exact numbers and odd words
+
+
+def _numbers(make: Callable[[DataFrame], DataFrame], change: Callable[[Column], Column], declared: str) -> Query:
+    """Orders with one number each, against a copy in which one in 20 is off by the least step."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        src = make(pairs.orders(spark, sf_dir)).select("o_orderkey", "x")
+        tgt = src.withColumn("x", F.when(F.col("o_orderkey") % 20 == 3, change(F.col("x"))).otherwise(F.col("x")))
+        side = Side("orders", (Field("o_orderkey", "BIGINT"),), (Field("x", declared),))
+        return reconcile(src, tgt, Domain("numbers", side, side)).judged.select("k_1", "status", "verdict", "copies")
+
+    return query
+
+
+def float_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    src = pairs.orders(spark, sf_dir).select((key * F.lit("0.00001").cast("decimal(6,5)")).cast("decimal(20,5)").alias("ref"), "o_orderstatus")
+    tgt = pairs.orders_copy(spark, sf_dir).select((key.cast("double") / 100000.0).alias("ref"), "o_orderstatus")
+    side = Side("orders", (Field("ref", "NUMERIC"),), (Field("o_orderstatus"),))
+    return reconcile(src, tgt, Domain("float-keys", side, side)).aligned.select("k_1", "status", "copies")
+
+
+def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = F.col("o_orderkey") % 7
+    word = F.coalesce(*[F.when(rule == i, w) for i, w in enumerate(("12", "INF", "nan", "NaN", "Infinity", "0x1p3", "12 x"))])
+    side = Side("orders", (Field("o_orderkey", "BIGINT"),), (Field("word"),))
+    src = pairs.orders(spark, sf_dir).select("o_orderkey", F.lit("12").alias("word"))
+    tgt = pairs.orders(spark, sf_dir).select("o_orderkey", word.alias("word"))
+    found = reconcile(src, tgt, Domain("words", side, side)).discrepancies
+    return found.select("k_1", F.col("variances")[0]["variance_type"].alias("variance_type"), "verdict", "strict_verdict", "copies")
+
+
+# Repeated keys that are split over tasks
+
+
+def _by_order(spark: SparkSession, sf_dir: str) -> Result:
+    """Line items by order alone: up to several lines a key on both sides, split from three on."""
+    side = Side("lineitem", (Field("l_orderkey", "BIGINT"),), pairs.lineitems_domain().source.hash_fields)
+    return reconcile(
+        pairs.lineitems(spark, sf_dir), pairs.lineitems_copy(spark, sf_dir), Domain("by-order", side, side), hot_rows=3
+    )
+
+
+def hot_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_order(spark, sf_dir).aligned.groupBy("k_1", "status").agg(F.sum("copies").alias("pairs"))
+
+
+def hot_key_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_order(spark, sf_dir).summary
 
 
 # Variance and verdicts
@@ -222,14 +274,14 @@ def date_vs_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_field_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _orders(spark, sf_dir)
-    return field_variances(r.discrepancies, r.keys).drop("copies")
+    return field_variances(r.discrepancies, r.keys)
 
 
 def _verdicts(**options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _orders(spark, sf_dir, **options).discrepancies.select(
             "k_1", "status", "matching_fields", "total_fields", "field_match_pct",
-            "excessive_fields", "max_variance", "verdict", "strict_verdict",
+            "excessive_fields", "max_variance", "verdict", "strict_verdict", "copies",
         )
 
     return query
@@ -239,7 +291,7 @@ def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reconcile(
         pairs.documents(spark, sf_dir), pairs.documents_copy(spark, sf_dir), pairs.documents_domain()
     )
-    return r.judged.select("k_1", "status", "matching_fields", "max_variance", "verdict", "strict_verdict")
+    return r.judged.select("k_1", "status", "matching_fields", "max_variance", "verdict", "strict_verdict", "copies")
 
 
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +304,7 @@ def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         get_field("rec", "price").alias("price"),
         get_field("rec", "o_orderstatus").alias("o_orderstatus"),
         F.array_join(F.array_sort(field_names("rec")), ",").alias("field_names"),
+        "copies",
     )
 
 
@@ -295,7 +348,7 @@ def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _listed(pick: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = pick(_orders(spark, sf_dir).discrepancies)
-        return rows.select("k_1", "discrepancy_type", "details", "max_variance", "strict_verdict")
+        return rows.select("k_1", "discrepancy_type", "details", "max_variance", "strict_verdict", "copies")
 
     return query
 
@@ -303,10 +356,40 @@ def _listed(pick: Callable[[DataFrame], DataFrame]) -> Query:
 def discrepancy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.descriptions(_orders(spark, sf_dir).discrepancies).select(
         "record_id", "src_hash", "tgt_hash", "discrepancy_type", "type_description", "details",
-        "verdict", "verdict_description",
+        "verdict", "verdict_description", "copies",
+    )
+
+
+def rare_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rare_discrepancies(pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), pairs.orders_domain())
+    return found.select("k_1", "discrepancy_type", "details", "max_variance", "strict_verdict", "copies")
+
+
+def discrepancy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON report, read again: types, ids and hashes of both records, and the number of variances."""
+    text = report.discrepancy_json(_orders(spark, sf_dir))
+
+    def at(path: str) -> Column:
+        return F.get_json_object("discrepancy", f"$.{path}")
+
+    return text.select(
+        at("discrepancyType").alias("discrepancy_type"),
+        at("verdict").alias("verdict"),
+        at("details").alias("details"),
+        at("sourceRecord.id").alias("source_id"),
+        at("sourceRecord.recordHash").alias("source_hash"),
+        at("targetRecord.id").alias("target_id"),
+        at("targetRecord.recordHash").alias("target_hash"),
+        at("copies").cast("bigint").alias("copies"),
     )
 
 
+def discrepancy_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _orders(spark, sf_dir).discrepancies
+    last = listing.page(found, 100).collect()[-1]  # the line the reader has come to
+    return listing.page(found, 100, last).select("k_1", "status", "discrepancy_type", "copies")
+
+
 def discrepancy_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.page(_orders(spark, sf_dir).discrepancies, 100).select(
         "k_1", "status", "discrepancy_type", "copies"
@@ -316,14 +399,14 @@ def discrepancy_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scope
 
 
-def _scoped(field: str, restrict: Callable[[DataFrame, str], DataFrame]) -> Query:
+def _scoped(field: str | tuple[str, str], restrict: Callable[[DataFrame, str], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         domain = pairs.orders_domain()
         src, tgt = scope.both_sides(
             pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), domain, field, restrict
         )
         r = reconcile(src, tgt, domain)
-        return r.aligned.select("k_1", "src_hash", "tgt_hash", "status")
+        return r.aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
     return query
 
@@ -375,6 +458,18 @@ QUERIES: dict[str, Query] = {
     "name_mapped_pairs": name_mapped_pairs,
     "case_insensitive": case_insensitive,
     "date_vs_timestamp": date_vs_timestamp,
+    "small_decimals": _numbers(
+        lambda df: df.withColumn("x", (F.col("price") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(20,8)")),
+        lambda x: (x + F.lit("0.00000001").cast("decimal(9,8)")).cast("decimal(20,8)"),
+        "DECIMAL",
+    ),
+    "double_values": _numbers(
+        lambda df: df.withColumn("x", F.col("price").cast("double") / 1e6), lambda x: x * (1 + 2.0**-52), "DOUBLE"
+    ),
+    "float_keys": float_keys,
+    "number_words": number_words,
+    "hot_key_status": hot_key_status,
+    "hot_key_summary": hot_key_summary,
     "field_variances": order_field_variances,
     "verdicts": _verdicts(),
     "verdicts_loose": _verdicts(slo_target=75.0),
@@ -392,9 +487,13 @@ QUERIES: dict[str, Query] = {
     "missing_in_source": _listed(lambda d: listing.of_type(d, "MISSING_IN_SOURCE")),
     "high_variance": _listed(lambda d: listing.high_variance(d, 5.0)),
     "discrepancy_report": discrepancy_report,
+    "rare_discrepancies": rare_lists,
+    "discrepancy_json": discrepancy_json,
     "discrepancy_page": discrepancy_page,
+    "discrepancy_second_page": discrepancy_second_page,
     "scope_period": _scoped("o_orderdate", lambda df, c: scope.period(df, c, "1996-09-17")),
     "scope_entity": _scoped("o_custkey", lambda df, c: scope.entity(df, c, 605)),
+    "scope_other_column": _scoped(("o_orderstatus", "o_orderstatus"), lambda df, c: scope.entity(df, c, "F")),
     "scope_range": _scoped("o_orderdate", lambda df, c: scope.date_range(df, c, "1996-01-01", "1997-12-31")),
     "key_audit": key_audit,
     "type_conformance": type_conformance,

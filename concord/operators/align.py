@@ -1,8 +1,8 @@
-"""Align two sides on their keys: every row of either side, paired with its partners.
+"""Align two sides on their keys: every distinct row of either side, paired with its partners.
 
-The frame has one row per joined pair (or one-sided row) with a `copies` count. `copies` is 1
-except for keys repeated so often that one task could not hold them: of those, equal rows are
-counted instead of repeated, so sums over `copies` are the same for every plan.
+Equal rows of a side are always counted, never repeated: the frame has one row per pair of distinct rows
+(or per distinct one-sided row), and `copies` says how many pairs, or rows, it stands for. This holds
+for every key, NULL ones included; how the work is dealt to tasks does not change the frame.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.functions import verdict
 from concord.operators.hashview import Prepared
 
-# A key with this many rows on one side is split over several tasks.
+# A key with this many rows on one side, or CELL_ROWS times as many pairs, is split over several tasks.
 HOT_ROWS = 10_000
-# At most this many keys are split; keys beyond it take the ordinary join.
-MAX_HOT_KEYS = 10_000
-# Distinct rows of one key, per side, that one task compares.
+# Rows of one key, per side, that one task compares.
 CELL_ROWS = 1_000
 
 
@@ -27,61 +26,48 @@ def has_null_key(keys: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def hot_keys(p: Prepared, hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
-    """The keys with at least `hot_rows` rows on a side, or None if there are none.
-
-    Runs at once, unless `hot_rows` is None. It reads the key columns alone, counts within each
-    task before the shuffle, and brings back the hottest MAX_HOT_KEYS keys at most. The answer
-    decides where rows are compared, never which rows are.
-    """
-    if hot_rows is None:
-        return None
-    one, none = F.lit(1), F.lit(0)
+def key_rows(p: Prepared) -> DataFrame:
+    """Rows per key on either side, counted within each task first: (keys, src_rows, tgt_rows)."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     both = p.source.select(*p.keys, one.alias("s"), none.alias("t")).unionAll(
         p.target.select(*p.keys, none.alias("s"), one.alias("t"))
     )
-    heavy = (
-        both.where(~has_null_key(p.keys))
-        .groupBy(*p.keys)
-        .agg(F.greatest(F.sum("s"), F.sum("t")).alias("rows"))
-        .where(F.col("rows") >= hot_rows)
-        .orderBy(F.desc("rows"))
-        .limit(MAX_HOT_KEYS)
-        .select(*p.keys)
-    )
-    found = heavy.collect()
-    return p.source.sparkSession.createDataFrame(found, heavy.schema) if found else None
+    return both.groupBy(*p.keys).agg(F.sum("s").alias("src_rows"), F.sum("t").alias("tgt_rows"))
+
 
+def hot_keys(p: Prepared, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys to split, any number of them, with their rows on either side. Lazy, and a shuffle of its own,
+    so that adaptive execution sees its true size when it picks the joins."""
+    s, t = F.col("src_rows"), F.col("tgt_rows")
+    pairs = s.cast("double") * t >= float(hot_rows) * CELL_ROWS
+    return key_rows(p).where(~has_null_key(p.keys) & ((F.greatest(s, t) >= hot_rows) | pairs)).repartition(*p.keys)
 
-def align(p: Prepared, hot: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Full outer join on all keys, with presence flags and status.
+
+def align(p: Prepared, hot_rows: int | None = HOT_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Full outer join on all keys, with presence flags, copies and status.
 
     Rows with a NULL key have no partner and never enter the join, so they are not gathered
-    into one task. Keys listed in `hot` (see `hot_keys`) are split over several tasks.
+    into one task. Keys that `hot_keys` finds are compared cell by cell; None leaves the search out.
     """
-    null_key = has_null_key(p.keys)
-    src = p.source.where(~null_key)
-    tgt = p.target.where(~null_key)
-
+    src, tgt = p.keyed()
     parts = []
-    if hot is not None:
-        # `hot` holds at most MAX_HOT_KEYS rows.
-        listed = F.broadcast(hot)
-        parts += _hot_pairs(
-            src.join(listed, p.keys, "left_semi"), tgt.join(listed, p.keys, "left_semi"), p.keys, cell_rows
-        )
-        src = src.join(listed, p.keys, "left_anti")
-        tgt = tgt.join(listed, p.keys, "left_anti")
-    parts.insert(0, _present(src, "src").join(_present(tgt, "tgt"), p.keys, "full_outer"))
-    if any(f.nullable for f in p.source.select(*p.keys).schema):
-        parts.append(_present(p.source.where(null_key), "src"))
-    if any(f.nullable for f in p.target.select(*p.keys).schema):
-        parts.append(_present(p.target.where(null_key), "tgt"))
+    if hot_rows is not None:
+        hot = hot_keys(p, hot_rows)
+        parts = _hot_pairs(src, tgt, hot, p.keys, cell_rows)
+        src = src.join(hot.select(*p.keys), p.keys, "left_anti")
+        tgt = tgt.join(hot.select(*p.keys), p.keys, "left_anti")
+    # Equal rows are counted where the join needs them, so that counting moves nothing.
+    s = _present(_distinct(src.repartition(*p.keys), "src_copies"), "src")
+    t = _present(_distinct(tgt.repartition(*p.keys), "tgt_copies"), "tgt")
+    copies = F.coalesce("src_copies", F.lit(1)) * F.coalesce("tgt_copies", F.lit(1))
+    parts.insert(0, s.join(t, p.keys, "full_outer").withColumn("copies", copies).drop("src_copies", "tgt_copies"))
+    for df, side in zip(p.loose(), ("src", "tgt")):
+        if df is not None:
+            parts.append(_present(_distinct(df, "copies"), side))
 
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("src_present", "tgt_present")}
-    copies = F.coalesce("copies", F.lit(1)) if "copies" in rows.columns else F.lit(1)
-    return rows.withColumns({**flags, "copies": copies.cast("bigint")}).withColumn(
+    return rows.withColumns(flags).withColumn(
         "status",
         verdict.status(F.col("src_present"), F.col("tgt_present"), F.col("src_hash"), F.col("tgt_hash")),
     )
@@ -91,26 +77,27 @@ def _present(df: DataFrame, side: str) -> DataFrame:
     return df.withColumn(f"{side}_present", F.lit(True))
 
 
-def _hot_pairs(src: DataFrame, tgt: DataFrame, keys: list[str], cell_rows: int) -> list[DataFrame]:
-    """Rows of the hot keys: counted per distinct row, then compared cell by cell.
+def _distinct(df: DataFrame, copies: str) -> DataFrame:
+    """Distinct rows with their number. Floats are grouped by their text, which tells -0.0 from 0.0."""
+    floats = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    texts = df.withColumns({c: F.col(c).cast("string") for c in floats}) if floats else df
+    counted = texts.groupBy(*df.columns).agg(F.count("*").alias(copies))
+    return counted.withColumns({c: F.col(c).cast(kind) for c, kind in floats.items()}) if floats else counted
 
-    The distinct rows of a key are spread by a hash of their values over as many cells as their
-    number asks for, and each cell of one side meets every cell of the other exactly once.
+
+def _hot_pairs(src: DataFrame, tgt: DataFrame, hot: DataFrame, keys: list[str], cell_rows: int) -> list[DataFrame]:
+    """Rows of the hot keys: counted per distinct row in each task first, then compared cell by cell.
+
+    The rows of a key are spread by a hash of their values over as many cells as their number asks for, and
+    each cell of one side meets every cell of the other exactly once.
     """
-    s = src.groupBy(*src.columns).agg(F.count("*").alias("src_copies"))
-    t = tgt.groupBy(*tgt.columns).agg(F.count("*").alias("tgt_copies"))
-    # One row per hot key, so at most MAX_HOT_KEYS rows.
-    grid = F.broadcast(
-        s.groupBy(*keys).agg(F.count("*").alias("n"))
-        .join(t.groupBy(*keys).agg(F.count("*").alias("m")), keys, "full_outer")
-        .select(
-            *keys,
-            F.ceil(F.coalesce("n", F.lit(0)) / cell_rows).alias("src_cells"),
-            F.ceil(F.coalesce("m", F.lit(0)) / cell_rows).alias("tgt_cells"),
-        )
+    sizes = hot.select(
+        *keys,
+        F.ceil(F.col("src_rows") / cell_rows).alias("src_cells"),
+        F.ceil(F.col("tgt_rows") / cell_rows).alias("tgt_cells"),
     )
-    s = s.join(grid, keys)
-    t = t.join(grid, keys)
+    s = _distinct(src.join(sizes, keys), "src_copies")
+    t = _distinct(tgt.join(sizes, keys), "tgt_copies")
     row, col = F.col("src_cells"), F.col("tgt_cells")
     s_cells = s.where(col > 0).select(
         *src.columns, "src_copies",
@@ -139,10 +126,21 @@ def _hot_pairs(src: DataFrame, tgt: DataFrame, keys: list[str], cell_rows: int)
 
 
 def one_sided(p: Prepared) -> tuple[DataFrame, DataFrame]:
-    """Rows missing on the other side, without aligning the rest: (source only, target only)."""
-    src_keys = p.source.select(*p.keys).distinct()
-    tgt_keys = p.target.select(*p.keys).distinct()
-    return p.source.join(tgt_keys, p.keys, "left_anti"), p.target.join(src_keys, p.keys, "left_anti")
+    """Rows missing on the other side, without aligning the rest: (source only, target only).
+
+    Keys are counted on both sides in one pass; the rows of the odd ones are then looked up.
+    """
+    rows = key_rows(p)
+    null_key = has_null_key(p.keys)
+
+    def missing(df: DataFrame, own: str, other: str) -> DataFrame:
+        keys = rows.where((F.col(own) > 0) & (F.col(other) == 0) & ~null_key).select(*p.keys).repartition(*p.keys)
+        return df.join(keys, p.keys, "left_semi").select(*df.columns)
+
+    src, tgt = p.keyed()
+    found = [missing(src, "src_rows", "tgt_rows"), missing(tgt, "tgt_rows", "src_rows")]
+    s, t = (f if loose is None else f.unionAll(loose) for f, loose in zip(found, p.loose()))
+    return s, t
 
 
 def key_tally(p: Prepared) -> DataFrame:

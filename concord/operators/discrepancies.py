@@ -35,7 +35,8 @@ def page(df: DataFrame, size: int, after: Row | None = None) -> DataFrame:
     """The next `size` lines in key order after the last line of the page before.
 
     Equal lines are one line with their number of copies, so a key repeated across a page
-    border loses nothing. The start is a filter: a late page costs no more than an early one.
+    border loses nothing. Each page runs the alignment; give both sides a lower bound on the key
+    beforehand (`scope`) where that is dear.
     """
     order = [*keys_of(df), "status", "src_hash", "tgt_hash", "verdict", "strict_verdict"]
     if after is not None:
@@ -48,7 +49,7 @@ def page(df: DataFrame, size: int, after: Row | None = None) -> DataFrame:
 
 def hashes(df: DataFrame) -> DataFrame:
     """Record id with both hashes."""
-    return df.select("record_id", "src_hash", "tgt_hash")
+    return df.select("record_id", "src_hash", "tgt_hash", "copies")
 
 
 def by_type(df: DataFrame) -> DataFrame:

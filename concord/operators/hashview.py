@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,23 @@ class Prepared:
     target: DataFrame
     keys: list[str]
     pairs: list[PairColumns]
+    # Rows with a NULL key, found by the columns as stored, which lets the filter reach the scan. None: there can be none.
+    null_source: DataFrame | None = None
+    null_target: DataFrame | None = None
+
+    def keyed(self) -> tuple[DataFrame, DataFrame]:
+        """The rows that can have a partner."""
+        full = ~reduce(lambda a, b: a | b, [F.col(k).isNull() for k in self.keys])
+        return self.source.where(full), self.target.where(full)
+
+    def loose(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """The rows that can't, as a part of their key is NULL."""
+        return self.null_source, self.null_target
+
+    def narrowed(self, src_columns: list[str], tgt_columns: list[str]) -> "Prepared":
+        """The same with some of the columns."""
+        s, t = (None if d is None else d.select(*c) for d, c in zip(self.loose(), (src_columns, tgt_columns)))
+        return replace(self, source=self.source.select(*src_columns), target=self.target.select(*tgt_columns), null_source=s, null_target=t)
 
 
 def prepare(source: DataFrame, target: DataFrame, domain: Domain, use_hash_column: bool = False) -> Prepared:
@@ -136,14 +154,25 @@ def prepare(source: DataFrame, target: DataFrame, domain: Domain, use_hash_colum
 
     src_hash = _hash(source, src_texts, domain, use_hash_column)
     tgt_hash = _hash(target, tgt_texts, domain, use_hash_column)
+    src_cols.append(src_hash.alias("src_hash"))
+    tgt_cols.append(tgt_hash.alias("tgt_hash"))
+    null_source = _null_keys(source, [a.name for a, _ in domain.id_pairs()])
+    null_target = _null_keys(target, [b.name for _, b in domain.id_pairs()])
     return Prepared(
-        source.select(*src_cols, src_hash.alias("src_hash")),
-        target.select(*tgt_cols, tgt_hash.alias("tgt_hash")),
+        source.select(*src_cols),
+        target.select(*tgt_cols),
         keys,
         pairs,
+        None if null_source is None else null_source.select(*src_cols),
+        None if null_target is None else null_target.select(*tgt_cols),
     )
 
 
+def _null_keys(df: DataFrame, names: list[str]) -> DataFrame | None:
+    nullable = [f.name for f in df.schema if f.nullable and f.name.lower() in {n.lower() for n in names}]
+    return df.where(reduce(lambda a, b: a | b, [df[n].isNull() for n in nullable])) if nullable else None
+
+
 def _hash(df: DataFrame, texts: Sequence[Column], domain: Domain, use_hash_column: bool) -> Column:
     if not use_hash_column:
         return canon.record_hash(texts, domain.algorithm)

@@ -46,12 +46,19 @@ def date_range(df: DataFrame, column: str, first: str | dt.date, last: str | dt.
 
 
 def both_sides(
-    source: DataFrame, target: DataFrame, domain: Domain, field: str, restrict: Callable[[DataFrame, str], DataFrame]
+    source: DataFrame,
+    target: DataFrame,
+    domain: Domain,
+    field: str | tuple[str, str],
+    restrict: Callable[[DataFrame, str], DataFrame],
 ) -> tuple[DataFrame, DataFrame]:
     """Apply a filter to a source field and to the target field it is paired with.
 
+    `field` names a source field, or any column of each side, which need not be compared.
     `restrict` takes a frame and a column name, e.g. `lambda df, c: period(df, c, "2024-01-31")`.
     """
+    if not isinstance(field, str):
+        return restrict(source, field[0]), restrict(target, field[1])
     for a, b in [*domain.id_pairs(), *domain.field_pairs()]:
         if a.name == field:
             return restrict(source, a.name), restrict(target, b.name)

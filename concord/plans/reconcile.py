@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from concord.domain import Domain
 from concord.functions import canon, variance, verdict
-from concord.operators.align import HOT_ROWS, align, has_null_key, hot_keys, key_tally
+from concord.operators.align import HOT_ROWS, align, has_null_key, key_rows, key_tally
 from concord.operators.hashview import PairColumns, Prepared, number_column, prepare, short_column
 from concord.operators.records import record_id
 from concord.plans import contracts
@@ -20,7 +20,7 @@ from concord.plans.summary import count_statuses, summarize
 
 @dataclass(frozen=True)
 class Result:
-    """Lazy frames; nothing but the hot-key list has been computed.
+    """Lazy frames; nothing has been computed.
 
     `rows` are the aligned rows with the extra columns of text fields (see PairColumns).
     """
@@ -30,6 +30,8 @@ class Result:
     target: DataFrame
     prepared: Prepared
     rows: DataFrame
+    # Rows per key, from the pass that looks for hot keys; None if that is left out.
+    counts: DataFrame | None = None
 
     @property
     def keys(self) -> list[str]:
@@ -62,7 +64,7 @@ class Result:
     @property
     def summary(self) -> DataFrame:
         """One row of counts and gates."""
-        return summarize(self.judged, self.source, self.target, self.domain)
+        return summarize(self.judged, self.source, self.target, self.domain, self.counts)
 
     @property
     def key_counts(self) -> DataFrame:
@@ -94,6 +96,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def checked_folder(spark: SparkSession, folder: str) -> str:
+    """A folder given by the caller, which must not be on one machine's own disk."""
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (folder.startswith("file:") or "://" not in folder and _default_is_local(spark)):
+        raise ValueError(f"{folder} is a local folder, which executors on other machines do not see")
+    return folder
+
+
+def _default_is_local(spark: SparkSession) -> bool:
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+
+
 def without_extras(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
@@ -106,14 +120,15 @@ def reconcile(
     use_hash_column: bool = False,
     hot_rows: int | None = HOT_ROWS,
 ) -> Result:
-    """Compare two relations as the domain says.
+    """Compare two relations as the domain says. Starts no job.
 
     `use_hash_column` trusts a stored hash instead of computing one. `hot_rows` is the number of
-    rows from which a key is split over several tasks; None skips the search for such keys.
+    rows from which a key is split over several tasks; None skips the search for such keys, which
+    reads the key columns of both sides once more. The frames are the same either way.
     """
     contracts.require(source, target, domain, use_hash_column)
     p = prepare(source, target, domain, use_hash_column)
-    return Result(domain, source, target, p, align(p, hot_keys(p, hot_rows)))
+    return Result(domain, source, target, p, align(p, hot_rows), None if hot_rows is None else key_rows(p))
 
 
 def rare_discrepancies(
@@ -131,22 +146,28 @@ def rare_discrepancies(
     to the shared folder. Only rows of those keys then take part in the comparison of fields.
     Spark joins them by the written size: broadcast when small, shuffled otherwise. Costs a second
     read of both sides, and spares the shuffle of every matching row's fields. The written keys
-    are read again by every action on the result; clearing them away is left to the caller.
+    are read again by every action on the result; `clear_written` removes them when it is done with.
     """
     contracts.require(source, target, domain, use_hash_column)
     p = prepare(source, target, domain, use_hash_column)
-    hot = hot_keys(p, hot_rows)
-    thin = replace(p, source=p.source.select(*p.keys, "src_hash"), target=p.target.select(*p.keys, "tgt_hash"))
-    odd = align(thin, hot).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
-    path = f"{folder or shared_folder(source.sparkSession)}/odd-keys-{uuid.uuid4()}"
+    thin = p.narrowed([*p.keys, "src_hash"], [*p.keys, "tgt_hash"])
+    odd = align(thin, hot_rows).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
+    base = checked_folder(source.sparkSession, folder) if folder else shared_folder(source.sparkSession)
+    path = f"{base}/odd-keys-{uuid.uuid4()}"
     odd.select(*p.keys).distinct().write.parquet(path)
     keys = source.sparkSession.read.parquet(path)
+    q = replace(
+        p, source=p.source.join(keys, p.keys, "left_semi"), target=p.target.join(keys, p.keys, "left_semi")
+    )
+    return Result(domain, source, target, q, align(q, hot_rows)).discrepancies
 
-    def picked(df: DataFrame) -> DataFrame:
-        return df.join(keys, p.keys, "left_semi").unionAll(df.where(has_null_key(p.keys)))
 
-    q = replace(p, source=picked(p.source), target=picked(p.target))
-    return Result(domain, source, target, q, align(q, hot)).discrepancies
+def clear_written(discrepancies: DataFrame) -> None:
+    """Delete the keys that `rare_discrepancies` wrote for this frame."""
+    spark = discrepancies.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in discrepancies.inputFiles() if "/odd-keys-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from concord import reconcile
 from concord.operators.align import align, has_null_key, hot_keys, key_tally, one_sided
 from concord.operators.hashview import prepare
-from concord.plans.reconcile import Result, rare_discrepancies
+from concord.plans.reconcile import Result, clear_written, rare_discrepancies
 from helpers import brute_force, counted, domain, frame
 
 AMOUNTS = [None, Decimal("0.00"), Decimal("100.00"), Decimal("100.50"), Decimal("-100.00"), Decimal("250.00")]
@@ -45,9 +45,8 @@ def test_one_key_holds_a_third_of_both_sides(spark, cell_rows):
     tgt = sample(rng, 200, 1, hot_key=(5,), share=0.4)
     d = domain()
     p = prepare(frame(spark, src), frame(spark, tgt), d)
-    hot = hot_keys(p, 40)
-    assert 5 in {row["k_1"] for row in hot.collect()}
-    rows = align(p, hot, cell_rows)
+    assert 5 in {row["k_1"] for row in hot_keys(p, 40).collect()}
+    rows = align(p, 40, cell_rows)
     r = Result(d, p.source, p.target, p, rows)
     assert counted(r.judged) == brute_force(src, tgt)
     # Copies are counted, not repeated: one line per pair of distinct rows.
@@ -73,7 +72,7 @@ def test_hot_key_against_a_single_row(spark):
     tgt = [(1, Decimal(5), "n"), (3, Decimal(1), "n")]
     d = domain()
     p = prepare(frame(spark, src), frame(spark, tgt), d)
-    r = Result(d, p.source, p.target, p, align(p, hot_keys(p, 100), cell_rows=10))
+    r = Result(d, p.source, p.target, p, align(p, 100, cell_rows=10))
     assert counted(r.judged) == brute_force(src, tgt)
 
 
@@ -116,9 +115,34 @@ def test_null_source_key_is_source_only(spark):
 def test_null_keys_stay_out_of_the_join(spark):
     src, tgt = [(None, Decimal(i), "a") for i in range(50)], [(1, Decimal(1), "a")]
     p = prepare(frame(spark, src), frame(spark, tgt), domain())
-    assert hot_keys(p, 10) is None
-    assert p.source.where(has_null_key(p.keys)).count() == 50
-    assert align(p).groupBy("status").count().where("status = 'SOURCE_ONLY'").first()["count"] == 50
+    assert hot_keys(p, 10).isEmpty()
+    assert p.source.where(has_null_key(p.keys)).count() == p.loose()[0].count() == 50
+    assert align(p).groupBy("status").agg(F.sum("copies").alias("n")).where("status = 'SOURCE_ONLY'").first()["n"] == 50
+
+
+def test_one_frame_for_every_split(spark):
+    """A key with 35 rows against 24, and more split keys than any constant."""
+    src = [(1, AMOUNTS[i % 4], NOTES[i % 3]) for i in range(35)] + [(100 + i % 40, AMOUNTS[i % 3], None) for i in range(200)]
+    tgt = [(1, AMOUNTS[i % 3], NOTES[i % 4]) for i in range(24)] + [(100 + i % 40, AMOUNTS[i % 5], None) for i in range(160)]
+    src += [(None, Decimal(1), "a")] * 3
+    frames = []
+    for hot_rows in (None, 2, 10, 1000):
+        r = reconcile(frame(spark, src), frame(spark, tgt), domain(), hot_rows=hot_rows)
+        rows = r.aligned
+        frames.append(sorted(map(str, rows.select(sorted(rows.columns)).collect())))
+        assert counted(r.judged) == brute_force(src, tgt)
+        s = r.summary.first()
+        assert (s["total_source"], s["total_target"]) == (len(src), len(tgt))
+    assert all(f == frames[0] for f in frames)
+
+
+def test_signs_of_zero_stay_apart(spark):
+    from concord import Domain, Field, Side
+
+    side = Side("t", (Field("id", "INT"),), (Field("v", "DOUBLE"),))
+    df = spark.createDataFrame([(1, -0.0), (1, 0.0), (1, 0.0)], "id int, v double")
+    rows = reconcile(df, df.limit(0), Domain("z", side, side)).aligned.collect()
+    assert sorted((str(r["src_v"]), r["copies"]) for r in rows) == [("-0.0", 1), ("0.0", 2)]
 
 
 def test_one_sided_and_tally(spark):
@@ -145,8 +169,12 @@ def test_rare_discrepancies_are_all_discrepancies(spark, tmp_path):
     s, t = frame(spark, src), frame(spark, tgt)
     plain = reconcile(s, t, domain()).discrepancies
     rare = rare_discrepancies(s, t, domain(), folder=str(tmp_path))
+    written = list(tmp_path.glob("odd-keys-*"))
+    assert written
     assert rare.columns == plain.columns
     assert rare.exceptAll(plain).isEmpty() and plain.exceptAll(rare).isEmpty()
+    clear_written(rare)
+    assert not any(f.exists() for f in written)
 
 
 def test_set_difference_agrees(spark):

@@ -45,10 +45,23 @@ def test_summary_does_not_move_long_texts(spark):
     assert "_short_src_text" in moved and not re.search(r"(?<!_short_)(?<!_number_)src_text", moved)
 
 
-def test_one_shuffle_per_side(spark):
-    text = plan(QUERIES["verdicts"](spark, SF_DIR))
-    assert len(re.findall(r"\) Exchange\n", text)) == 2
-    assert text.count("SortMergeJoin") >= 1
+def test_nothing_runs_before_it_is_asked_for(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "")
+    try:
+        reconcile(pairs.lineitems(spark, SF_DIR), pairs.lineitems_copy(spark, SF_DIR), pairs.lineitems_domain())
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+    assert list(tracker.getJobIdsForGroup("lazy")) == []
+
+
+def test_one_shuffle_per_side_without_the_search_for_hot_keys(spark):
+    r = reconcile(
+        pairs.orders(spark, SF_DIR), pairs.orders_copy(spark, SF_DIR), pairs.orders_domain(), hot_rows=None
+    )
+    text = plan(r.discrepancies)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\(k_1#\w+, \d+\)", text)
+    assert len(moved) == 2 and text.count("SortMergeJoin") >= 1
 
 
 def test_null_keys_are_found_in_the_scan(spark):
