@@ -2,7 +2,7 @@
 
 Tokens: the ids that `tokenizers` gives, then an end id. A byte-level tokenizer splits a text before
 every single space between two non-spaces, so ids are looked up per space-separated part, each
-different part being encoded once per batch and kept in a bounded cache.
+different part being encoded once and kept in a bounded cache.
 
 Packing: a text longer than the capacity is cut; the whole sequences that it fills stand alone, and its
 first piece is the rest. For all other pieces only the count per length matters, at most `capacity`
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from concord.llm.storage import saved
 from concord.llm.words import RunHash, BYTE_VALUES, Texts, chunks, gathered
 
-CACHED_PARTS = 400_000
+#: Some 50 bytes each.
+CACHED_PARTS = 1_500_000
+JOINED_PARTS = 8_000
 SALT_ROWS = 50_000
 
 
@@ -40,7 +42,19 @@ class PartTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token.encode()) if k in special else len(token)  # a character stands for a byte
+        self._forget()
+
+    def _forget(self) -> None:
+        # Hashes of the known parts, sorted, and for each its place in the arrays below.
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
@@ -55,21 +69,56 @@ class PartTokenizer:
         cut[n] = True
         edge = np.flatnonzero(cut)
         start, end = edge[:-1], edge[1:]
-        keys = RunHash(BYTE_VALUES[data])(start, end)
-        different, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        new = [i for i, key in enumerate(different.tolist()) if key not in self.known]
-        if len(self.known) + len(new) > CACHED_PARTS:
-            self.known, new = {}, list(range(len(different)))
-        parts = [data[start[at[i]] : end[at[i]]].tobytes().decode("utf-8", "replace") for i in new]
-        for i, found in zip(new, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.known[int(different[i])] = np.array(found.ids, np.uint32)
-        ids = [self.known[key] for key in different.tolist()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
-        part_size = size[which]
-        out = flat[gathered((np.cumsum(size) - size)[which], part_size)]
-        ends = np.concatenate([[0], np.cumsum(part_size)])
-        return out, ends[np.searchsorted(start, texts.end)] - ends[np.searchsorted(start, texts.start)]
+        different, at, which = np.unique(RunHash(BYTE_VALUES[data])(start, end), return_index=True, return_inverse=True)
+        slot = np.full(len(different), -1, np.int64)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, different), len(self.keys) - 1)
+            slot = np.where(self.keys[near] == different, self.slot[near], -1)
+        new = np.flatnonzero(slot < 0)
+        if len(self.slot) + len(new) > CACHED_PARTS:
+            self._forget()
+            new = np.arange(len(different))
+        if len(new):
+            # A part that begins with a space and ends like a cut may stand next to any other such part.
+            a, b = start[at[new]], end[at[new]]
+            joins = (b - a > 1) & (data[a] == 0x20) & plain[np.minimum(a + 1, n - 1)] & plain[b - 1]
+            new = np.concatenate([new[joins], new[~joins]])
+            ids, size = self._joined(data, a[joins], b[joins])
+            other_ids, other_size = self._single(data, a[~joins], b[~joins])
+            size = np.concatenate([size, other_size])
+            slot[new] = len(self.first) + np.arange(len(new))
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, ids, other_ids])
+            keys = np.concatenate([self.keys, different[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.slot = keys[order], np.concatenate([self.slot, slot[new]])[order]
+        own = slot[which]
+        size = self.size[own]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[gathered(self.first[own], size)], ends[np.searchsorted(start, texts.end)] - ends[np.searchsorted(start, texts.start)]
+
+    def _joined(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for parts that are encoded as one text; the ids' lengths in bytes tell them apart."""
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(a), JOINED_PARTS):
+            length = (b - a)[at : at + JOINED_PARTS]
+            text = data[gathered(a[at : at + JOINED_PARTS], length)].tobytes().decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(length)) + 1
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def _single(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        sizes = []
+        for at in range(0, len(a), 1000):
+            parts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(a[at : at + 1000], b[at : at + 1000])]
+            for own in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
+                ids += own.ids
+                sizes.append(len(own.ids))
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
 
 
 @lru_cache(maxsize=1)
