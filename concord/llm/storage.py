@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -63,6 +64,14 @@ def crc_bucket(key: str, buckets: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % buckets, F.lit(0))
 
 
+def stable(frame: DataFrame, name: str = "rows") -> DataFrame:
+    """The frame itself if it reads stored files row by row, else a stored copy: rows that are numbered in
+    more than one job must come in the same order and partitions each time."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+-]*(\w+)", line))}
+    return frame if nodes <= {"Project", "Filter", "Relation", "RelationV2"} else saved(frame, name)
+
+
 def forget(frame: DataFrame) -> None:
     """Delete the files of a frame that `saved` returned and that nothing will read again."""
     spark = frame.sparkSession

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.storage import saved
+from concord.llm.storage import saved, stable
 
 # Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -28,16 +28,18 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ID = "urn:page:"
 RESPONSE, REVISIT = "response", "revisit"
-RECORDS_PER_FILE = 100_000
+RECORDS_PER_FILE = 10_000
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Write one WARC record per row to the folder `path`. Only digests are grouped; payloads move once."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Write one WARC record per row to the folder `path`. Only digests are grouped; payloads move once.
+    Archives are compressed whole, or with `compression="none"` may be read in parts."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
-    ).withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
+    )
+    rows = stable(rows).withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     order = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.col("row"))
     shared = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     typed = rows.join(shared, "digest", "left").withColumn("again", F.col("first").isNotNull() & (F.col("first.row") != F.col("row")))
@@ -64,7 +66,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         body,
         F.lit(END[:-1]),  # the line separator of the writer is the last character
     )
-    typed.select(record).write.option("lineSep", END[-1]).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    typed.select(record).write.option("lineSep", END[-1]).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression=compression)
 
 
 # ---- reading
