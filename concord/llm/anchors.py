@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.storage import forget, saved
+from concord.llm.storage import forget, saved, stable
 from concord.llm.words import BYTE_VALUES, NOT_SPACE, RunHash, Texts, Words, chunks, gathered
 
-BLOCK_UNITS = 1 << 21
-BLOCK_BYTES = 3 << 20
+BLOCK_UNITS = 1 << 20
+BLOCK_BYTES = 1 << 20
 #: Different segments of one anchor from which on its windows are dealt singly.
-SPLIT_SEGMENTS = 20_000
+SPLIT_SEGMENTS = 4_000
 
 
 class Bytes:
@@ -105,11 +105,8 @@ def segments(units, scheme: Scheme) -> Iterator[tuple[np.ndarray, ...]]:
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(uid, doc_id, text): `uid` tells rows apart, also repeated ones; NULL ids count as the largest."""
-    return docs.select(
-        F.monotonically_increasing_id().alias("uid"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-    )
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return stable(rows).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
 
 
 def occurrences(rows: DataFrame, scheme: Scheme) -> DataFrame:
@@ -117,7 +114,7 @@ def occurrences(rows: DataFrame, scheme: Scheme) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["uid", "doc_id", "start", "n", "shift", "anchor", "segment"]
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", BLOCK_UNITS):
             uid, doc_id = batch.column("uid"), batch.column("doc_id")
             for row, start, n, shift, anchor, content in segments(scheme.units(Texts(batch.column("text"))), scheme):
                 row = pa.array(row)
@@ -126,7 +123,8 @@ def occurrences(rows: DataFrame, scheme: Scheme) -> DataFrame:
                 )
 
     found = saved(rows.mapInArrow(scan, "uid long, doc_id long, start long, n int, shift int, anchor long, segment long"), "segments")
-    often = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # Stored, so that the join deals both sides itself and can split a frequent anchor.
+    often = saved(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "often")
     kept = saved(found.join(often, "anchor"), "recurring")
     forget(found)
     return kept
@@ -142,7 +140,7 @@ def groups(found: DataFrame) -> DataFrame:
         ),
         "groups",
     )
-    variants = each.groupBy("anchor").agg(F.count("*").alias("variants"))
+    variants = saved(each.groupBy("anchor").agg(F.count("*").alias("variants")), "anchors")
     whole = saved(each.join(variants, "anchor"), "variants")
     forget(each)
     return whole
@@ -160,7 +158,7 @@ def contents(rows: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
     names = [c.split()[0] for c in CONTENT.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", BLOCK_UNITS):
             units = scheme.units(Texts(batch.column("text")))
             lists = batch.column("asked")
             flat = pa.RecordBatch.from_struct_array(lists.flatten())

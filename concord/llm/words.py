@@ -39,7 +39,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(21, int(size).bit_length()))
+    up, down = _powers(max(20, int(size).bit_length()))
     return up[:size], down[:size]
 
 
