@@ -81,7 +81,7 @@ def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir).aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
+    return _orders(spark, sf_dir).statuses.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
 
 def precomputed_hash_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,14 +93,14 @@ def precomputed_hash_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_record_hash", F.when(key % 15 != 1, F.md5(F.concat_ws("|", "o_custkey", "o_orderstatus")))
     )
     r = reconcile(src, tgt, pairs.orders_domain(), use_hash_column=True)
-    return r.judged.select("k_1", "src_hash", "tgt_hash", "status", "verdict", "strict_verdict", "copies")
+    return r.verdicts.select("k_1", "src_hash", "tgt_hash", "status", "verdict", "strict_verdict", "copies")
 
 
 def composite_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reconcile(
         pairs.lineitems(spark, sf_dir), pairs.lineitems_copy(spark, sf_dir), pairs.lineitems_domain()
     )
-    return r.aligned.groupBy("k_1", "k_2", "status").agg(F.sum("copies").alias("pairs"))
+    return r.statuses.groupBy("k_1", "k_2", "status").agg(F.sum("copies").alias("pairs"))
 
 
 def composite_key_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def null_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         without(pairs.orders_copy(spark, sf_dir), "O"),
         pairs.orders_domain(),
     )
-    return r.aligned.select("k_1", "src_present", "tgt_present", "src_hash", "tgt_hash", "status", "copies")
+    return r.statuses.select("k_1", "src_present", "tgt_present", "src_hash", "tgt_hash", "status", "copies")
 
 
 def missing_either_way(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,11 +194,11 @@ def name_mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = {"c_name": "full_name", "c_nationkey": "nation", "c_acctbal": "balance", "c_mktsegment": "segment"}
     domain = Domain("mapped", d.source, shuffled, field_mappings=mapping)
     r = reconcile(pairs.customers(spark, sf_dir), pairs.customers_copy(spark, sf_dir), domain)
-    return r.aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
+    return r.statuses.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
 
 def case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir, ignore_case=True).aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
+    return _customers(spark, sf_dir, ignore_case=True).statuses.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
 
 def date_vs_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ def date_vs_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("l_shipdate").cast("date").alias("ship"))
     )
     orders = pairs.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("ship"))
-    return reconcile(first, orders, domain).aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
+    return reconcile(first, orders, domain).statuses.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
 
 # Exact numbers and odd words
@@ -227,7 +227,7 @@ def _numbers(make: Callable[[DataFrame], DataFrame], change: Callable[[Column],
         src = make(pairs.orders(spark, sf_dir)).select("o_orderkey", "x")
         tgt = src.withColumn("x", F.when(F.col("o_orderkey") % 20 == 3, change(F.col("x"))).otherwise(F.col("x")))
         side = Side("orders", (Field("o_orderkey", "BIGINT"),), (Field("x", declared),))
-        return reconcile(src, tgt, Domain("numbers", side, side)).judged.select("k_1", "status", "verdict", "copies")
+        return reconcile(src, tgt, Domain("numbers", side, side)).verdicts.select("k_1", "status", "verdict", "copies")
 
     return query
 
@@ -237,7 +237,7 @@ def float_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = pairs.orders(spark, sf_dir).select((key * F.lit("0.00001").cast("decimal(6,5)")).cast("decimal(20,5)").alias("ref"), "o_orderstatus")
     tgt = pairs.orders_copy(spark, sf_dir).select((key.cast("double") / 100000.0).alias("ref"), "o_orderstatus")
     side = Side("orders", (Field("ref", "NUMERIC"),), (Field("o_orderstatus"),))
-    return reconcile(src, tgt, Domain("float-keys", side, side)).aligned.select("k_1", "status", "copies")
+    return reconcile(src, tgt, Domain("float-keys", side, side)).statuses.select("k_1", "status", "copies")
 
 
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ def _by_order(spark: SparkSession, sf_dir: str) -> Result:
 
 
 def hot_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_order(spark, sf_dir).aligned.groupBy("k_1", "status").agg(F.sum("copies").alias("pairs"))
+    return _by_order(spark, sf_dir).statuses.groupBy("k_1", "status").agg(F.sum("copies").alias("pairs"))
 
 
 def hot_key_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +291,7 @@ def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reconcile(
         pairs.documents(spark, sf_dir), pairs.documents_copy(spark, sf_dir), pairs.documents_domain()
     )
-    return r.judged.select("k_1", "status", "matching_fields", "max_variance", "verdict", "strict_verdict", "copies")
+    return r.verdicts.select("k_1", "status", "matching_fields", "max_variance", "verdict", "strict_verdict", "copies")
 
 
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,11 +316,11 @@ def recon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown(_orders(spark, sf_dir).aligned, "status")
+    return breakdown(_orders(spark, sf_dir).statuses, "status")
 
 
 def verdict_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return breakdown(_orders(spark, sf_dir).judged, "verdict")
+    return breakdown(_orders(spark, sf_dir).verdicts, "verdict")
 
 
 def type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,7 +406,7 @@ def _scoped(field: str | tuple[str, str], restrict: Callable[[DataFrame, str], D
             pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), domain, field, restrict
         )
         r = reconcile(src, tgt, domain)
-        return r.aligned.select("k_1", "src_hash", "tgt_hash", "status", "copies")
+        return r.statuses.select("k_1", "src_hash", "tgt_hash", "status", "copies")
 
     return query
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from concord.functions import verdict
@@ -40,13 +40,22 @@ def page(df: DataFrame, size: int, after: Row | None = None) -> DataFrame:
     """
     order = [*keys_of(df), "status", "src_hash", "tgt_hash", "verdict", "strict_verdict"]
     if after is not None:
-        # Structs compare field by field with NULLs first, as ORDER BY does.
-        start = F.struct(*[F.lit(after[c]).cast(df.schema[c].dataType).alias(c) for c in order])
-        df = df.where(F.struct(*order) > start)
+        df = df.where(_behind(df, order, after))
     lines = df.groupBy(*order, "record_id", "discrepancy_type", "details").agg(F.sum("copies").alias("copies"))
     return lines.orderBy(*order).limit(size)
 
 
+def _behind(df: DataFrame, order: list[str], after: Row) -> Column:
+    """Field by field behind a line, with NULLs first, as ORDER BY does."""
+    found, same = F.lit(False), F.lit(True)
+    for c in order:
+        value = F.lit(after[c]).cast(df.schema[c].dataType)
+        larger = F.col(c).isNotNull() if after[c] is None else F.coalesce(F.col(c) > value, F.lit(False))
+        found = found | (same & larger)
+        same = same & F.col(c).eqNullSafe(value)
+    return found
+
+
 def hashes(df: DataFrame) -> DataFrame:
     """Record id with both hashes."""
     return df.select("record_id", "src_hash", "tgt_hash", "copies")

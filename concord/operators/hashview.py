@@ -111,6 +111,20 @@ class Prepared:
         """The rows that can't, as a part of their key is NULL."""
         return self.null_source, self.null_target
 
+    def thin(self) -> "Prepared":
+        """Keys and hashes."""
+        return self.narrowed([*self.keys, "src_hash"], [*self.keys, "tgt_hash"])
+
+    def short(self) -> "Prepared":
+        """Keys, hashes and what a verdict needs of the compared columns: no long text."""
+
+        def columns(name: str, dtype: T.DataType) -> list[str]:
+            return [short_column(name), number_column(name)] if isinstance(dtype, T.StringType) else [name]
+
+        src = [c for p in self.pairs for c in columns(p.src, p.src_type)]
+        tgt = [c for p in self.pairs for c in columns(p.tgt, p.tgt_type)]
+        return self.narrowed([*self.keys, *src, "src_hash"], [*self.keys, *tgt, "tgt_hash"])
+
     def narrowed(self, src_columns: list[str], tgt_columns: list[str]) -> "Prepared":
         """The same with some of the columns."""
         s, t = (None if d is None else d.select(*c) for d, c in zip(self.loose(), (src_columns, tgt_columns)))

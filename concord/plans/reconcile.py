@@ -22,16 +22,29 @@ from concord.plans.summary import count_statuses, summarize
 class Result:
     """Lazy frames; nothing has been computed.
 
-    `rows` are the aligned rows with the extra columns of text fields (see PairColumns).
+    Equal rows are counted over the columns that a frame is made from, so each frame is aligned
+    from as few as it needs. `stored` are aligned rows that exist already (see `checkpointed`).
     """
 
     domain: Domain
     source: DataFrame
     target: DataFrame
     prepared: Prepared
-    rows: DataFrame
-    # Rows per key, from the pass that looks for hot keys; None if that is left out.
-    counts: DataFrame | None = None
+    stored: DataFrame | None = None
+    hot_rows: int | None = HOT_ROWS
+
+    @property
+    def rows(self) -> DataFrame:
+        """The aligned rows with the extra columns of text fields (see PairColumns)."""
+        return self._aligned(self.prepared)
+
+    def _aligned(self, prepared: Prepared) -> DataFrame:
+        return align(prepared, self.hot_rows) if self.stored is None else self.stored
+
+    @property
+    def counts(self) -> DataFrame | None:
+        """Rows per key, from the pass that looks for hot keys; None if that is left out."""
+        return None if self.hot_rows is None else key_rows(self.prepared)
 
     @property
     def keys(self) -> list[str]:
@@ -47,14 +60,25 @@ class Result:
         return without_extras(self.rows)
 
     @property
-    def judged(self) -> DataFrame:
-        """Every aligned row with its field counts and verdicts.
+    def statuses(self) -> DataFrame:
+        """Keys, presence, hashes and status: one row per pair of distinct hashes. Moves nothing else."""
+        return self._aligned(self.prepared.thin()).select(
+            *self.keys, "src_present", "tgt_present", "src_hash", "tgt_hash", "status", "copies"
+        )
 
-        Texts are compared in their short form: unless the caller selects the compared columns,
-        no long text is moved.
-        """
+    @property
+    def judged(self) -> DataFrame:
+        """Every aligned row with its compared columns, field counts and verdicts."""
         return without_extras(judge(self.rows, self.pairs, self.domain, short=True))
 
+    @property
+    def verdicts(self) -> DataFrame:
+        """Every aligned row with its field counts and verdicts. Texts are compared in their short form, so
+        no long text is moved; the compared columns are left out."""
+        rows = judge(self._aligned(self.prepared.short()), self.pairs, self.domain, short=True)
+        compared = {c for p in self.pairs for c in (p.src, p.tgt)}
+        return without_extras(rows).drop(*compared)
+
     @property
     def discrepancies(self) -> DataFrame:
         """Rows that do not match, with type, details, verdicts and the list of variances."""
@@ -64,7 +88,7 @@ class Result:
     @property
     def summary(self) -> DataFrame:
         """One row of counts and gates."""
-        return summarize(self.judged, self.source, self.target, self.domain, self.counts)
+        return summarize(self.verdicts, self.source, self.target, self.domain, self.counts)
 
     @property
     def key_counts(self) -> DataFrame:
@@ -85,7 +109,7 @@ class Result:
         sc = self.rows.sparkSession.sparkContext
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared_folder(self.rows.sparkSession))
-        return replace(self, rows=self.rows.checkpoint())
+        return replace(self, stored=self.rows.checkpoint())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -128,7 +152,7 @@ def reconcile(
     """
     contracts.require(source, target, domain, use_hash_column)
     p = prepare(source, target, domain, use_hash_column)
-    return Result(domain, source, target, p, align(p, hot_rows), None if hot_rows is None else key_rows(p))
+    return Result(domain, source, target, p, hot_rows=hot_rows)
 
 
 def rare_discrepancies(
@@ -150,8 +174,7 @@ def rare_discrepancies(
     """
     contracts.require(source, target, domain, use_hash_column)
     p = prepare(source, target, domain, use_hash_column)
-    thin = p.narrowed([*p.keys, "src_hash"], [*p.keys, "tgt_hash"])
-    odd = align(thin, hot_rows).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
+    odd = align(p.thin(), hot_rows).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
     base = checked_folder(source.sparkSession, folder) if folder else shared_folder(source.sparkSession)
     path = f"{base}/odd-keys-{uuid.uuid4()}"
     odd.select(*p.keys).distinct().write.parquet(path)
@@ -159,7 +182,7 @@ def rare_discrepancies(
     q = replace(
         p, source=p.source.join(keys, p.keys, "left_semi"), target=p.target.join(keys, p.keys, "left_semi")
     )
-    return Result(domain, source, target, q, align(q, hot_rows)).discrepancies
+    return Result(domain, source, target, q, hot_rows=hot_rows).discrepancies
 
 
 def clear_written(discrepancies: DataFrame) -> None:

@@ -47,9 +47,11 @@ def test_summary_does_not_move_long_texts(spark):
 
 def test_nothing_runs_before_it_is_asked_for(spark):
     tracker = spark.sparkContext.statusTracker()
+    source, target = pairs.lineitems(spark, SF_DIR), pairs.lineitems_copy(spark, SF_DIR)
     spark.sparkContext.setJobGroup("lazy", "")
     try:
-        reconcile(pairs.lineitems(spark, SF_DIR), pairs.lineitems_copy(spark, SF_DIR), pairs.lineitems_domain())
+        r = reconcile(source, target, pairs.lineitems_domain())
+        assert r.summary.columns and r.discrepancies.columns
     finally:
         spark.sparkContext.setJobGroup("other", "")
     assert list(tracker.getJobIdsForGroup("lazy")) == []

@@ -69,7 +69,7 @@ def test_filters(result):
     assert ids(listing.noisy(d)) == ["1"]
     assert ids(listing.of_type(d, "MISSING_IN_SOURCE")) == ["4"]
     assert ids(listing.high_variance(d)) == ["2"]
-    assert listing.hashes(d).columns == ["record_id", "src_hash", "tgt_hash"]
+    assert listing.hashes(d).columns == ["record_id", "src_hash", "tgt_hash", "copies"]
     with pytest.raises(ValueError):
         listing.of_type(d, "SOURCE_ONLY")
 
