@@ -28,7 +28,7 @@ from concord.llm.storage import saved
 from concord.llm.words import RunHash, BYTE_VALUES, Texts, chunks, gathered
 
 #: Some 50 bytes each.
-CACHED_PARTS = 1_500_000
+CACHED_PARTS = 1_000_000
 JOINED_PARTS = 8_000
 SALT_ROWS = 50_000
 

@@ -45,8 +45,15 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of an Arrow batch: whole texts of any length, so fewer than the usual 10,000.
+BATCH_ROWS = 1000
+
+
 def shipped(spark: SparkSession) -> None:
-    """Make this package importable on the executors, wherever the driver was started."""
+    """Make this package importable on the executors, wherever the driver was started, and bound the batches that
+    are sent to Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_concord_shipped", False):
         return
@@ -72,6 +79,17 @@ def stable(frame: DataFrame, name: str = "rows") -> DataFrame:
     return frame if nodes <= {"Project", "Filter", "Relation", "RelationV2"} else saved(frame, name)
 
 
+#: Ids of eight bytes that may be broadcast: 32 MB.
+BROADCAST_IDS = 4_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A left_semi or left_anti join on the one column of `ids`, whole numbers from a stored table. They are counted
+    first and broadcast if they are few; then the rows stay where they are. More of them are shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, ids.columns[0], how)
+
+
 def forget(frame: DataFrame) -> None:
     """Delete the files of a frame that `saved` returned and that nothing will read again."""
     spark = frame.sparkSession

@@ -6,6 +6,7 @@ followed by a mixing step. Positions are kept in 64-bit integers.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
+_LIBC = ctypes.CDLL(None)
 _RANDOM = np.random.default_rng(20240607)
 BYTE_VALUES = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 BASE = int(_RANDOM.integers(1, 2**63, dtype=np.uint64)) | 1
@@ -30,16 +32,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << bits
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(20, int(size).bit_length()))
+    up, down = _powers(max(5, -(-size >> 18)) << 18)
     return up[:size], down[:size]
 
 
@@ -87,6 +88,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             upto = max(at + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(_LIBC, "malloc_trim", None):
+        release(0)
 
 
 def byte_class(members: bytes) -> np.ndarray:
@@ -130,7 +139,7 @@ class Words:
         out = np.empty(len(self), np.uint64)
         at = 0
         while at < len(self):
-            upto = max(at + 1, int(np.searchsorted(self.end, self.start[at] + 2 * CHUNK_BYTES, "right")))
+            upto = max(at + 1, int(np.searchsorted(self.end, self.start[at] + CHUNK_BYTES, "right")))
             base = int(self.start[at])
             run = RunHash(BYTE_VALUES[self.data[base : int(self.end[upto - 1])]])
             out[at:upto] = run(self.start[at:upto] - base, self.end[at:upto] - base)
