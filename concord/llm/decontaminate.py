@@ -16,7 +16,6 @@ over the documents, whose spans are then merged.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -283,15 +282,10 @@ def _one_pass(docs: DataFrame, phrases: Phrases, text_col: str, k: int) -> tuple
     return docs.mapInArrow(scan, schema), name
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", **options) -> DataFrame:
     """`docs` with covered words cut out of the texts, from the start of a stretch's first word to the end
     of its last one. Texts without a match stay byte for byte; so do rows and other columns."""
     columns = docs.columns
-    keep = [c for c in columns]
     framed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = matches(framed, benchmark, window, "text", **options)
 
@@ -313,4 +307,4 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: s
     slim = found.select("row", "text", "spans")
     schema = StructType([f for f in slim.schema if f.name in ("row", "text")])
     done = slim.mapInArrow(cut, schema)
-    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in keep))
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))

@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 from collections import Counter
@@ -246,8 +245,3 @@ def test_quality_without_labels(spark, no_docs, odd_docs):
     model = quality.train(odd_docs, labels)
     assert {r.score for r in quality.scored(odd_docs, model).select("score").collect()} == {0.5}
     assert quality.scored(no_docs, model).count() == 0
-
-
-def test_digest():
-    assert decontaminate.items_digest(["1", "10"]) == hashlib.sha256(b"1,10").hexdigest()
-    assert F is not None
