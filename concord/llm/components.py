@@ -14,7 +14,8 @@ def _state(links: DataFrame) -> tuple:
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Link the larger (large star) or the smaller (small star) neighbours of every node to the smallest one."""
-    least = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    # Stored, so that the join deals both sides itself and can split the centre of a large star.
+    least = saved(pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
     joined = pairs.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))

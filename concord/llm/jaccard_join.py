@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from concord.llm.anchors import numbered
 from concord.llm.components import components
-from concord.llm.storage import saved
+from concord.llm.storage import by_ids, saved, stable
 from concord.llm.words import LETTERS_DIGITS, Texts, Words, chunks, gathered, mixed
 
 WORDS = 5
@@ -42,8 +42,8 @@ BLOCK = 512
 #: Buckets from this size on are split, unless their sets are on average this similar.
 SPLIT = 1024
 ALIKE = 0.6
-#: A pair is a candidate if its embeddings agree to this much less than the threshold.
-MARGIN = 0.1
+#: A pair is a candidate if its embeddings agree to this much less than the threshold: four standard deviations.
+MARGIN = 0.15
 
 _random = np.random.default_rng(97)
 FACTORS = _random.integers(1, 2**64, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -144,9 +144,22 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _alike(members: DataFrame) -> DataFrame:
-    """Mean similarity of the sets in a bucket, from every sixteenth token."""
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(TOKENS // 16 - 1)), lambda k: F.struct(k.alias("k"), F.substring("sketch", k * 32 + 1, 2).alias("v")))
-    counts = members.select("path", F.explode(tokens).alias("t")).groupBy("path", "t").agg(F.count("*").cast("double").alias("n"))
+    """Mean similarity of the sets in a bucket, from every sixteenth token, counted in each task first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some = _sketches(batch.column("sketch"))[:, ::16].astype(np.int64)
+            path = np.repeat(batch.column("path").to_numpy(), some.shape[1])
+            token = (some + (np.arange(some.shape[1]) << 16)).ravel()
+            order = np.lexsort((token, path))
+            path, token = path[order], token[order]
+            first = np.flatnonzero(np.append(True, (np.diff(path) != 0) | (np.diff(token) != 0)))
+            n = np.diff(np.append(first, len(path)))
+            yield pa.RecordBatch.from_arrays([pa.array(path[first]), pa.array(token[first]), pa.array(n.astype(float))], ["path", "t", "n"])
+
+    counts = members.select("path", "sketch").mapInArrow(count, "path long, t long, n double").groupBy("path", "t").agg(F.sum("n").alias("n"))
     n = F.sum("n")
     return counts.groupBy("path").agg((F.sum(F.col("n") * F.col("n")) * (TOKENS // 16) / (n * n)).alias("alike"))
 
@@ -166,7 +179,9 @@ def buckets(classes: DataFrame) -> DataFrame:
         whole = size
         if some:
             held = saved(level.join(large, "path").join(classes.select("class", "sketch"), "class"), "large")
-            split = saved(_alike(held).where(F.col("alike") < ALIKE).select("path"), "split")
+            # How alike a bucket is only decides where its sets are compared: some 512 of them tell.
+            told = held.where(f"pmod(xxhash64(class, 9), int(ceil(n / {BLOCK}))) = 0")
+            split = saved(_alike(told).where(F.col("alike") < ALIKE).select("path"), "split")
             whole = size.join(split, "path", "left_anti")
         found = saved(level.join(whole.select("path", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "path"), "leaves")
         leaves = found if leaves is None else leaves.unionByName(found)
@@ -321,7 +336,8 @@ def joined(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARG
 
     blocks = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = grouped.join(blocks, "component").join(classes.select("class", "copies"), "class")
-    texts = rows.select(F.col("uid").alias("class"), "text").join(wanted, "class")
+    candidates = by_ids(rows.select(F.col("uid").alias("class"), "text"), grouped.select("class"), "left_semi")
+    texts = candidates.join(wanted, "class")
     pairs = in_blocks(texts).repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
     verified = saved(
         pairs.select("component", "x", "y", "own", "class", "copies", "text").mapInArrow(lambda b: _verify(b, similarity), "class long, links long, root long"), "verified"
@@ -349,11 +365,11 @@ def joined(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARG
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class left: that with the smallest id, then the first. All columns stay. `docs` should
-    be a stored table, as its rows are numbered twice."""
+    """`docs` with one row of each class left: that with the smallest id, then the first. All columns stay."""
+    docs = stable(docs)
     found = saved(joined(docs, similarity, id_col=id_col, text_col=text_col).where("n_links > 0"), "linked")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("uid"))
     stays = found.groupBy("component").agg(F.min(order).alias("stays"))
-    goes = found.join(stays, "component").where("uid <> stays.uid").select(F.col("uid").alias("goes"))
+    goes = saved(found.join(stays, "component").where("uid <> stays.uid").select("uid"), "goes")
     numbered_docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("uid"))
-    return numbered_docs.join(goes, F.col("uid") == F.col("goes"), "left_anti").select("row.*")
+    return by_ids(numbered_docs, goes, "left_anti").select("row.*")
