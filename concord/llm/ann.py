@@ -31,6 +31,8 @@ LEAF = 24
 CELL_VECTORS = 16_384
 SAMPLE = 20_000
 BLOCK = 2_048
+#: Vectors that a query verifies at a time, at first and at most.
+FIRST_STEP, LAST_STEP = 256, 4096
 CONFIDENCE = 0.985
 
 
@@ -133,29 +135,29 @@ def search(space: Space, vectors: np.ndarray, copies: np.ndarray, queries: np.nd
     best, score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf)
     projected = space.project_queries(queries)
     norms = np.einsum("ij,ij->i", queries, queries)
-    step = max(1, 256 // size)
     for i in range(len(queries)):
         gap = np.maximum(np.maximum(low - projected[i], projected[i] - high), 0)
         reach = np.einsum("ij,ij->i", gap, gap)
         order = np.argsort(reach, kind="stable")
         own, value, nearest = np.zeros(0, np.int64), np.zeros(0), bound[i]
-        at = 0
+        at, step = 0, max(1, FIRST_STEP // size)
         while at < len(order) and not reach[order[at]] > stop * nearest:
-            found = table[order[at : at + step]].ravel()
+            # No leaf beyond the bound, and more leaves at a time the longer it takes.
+            upto = min(at + step, int(np.searchsorted(reach[order], stop * nearest, "right")) if nearest < np.inf else len(order))
+            found = table[order[at:upto]].ravel()
             found = found[found >= 0]
-            # In double precision, one vector after the other, as any reader of the scores would do it.
             own = np.concatenate([own, found])
             value = np.concatenate([value, np.einsum("ij,j->i", wide[found], queries[i])])
             if len(own) > k:
-                keep = np.argpartition(-value, k - 1)
                 # All that tie with the k-th stay: which of them counts is decided by id.
-                keep = np.flatnonzero(value >= value[keep[k - 1]])
+                keep = np.flatnonzero(value >= np.partition(value, len(value) - k)[len(value) - k])
                 own, value = own[keep], value[keep]
-            sorted_value = np.sort(value)[::-1]
-            enough = np.searchsorted(np.cumsum(number[own[np.argsort(-value, kind="stable")]]), k)
+            best_first = np.argsort(-value, kind="stable")
+            own, value = own[best_first], value[best_first]
+            enough = int(np.searchsorted(np.cumsum(number[own]), k))
             if enough < len(value):
-                nearest = min(nearest, float(space.distance(sorted_value[enough], norms[i])))
-            at += step
+                nearest = min(nearest, float(space.distance(value[enough], norms[i])))
+            at, step = upto, min(2 * step, max(1, LAST_STEP // size))
         order = np.argsort(-value, kind="stable")
         if len(order) > best.shape[1]:
             more = len(order) - best.shape[1]
