@@ -138,6 +138,15 @@ def test_checksums_and_context(spark):
     assert {s.score for s in got[10]} == {pii.CONFIRMED}
 
 
+def test_iban_before_a_capital(spark):
+    """The word behind an IBAN is not part of it, however it is written."""
+    texts = ["DE89370400440532013000 Bitte", "GB29NWBK60161331926819 Thanks", "DE89 3704 0044 0532 0130 00 Danke schön", "DE89370400440532013000 today"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(s.value, s.start) for s in r.pii if s.kind == "iban"] for r in pii.find(docs).collect()}
+    assert got == {0: [(texts[0][:22], 0)], 1: [(texts[1][:22], 0)], 2: [(texts[2][:27], 0)], 3: [(texts[3][:22], 0)]}
+    assert {r.text for r in pii.masked(docs).collect()} == {"[iban] Bitte", "[iban] Thanks", "[iban] Danke schön", "[iban] today"}
+
+
 def test_masked(spark):
     docs = spark.createDataFrame([(1, "é jo@ex.org, 10.0.0.1 end", 3), (2, None, 0), (3, "clean", 5), (4, "+4111111111111111 x", 1)], "doc_id long, text string, n int")
     out = pii.masked(docs)
