@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.storage import forget, saved, stable
+from concord.llm import storage
+from concord.llm.storage import forget, saved
 from concord.llm.words import BYTE_VALUES, NOT_SPACE, RunHash, Texts, Words, chunks, gathered
 
 BLOCK_UNITS = 1 << 20
@@ -103,10 +104,14 @@ def segments(units, scheme: Scheme) -> Iterator[tuple[np.ndarray, ...]]:
         yield row[s], start - units.first[row[s]], count, anchor[s] + low - start, grams[anchor[s]].view(np.int64), content.view(np.int64)
 
 
+def keyed(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1)).alias("doc_id"), text.cast("string").alias("text")
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, text): `uid` tells rows apart, also repeated ones; NULL ids count as the largest."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stable(rows).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    """(uid, doc_id, text), stored: `uid` tells rows apart, also repeated ones; NULL ids count as the largest."""
+    rows = docs.select(*keyed(F.col(id_col), F.col(text_col)))
+    return storage.numbered(rows, "uid").select("uid", "doc_id", "text")
 
 
 def occurrences(rows: DataFrame, scheme: Scheme) -> DataFrame:

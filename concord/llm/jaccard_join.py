@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.anchors import numbered
+from concord.llm import anchors, storage
 from concord.llm.components import components
-from concord.llm.storage import by_ids, saved, stable
+from concord.llm.storage import by_ids, saved
 from concord.llm.words import LETTERS_DIGITS, Texts, Words, chunks, gathered, mixed
 
 WORDS = 5
@@ -317,10 +317,14 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 def joined(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (uid, doc_id, class_id, n_links, component). `n_links` counts the other rows with a Jaccard
     similarity of at least `similarity`, copies included; `class_id` is the smallest id among the rows connected by
-    such links, so a row's own id if it has none. `uid` numbers the rows as `anchors.numbered` does, and `component` is the
+    such links, so a row's own id if it has none. `uid` is the number that `anchors.numbered` stores with the row, and `component` is the
     `uid` of one row of the class: it tells classes apart where ids repeat. A NULL id stays NULL in `doc_id` and counts as
     2^63 - 1 in `class_id`."""
-    rows = numbered(docs, id_col, text_col)
+    return _joined(anchors.numbered(docs, id_col, text_col), similarity, target)
+
+
+def _joined(rows: DataFrame, similarity: float, target: float) -> DataFrame:
+    """`joined` of rows (uid, doc_id, text) that are stored with their numbers."""
     signed = saved(signatures(rows, runs_needed(similarity, target)), "signatures")
     classes = saved(
         signed.groupBy("low", "high", "size").agg(
@@ -366,10 +370,10 @@ def joined(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARG
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each class left: that with the smallest id, then the first. All columns stay."""
-    docs = stable(docs)
-    found = saved(joined(docs, similarity, id_col=id_col, text_col=text_col).where("n_links > 0"), "linked")
+    stored = storage.numbered(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "uid")
+    rows = stored.select("uid", *anchors.keyed(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
+    found = saved(_joined(rows, similarity, TARGET).where("n_links > 0"), "linked")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("uid"))
     stays = found.groupBy("component").agg(F.min(order).alias("stays"))
     goes = saved(found.join(stays, "component").where("uid <> stays.uid").select("uid"), "goes")
-    numbered_docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("uid"))
-    return by_ids(numbered_docs, goes, "left_anti").select("row.*")
+    return by_ids(stored, goes, "left_anti").select("row.*")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -71,12 +70,10 @@ def crc_bucket(key: str, buckets: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % buckets, F.lit(0))
 
 
-def stable(frame: DataFrame, name: str = "rows") -> DataFrame:
-    """The frame itself if it reads stored files row by row, else a stored copy: rows that are numbered in
-    more than one job must come in the same order and partitions each time."""
-    plan = frame._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+-]*(\w+)", line))}
-    return frame if nodes <= {"Project", "Filter", "Relation", "RelationV2"} else saved(frame, name)
+def numbered(frame: DataFrame, column: str, name: str = "rows") -> DataFrame:
+    """A stored copy of the frame with a `column` that tells rows apart. The number is written once, with the row: Spark
+    packs files into partitions anew in every job, by the cores it has then, and a number computed again may differ."""
+    return saved(frame.withColumn(column, F.monotonically_increasing_id()), name)
 
 
 #: Ids of eight bytes that may be broadcast: 32 MB.

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.storage import saved, stable
+from concord.llm.storage import numbered, saved
 
 # Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -32,14 +32,14 @@ RECORDS_PER_FILE = 10_000
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
-    """Write one WARC record per row to the folder `path`. Only digests are grouped; payloads move once.
+    """Write one WARC record per row to the folder `path`. Rows are stored with their numbers first. Only digests are grouped; payloads move once.
     Archives are compressed whole, or with `compression="none"` may be read in parts."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     )
-    rows = stable(rows).withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
+    rows = numbered(rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")}), "row", "warc-rows")
     order = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.col("row"))
     shared = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     typed = rows.join(shared, "digest", "left").withColumn("again", F.col("first").isNotNull() & (F.col("first.row") != F.col("row")))
@@ -72,7 +72,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 # ---- reading
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between two magic lines. `seq` gives their order within a block of a file."""
+    """What stands between two magic lines. `seq` gives their order within a block of a file, as this frame is read: it and
+    the blocks may differ the next time."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
@@ -117,8 +118,8 @@ def _reachable(candidates: pd.DataFrame) -> pd.DataFrame:
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of the archives under `path`: page_id, url, record_type, payload_bytes and payload_digest (of
     the full payload: a revisit's come from its header), refers_to, and on request `payload` (NULL for a
-    revisit). Digests are taken where a piece is read; only payloads that hold the magic line are moved, to
-    be put together again."""
+    revisit). The archives are read once and their pieces stored, with the number that the chain names them by. Digests are
+    taken where a piece is read; only payloads that hold the magic line are moved, to be put together again."""
     head = F.octet_length("header") + len(END)
     declared = F.when(F.expr(f"instr(header, '\r\n') > 0 AND octet_length(header) + {len(END)} <= bytes"), F.expr("try_cast(length AS bigint)"))
     parsed = (
@@ -128,6 +129,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         .withColumn("declared", declared)
         .withColumn("span", F.when(F.col("declared") >= 0, head + F.col("declared") + len(END)))
     )
+    parsed = saved(parsed.drop("length"), "warc-pieces")
     chain = saved(_chain(parsed.select("file", "block", "seq", "bytes", "span")), "warc-chain")
     # Of a value that holds more than one piece the payload is cut from all of them.
     payload = F.expr(f"substring(value, octet_length(header) + {len(END) + 1}, int(declared))")
