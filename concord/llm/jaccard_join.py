@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ DEPTH = 4
 TARGET = 0.9999
 #: Sets of one task on either side.
 BLOCK = 512
+#: Text of one task on either side of the exact comparison, where a block holds more than one text.
+BLOCK_BYTES = 8 << 20
 #: Buckets from this size on are split, unless their sets are on average this similar.
 SPLIT = 1024
 ALIKE = 0.6
@@ -102,7 +105,7 @@ def drawn(path: np.ndarray, tokens: np.ndarray, branches: float) -> tuple[np.nda
     return row, mixed(step[row, column] + GOLDEN)
 
 
-SIGNATURE = "uid long, doc_id long, low long, high long, size int, sketch binary, paths array<long>"
+SIGNATURE = "uid long, doc_id long, low long, high long, size int, bytes long, sketch binary, paths array<long>"
 
 
 def signatures(rows: DataFrame, runs: int) -> DataFrame:
@@ -129,6 +132,7 @@ def signatures(rows: DataFrame, runs: int) -> DataFrame:
                 pa.array(np.add.reduceat(shingles, start).view(np.int64)),
                 pa.array(np.bitwise_xor.reduceat(mixed(shingles + GOLDEN), start).view(np.int64)),
                 pa.array(size, pa.int32()),
+                pc.binary_length(batch.column("text")).cast(pa.int64()),
                 pa.array([x.tobytes() for x in sketch], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(path[order].view(np.int64))),
             ]
@@ -224,24 +228,35 @@ def spanning(linked: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _keyed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of one key at a time, from rows sorted by the keys."""
-    waiting: list[pa.RecordBatch] = []
+    waiting: list[pa.RecordBatch] = []  # of one key
     for batch in batches:
         if not batch.num_rows:
             continue
-        if waiting:
-            batch = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
         change = np.zeros(batch.num_rows, bool)
         for k in keys:
             value = batch.column(k).to_numpy()
             change[1:] |= value[1:] != value[:-1]
-        edges = np.flatnonzero(change)
+            change[0] |= bool(waiting) and value[0] != waiting[0].column(k)[0].as_py()
         at = 0
-        for e in edges.tolist():
-            yield batch.slice(at, e - at)
+        for e in np.flatnonzero(change).tolist():
+            if e > at:
+                waiting.append(batch.slice(at, e - at))
+            yield _combined(waiting)
+            waiting = []
             at = e
-        waiting = [batch.slice(at)]
+        waiting.append(batch.slice(at))
     if waiting:
-        yield waiting[0]
+        yield _combined(waiting)
+
+
+def _combined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All rows as one batch. Texts get offsets of 64 bits: with 32 Arrow makes a new batch at every 2 GB."""
+    if len(batches) == 1:
+        return batches[0]
+    large = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
+    schema = pa.schema([f.with_type(large.get(f.type, f.type)) for f in batches[0].schema])
+    (whole,) = pa.Table.from_batches(batches).cast(schema).combine_chunks().to_batches()
+    return whole
 
 
 def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -328,7 +343,7 @@ def _joined(rows: DataFrame, similarity: float, target: float) -> DataFrame:
     signed = saved(signatures(rows, runs_needed(similarity, target)), "signatures")
     classes = saved(
         signed.groupBy("low", "high", "size").agg(
-            F.min("uid").alias("class"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+            F.min("uid").alias("class"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("bytes", "uid").alias("bytes"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
         ),
         "classes",
     )
@@ -338,8 +353,10 @@ def _joined(rows: DataFrame, similarity: float, target: float) -> DataFrame:
     arms = keyed.select("path", "x", "y", "class", "sketch").mapInArrow(lambda b: _compare(b, least), "a long, b long")
     grouped = saved(components(arms).select(F.col("node").alias("class"), "component"), "candidates")
 
-    blocks = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = grouped.join(blocks, "component").join(classes.select("class", "copies"), "class")
+    sized = grouped.join(classes.select("class", "copies", "bytes"), "class")
+    n, by_bytes = F.count("*"), F.ceil(F.sum("bytes") / BLOCK_BYTES)
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(n / BLOCK), F.least(n, by_bytes)).cast("int").alias("blocks"))
+    wanted = sized.drop("bytes").join(blocks, "component")
     candidates = by_ids(rows.select(F.col("uid").alias("class"), "text"), grouped.select("class"), "left_semi")
     texts = candidates.join(wanted, "class")
     pairs = in_blocks(texts).repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")

@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from concord.llm import jaccard_join
@@ -55,6 +57,35 @@ def test_large_buckets_and_groups(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_groups_of_any_size_stay_whole():
+    """Texts of one group that are over 2 GB together, in batches cut anywhere."""
+    text = pa.array(["x" * (128 << 20)])
+    batches = [pa.RecordBatch.from_arrays([pa.array([int(i > 17)]), text], ["key", "text"]) for i in range(19)]
+    groups = [(g.column("key").to_pylist(), pc.sum(pc.binary_length(g.column("text"))).as_py()) for g in jaccard_join._keyed(iter(batches), ["key"])]
+    assert groups == [([0] * 18, 18 * (128 << 20)), ([1], 128 << 20)]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 3, 3, 3]), pa.array(list("abcdef"))], ["key", "text"])
+    for cuts in [[0, 6], [0, 1, 6], [0, 2, 3, 6], [0, 4, 5, 6], [0, 0, 1, 2, 3, 4, 5, 6]]:
+        parts = iter([rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])])
+        assert ["".join(g.column("text").to_pylist()) for g in jaccard_join._keyed(parts, ["key"])] == ["ab", "c", "def"]
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    """Few but long near copies are dealt to more than one block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 2_000)
+    most, in_blocks = [], jaccard_join.in_blocks
+
+    def watched(members):
+        if "component" in members.columns:
+            most.append(members.agg({"blocks": "max"}).first()[0])
+        return in_blocks(members)
+
+    monkeypatch.setattr(jaccard_join, "in_blocks", watched)
+    rows = [(i, " ".join(f"w{k}" for k in range(300)) + f" x{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccard_join.joined(docs).select("doc_id", "class_id", "n_links").collect())
+    assert got == brute(rows) and most == [9]  # 16,706 bytes
+
+
 def test_representatives(stored_docs, odd_texts):
     left = jaccard_join.representatives(stored_docs)
     assert left.columns == stored_docs.columns
