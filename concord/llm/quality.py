@@ -5,7 +5,7 @@ layer. Gated attention weighs the passages, and the weighted sum is the text's r
 a logistic unit scores. Only whole texts are labelled; the weights of passages come from training.
 
 Fitted on at most `sample_docs` labelled rows with at most `sample_passages` passages in all, taken in
-the order of a hash of the id; every text is scored in full. NULL and empty texts are one passage
+the order of a hash of the id, without the texts that do not fit; every text is scored in full. NULL and empty texts are one passage
 without words and get a score too. Rows are kept one for one. With one class or no labels every
 score is the share of label 1 (0.5 without labels).
 """
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     made = rows.withColumn("id", F.col("id").cast("long")).mapInArrow(features, "id long, label int, n int, x binary")
     for row in made.orderBy(F.xxhash64("id"), "id", "x").toLocalIterator():
         if total + row["n"] > sample_passages:
-            break
+            continue
         total += row["n"]
         label.append(row["label"])
         found.append(np.frombuffer(row["x"], np.float32).reshape(row["n"], FEATURES))

@@ -254,3 +254,13 @@ def test_quality_without_labels(spark, no_docs, odd_docs):
     model = quality.train(odd_docs, labels)
     assert {r.score for r in quality.scored(odd_docs, model).select("score").collect()} == {0.5}
     assert quality.scored(no_docs, model).count() == 0
+
+
+def test_quality_skips_texts_that_do_not_fit(spark):
+    """One text beyond the budget of passages does not end the sample, wherever it comes."""
+    docs = [(i, ("good plain words " if i % 2 else "BUY!!! $$$ 99 ") * 20) for i in range(20)]
+    first = spark.range(20).orderBy(F.xxhash64("id")).first().id
+    docs[first] = (first, "word " * 64 * 60)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert quality.train(rows, labels, sample_passages=50).constant is None
