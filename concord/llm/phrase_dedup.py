@@ -2,8 +2,9 @@
 
 Passages are confirmed where their segments meet (see `anchors`): a window of `length` words that two
 different segments share recurs. The confirmed passages of a shard, some anchors with all their
-segments, are compiled into an automaton over word numbers, and every document's segments stream
-through the automaton of their shard, which reports each occurrence. All but the earliest go.
+segments, are compiled into an automaton over word numbers, and one copy of each segment streams
+through the automaton of its shard, which reports each occurrence. All but the earliest go. Other copies
+are located by a join, and anchors with very many segments are decided by window hashes alone.
 
 A word is what stands between white space. A word is removed if it is inside a window whose word
 sequence also starts earlier: in a row with a smaller id, or earlier in the same row. Rows of equal id
