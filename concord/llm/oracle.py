@@ -114,10 +114,62 @@ FROM spans
 """
 
 
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0"
+WHOLE = "list_transform(embedding, lambda y: floor(256 * y::DOUBLE))"
+
+HARD_NEGATIVES = f"""
+WITH items AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {WHOLE} AS x
+    FROM embeddings WHERE label IS NOT NULL AND {FINITE}
+),
+positives AS (
+    SELECT a.vec_id AS anchor_id, a.label, a.x, p.vec_id AS positive_id, list_dot_product(a.x, p.x)::BIGINT AS positive_score
+    FROM items a JOIN items p ON a.label = p.label AND a.vec_id <> p.vec_id
+    WHERE a.vec_id % 100 = 0
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.x, p.x) DESC, p.vec_id) <= 5
+),
+scored AS (
+    SELECT anchor_id, positive_id, positive_score, n.vec_id AS negative_id, list_dot_product(p.x, n.x)::BIGINT AS negative_score
+    FROM positives p JOIN items n ON p.label <> n.label
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INT AS rank,
+       negative_id, positive_score, negative_score
+FROM scored
+WHERE 30 * positive_score <= 100 * negative_score AND 100 * negative_score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def _kmeans(centroids: int = 40, rounds: int = 5, width: int = 64) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        distance = "(list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x))::BIGINT"
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT i, min({distance} * {centroids} + c) AS m FROM v, c{r} c GROUP BY i)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS MATERIALIZED (
+    SELECT c, k, sum(y::BIGINT) AS s, count(*) AS n FROM (SELECT m % {centroids} AS c, unnest(x) AS y, unnest(range({width})) AS k FROM a{r} JOIN v USING (i)) GROUP BY c, k
+),
+c{r + 1} AS MATERIALIZED (
+    SELECT c, coalesce(z, x) AS x FROM c{r} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY k) AS z FROM s{r} GROUP BY c) USING (c)
+)""")
+    joined = ",\n".join(steps)
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, {WHOLE} AS x FROM embeddings WHERE len(embedding) = {width} AND {FINITE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT {centroids})),
+{joined}
+SELECT vec_id, (m % {centroids})::INT AS cluster, m // {centroids} AS distance,
+       (sum(m // {centroids}) OVER (PARTITION BY m % {centroids}))::BIGINT AS cluster_inertia, (sum(m // {centroids}) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.x, lambda y: y::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (i) JOIN c{rounds} c ON c.c = m % {centroids}
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_warc": WARC,
     "op6_phrase_dedup": PHRASES,
     "op7_jaccard_join": JACCARD,
     "op8_decontaminate": DECONTAMINATE,
     "op9_pii": _pii(),
+    "op11_kmeans": _kmeans(),
+    "op12_hard_negatives": HARD_NEGATIVES,
 }

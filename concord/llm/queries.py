@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import ann, decontaminate, jaccard_join, language, packing, phrase_dedup, pii, quality, suffix_dedup, warc
+from concord.llm import ann, decontaminate, hard_negatives, jaccard_join, kmeans, language, packing, phrase_dedup, pii, quality, suffix_dedup, warc
 from concord.llm.oracle import ORACLE
 from concord.llm.storage import crc_bucket, new_path, shipped
 
@@ -91,6 +91,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in 40 clusters after five rounds."""
+    return kmeans.clustered(table(spark, sf_dir, "embeddings"), centroids=40, rounds=5, width=64, scale=256, seed=2)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; a seventh of the labels is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    items = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mined(items, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_nearest": op2_nearest,
@@ -102,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_kmeans": op11_kmeans,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
