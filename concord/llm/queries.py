@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import ann, decontaminate, hard_negatives, jaccard_join, kmeans, language, packing, phrase_dedup, pii, quality, suffix_dedup, warc
+from concord.llm import ann, decontaminate, hard_negatives, jaccard_join, kmeans, language, packing, phrase_dedup, pii, quality, sentence_pieces, suffix_dedup, warc
 from concord.llm.oracle import ORACLE
 from concord.llm.storage import crc_bucket, new_path, shipped
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 THRESHOLD = 0.3
 
 
@@ -103,6 +104,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(items, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that they give."""
+    found = sentence_pieces.encoded(table(spark, sf_dir, "documents"), PIECES)
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_nearest": op2_nearest,
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_kmeans": op11_kmeans,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -22,7 +22,7 @@ def test_agrees_with_sql(spark, name):
 def test_registered(spark):
     import __spark_entry__ as contract
 
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
