@@ -7,6 +7,7 @@ for every key, NULL ones included; how the work is dealt to tasks does not chang
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,10 @@ from concord.operators.hashview import Prepared
 HOT_ROWS = 10_000
 # Rows of one key, per side, that one task compares.
 CELL_ROWS = 1_000
+# Items that a sketch of frequent keys tracks, keys taken from it, and sketches merged in the first step.
+SKETCH_ITEMS = 100_000
+SKETCH_KEYS = 10_000
+SKETCH_PARTS = 64
 
 
 def has_null_key(keys: list[str]) -> Column:
@@ -35,12 +40,36 @@ def key_rows(p: Prepared) -> DataFrame:
     return both.groupBy(*p.keys).agg(F.sum("s").alias("src_rows"), F.sum("t").alias("tgt_rows"))
 
 
+def frequent_keys(side: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Hashes of the keys that `least` rows of one side or more may have, from mergeable sketches of frequent items.
+
+    A task tracks a bounded number of items, the sketches are merged in two steps, and no key is moved. A key of more than
+    some 7 / SKETCH_ITEMS of all rows is always found; which of the others are is of no concern, as the frame
+    does not depend on it and such a key is less than a task's share.
+    """
+    hashed = side.where(~has_null_key(keys)).select(
+        F.xxhash64(*keys).alias("item"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_PARTS)).alias("part")
+    )
+    sketches = hashed.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(item, {SKETCH_ITEMS})").alias("sketch"))
+    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
+    top = merged.select(F.inline(F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")))
+    return top.where(F.col("count") >= least).select("item")
+
+
 def hot_keys(p: Prepared, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys to split, any number of them, with their rows on either side. Lazy, and a shuffle of its own,
-    so that adaptive execution sees its true size when it picks the joins."""
+    """The keys to split, with their rows on either side. Lazy, and at the end a shuffle of its own, so that adaptive execution
+    sees its true size when it picks the joins. Only rows of keys that the sketches name are counted per key."""
+    least = min(hot_rows, (float(hot_rows) * CELL_ROWS) ** 0.5)  # either condition below asks for so many rows on one side
+    named = frequent_keys(p.source, p.keys, least).unionAll(frequent_keys(p.target, p.keys, least)).distinct()
+
+    def candidates(side: DataFrame) -> DataFrame:
+        rows = side.where(~has_null_key(p.keys)).select(*p.keys, F.xxhash64(*p.keys).alias("item"))
+        return rows.join(F.broadcast(named), "item", "left_semi")  # 2 * SKETCH_KEYS hashes at most
+
     s, t = F.col("src_rows"), F.col("tgt_rows")
     pairs = s.cast("double") * t >= float(hot_rows) * CELL_ROWS
-    return key_rows(p).where(~has_null_key(p.keys) & ((F.greatest(s, t) >= hot_rows) | pairs)).repartition(*p.keys)
+    counted = key_rows(replace(p, source=candidates(p.source), target=candidates(p.target)))
+    return counted.where((F.greatest(s, t) >= hot_rows) | pairs).repartition(*p.keys)
 
 
 def align(p: Prepared, hot_rows: int | None = HOT_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:

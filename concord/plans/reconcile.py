@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from concord.domain import Domain
 from concord.functions import canon, variance, verdict
-from concord.operators.align import HOT_ROWS, align, has_null_key, key_rows, key_tally
+from concord.operators.align import HOT_ROWS, align, has_null_key, key_tally
 from concord.operators.hashview import PairColumns, Prepared, number_column, prepare, short_column
 from concord.operators.records import record_id
 from concord.plans import contracts
@@ -41,11 +41,6 @@ class Result:
     def _aligned(self, prepared: Prepared) -> DataFrame:
         return align(prepared, self.hot_rows) if self.stored is None else self.stored
 
-    @property
-    def counts(self) -> DataFrame | None:
-        """Rows per key, from the pass that looks for hot keys; None if that is left out."""
-        return None if self.hot_rows is None else key_rows(self.prepared)
-
     @property
     def keys(self) -> list[str]:
         return self.prepared.keys
@@ -88,7 +83,7 @@ class Result:
     @property
     def summary(self) -> DataFrame:
         """One row of counts and gates."""
-        return summarize(self.verdicts, self.source, self.target, self.domain, self.counts)
+        return summarize(self.verdicts, self.source, self.target, self.domain)
 
     @property
     def key_counts(self) -> DataFrame:

@@ -20,14 +20,11 @@ COUNTS = (*STATUS_COUNTS, "pristine", "noisy", "material")
 DISCREPANCIES = "mismatched + source_only + target_only"
 
 
-def summarize(
-    judged: DataFrame, source: DataFrame, target: DataFrame, domain: Domain, key_rows: DataFrame | None = None
-) -> DataFrame:
+def summarize(judged: DataFrame, source: DataFrame, target: DataFrame, domain: Domain) -> DataFrame:
     """One row per domain.
 
-    Totals count the sides themselves, since a repeated key makes more pairs than rows: from the
-    rows per key where these are known, else by reading the sides. The one-row aggregates are
-    stacked and added up.
+    Totals count the sides themselves, since a repeated key makes more pairs than rows; Parquet answers
+    that from its footers. The one-row aggregates are stacked and added up.
     """
     counted = judged.agg(
         _copies("status", verdict.MATCH).alias("matched"),
@@ -38,14 +35,11 @@ def summarize(
         _copies("verdict", verdict.NOISY).alias("noisy"),
         _copies("verdict", verdict.MATERIAL).alias("material"),
     )
-    if key_rows is not None:
-        parts = [counted, key_rows.agg(F.sum("src_rows").alias("total_source"), F.sum("tgt_rows").alias("total_target"))]
-    else:
-        parts = [
-            counted,
-            source.agg(F.count("*").alias("total_source")),
-            target.agg(F.count("*").alias("total_target")),
-        ]
+    parts = [
+        counted,
+        source.agg(F.count("*").alias("total_source")),
+        target.agg(F.count("*").alias("total_target")),
+    ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     totals = stacked.agg(*[F.expr(f"coalesce(sum({c}), 0)").alias(c) for c in COUNTS])
     return gates(totals.select(F.lit(domain.name).alias("domain"), *COUNTS))
