@@ -239,6 +239,26 @@ tgt AS (
 FLOAT_KEY_PAIRS = {"on": "CAST(s.k AS DOUBLE) = t.k", "keys": "coalesce(CAST(s.k AS DOUBLE), t.k) AS k_1"}
 BY_ORDER = {"on": "s.k = t.k"}
 
+TYPED_ORDERS = """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 <> 4 THEN CAST(CAST(o_totalprice AS DECIMAL(19,4)) AS DECIMAL(15,2)) END AS amount,
+       CAST(CAST(o_totalprice AS DECIMAL(19,4)) AS DOUBLE) / 8 AS ratio, CAST(CAST(o_totalprice AS DECIMAL(19,4)) AS DOUBLE) * 1152921504606846976.0 AS large,
+       CAST(o_orderdate AS TIMESTAMP) + to_milliseconds(o_orderkey % 1000) AS placed, CAST(o_orderdate AS DATE) AS day,
+       CASE WHEN o_orderkey % 13 <> 5 THEN o_orderstatus = 'O' END AS open, hex(o_orderstatus) AS code
+FROM orders"""
+
+
+def database_hash(amount: str, ratio: str, large: str, placed: str, open_: str, code: str) -> str:
+    texts = ", ".join(f"coalesce({c}, 'NULL')" for c in ("CAST(o_custkey AS VARCHAR)", amount, ratio, large, placed, "CAST(day AS VARCHAR)", open_, code))
+    return f"SELECT o_orderkey, md5(concat_ws('|', {texts})) AS record_hash FROM ({TYPED_ORDERS})"
+
+
+PLAIN_DOUBLE = "regexp_replace(CAST(ratio AS VARCHAR), '\\.0$', '')"
+FOUR_PLACES = "CAST(CAST(amount AS DECIMAL(19,4)) AS VARCHAR)"
+BIT = "CAST(CAST(open AS INT) AS VARCHAR)"
+# The plain text of a large double: always a point, `E` and no plus sign.
+LARGE = "CAST(large AS VARCHAR)"
+SPARK_LARGE = f"replace(CASE WHEN {LARGE} LIKE '%.%' THEN {LARGE} ELSE replace({LARGE}, 'e', '.0e') END, 'e+', 'E')"
+
 ORACLE: dict[str, str] = {
     "recon_summary": summary(ORDERS, 4, "orders"),
     "record_hash": PLAIN_HASH.format(hash=hash_of(ORDER_COLUMNS)),
@@ -290,6 +310,23 @@ FROM ({summary(LINEITEMS, 3, "lineitems", **LINE_KEYS)})""",
     + "\nSELECT k_1, s3 AS src_c_acctbal, t3 AS tgt_balance, status, count(*) AS copies FROM j GROUP BY ALL",
     "null_key_status": aligned(NULL_KEYS, 4)
     + "\nSELECT k_1, src_present, tgt_present, src_hash, tgt_hash, status, count(*) AS copies FROM j GROUP BY ALL",
+    "record_hash_mysql": database_hash(
+        FOUR_PLACES, PLAIN_DOUBLE, f"replace({LARGE}, 'e+', 'e')", "strftime(placed + INTERVAL 500 MILLISECONDS, '%Y-%m-%d %H:%M:%S')", BIT, "code"
+    ),
+    "record_hash_sqlserver": database_hash(
+        FOUR_PLACES, "CAST(ratio AS VARCHAR)", SPARK_LARGE, "strftime(placed, '%Y-%m-%d %H:%M:%S.%f') || '0'", BIT, "'0x' || code"
+    ),
+    "record_hash_postgres": database_hash(
+        "CAST(amount AS VARCHAR)", PLAIN_DOUBLE, LARGE, "CAST(placed AS VARCHAR)", "CAST(open AS VARCHAR)", "'\\x' || lower(code)"
+    ),
+    "digest_line_statuses": aligned(LINEITEMS, 3, **LINE_KEYS)
+    + "\nSELECT k_1, k_2, status, count(*) AS pairs FROM j WHERE status <> 'MATCH' GROUP BY k_1, k_2, status",
+    "digest_unique_counts": f"""
+SELECT domain, total_source, total_target, matched, mismatched, source_only, target_only, match_pct,
+       total_discrepancies
+FROM ({summary(ORDERS, 4, "orders")})""",
+    "late_documents": judged(DOCUMENTS, 3)
+    + "\nSELECT k_1, status, md5(s1) AS src_text_md5, md5(t1) AS tgt_text_md5, verdict, count(*) AS copies FROM v WHERE status <> 'MATCH' GROUP BY ALL",
     "missing_either_way": f"""WITH {ORDERS.strip()}
 SELECT k AS k_1, 'MISSING_IN_TARGET' AS discrepancy_type FROM src WHERE k NOT IN (SELECT k FROM tgt)
 UNION ALL
@@ -436,3 +473,11 @@ FROM e
 UNION ALL
 SELECT 'event_type', 'STRING', count(event_type), 0 FROM e""",
 }
+
+# The same results by another way.
+ORACLE |= {
+    "digest_drilldown": ORACLE["match_counts"],
+    "digest_missing": ORACLE["missing_either_way"],
+    "late_field_variances": ORACLE["field_variances"],
+    "late_report": ORACLE["discrepancy_report"],
+}

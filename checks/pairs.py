@@ -32,6 +32,34 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TYPED_FIELDS = (
+    Field("o_custkey", "BIGINT"),
+    Field("amount", "DECIMAL"),
+    Field("ratio", "DOUBLE"),
+    Field("large", "DOUBLE"),
+    Field("placed", "TIMESTAMP"),
+    Field("day", "DATE"),
+    Field("open", "BOOLEAN"),
+    Field("code", "BYTES"),
+)
+
+
+def typed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with a value of every type that databases write in their own way."""
+    key = F.col("o_orderkey")
+    return orders(spark, sf_dir).select(
+        "o_orderkey",
+        "o_custkey",
+        F.when(key % 11 != 4, F.col("price").cast("decimal(15,2)")).alias("amount"),
+        (F.col("price").cast("double") / F.lit(8.0)).alias("ratio"),
+        (F.col("price").cast("double") * F.lit(2.0**60)).alias("large"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, (o_orderkey % 1000) / 1000.0)")).alias("placed"),
+        F.col("o_orderdate").cast("date").alias("day"),
+        F.when(key % 13 != 5, F.col("o_orderstatus") == "O").alias("open"),
+        F.encode("o_orderstatus", "UTF-8").alias("code"),
+    )
+
+
 def changed_price() -> Column:
     rule = F.pmod("o_orderkey", F.lit(20))
     price = F.col("price")

@@ -17,7 +17,8 @@ from concord.operators.enrich import enrich_side
 from concord.operators.hashview import prepare
 from concord.operators.records import field_names, get_field, record
 from concord.plans import contracts, report
-from concord.plans.reconcile import field_variances, rare_discrepancies
+from concord.plans.drilldown import Drilldown, drilldown
+from concord.plans.reconcile import field_variances, late_discrepancies, rare_discrepancies
 from concord.plans.summary import breakdown, count_statuses, text_line, union_summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,14 @@ def record_hash_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("o_orderkey", "record_hash")
 
 
+def _database_hash(profile: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        side = Side("orders", (Field("o_orderkey", "BIGINT"),), pairs.TYPED_FIELDS)
+        return hash_view(pairs.typed_orders(spark, sf_dir), side, profile=profile).select("o_orderkey", "record_hash")
+
+    return query
+
+
 def document_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_view(pairs.documents(spark, sf_dir), pairs.documents_domain().source).select("doc_id", "record_hash")
 
@@ -146,6 +155,57 @@ def missing_either_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Digests of buckets, and values read late
+
+
+def _digest_orders(spark: SparkSession, sf_dir: str) -> Drilldown:
+    return drilldown(pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), pairs.orders_domain(), unique_keys=True)
+
+
+def _digest_lines(spark: SparkSession, sf_dir: str) -> Drilldown:
+    return drilldown(pairs.lineitems(spark, sf_dir), pairs.lineitems_copy(spark, sf_dir), pairs.lineitems_domain())
+
+
+def digest_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest_lines(spark, sf_dir).match_counts
+
+
+def digest_line_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest_lines(spark, sf_dir).statuses.groupBy("k_1", "k_2", "status").agg(F.sum("copies").alias("pairs"))
+
+
+def digest_unique_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest_orders(spark, sf_dir).match_counts
+
+
+def digest_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src, tgt = _digest_orders(spark, sf_dir).one_sided
+    return src.select("k_1", F.lit("MISSING_IN_TARGET").alias("discrepancy_type")).unionAll(
+        tgt.select("k_1", F.lit("MISSING_IN_SOURCE").alias("discrepancy_type"))
+    )
+
+
+def _late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_discrepancies(pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), pairs.orders_domain())
+
+
+def late_field_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_variances(_late_orders(spark, sf_dir), ["k_1"])
+
+
+def late_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.descriptions(_late_orders(spark, sf_dir)).select(
+        "record_id", "src_hash", "tgt_hash", "discrepancy_type", "type_description", "details",
+        "verdict", "verdict_description", "copies",
+    )
+
+
+def late_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of the documents that differ, by their length and digest."""
+    found = late_discrepancies(pairs.documents(spark, sf_dir), pairs.documents_copy(spark, sf_dir), pairs.documents_domain())
+    return found.select("k_1", "status", F.md5("src_text").alias("src_text_md5"), F.md5("tgt_text").alias("tgt_text_md5"), "verdict", "copies")
+
+
 def _enriched(how: str) -> Query:
     """Every order with the segment of its customer; orders of one customer in ten name none."""
 
@@ -441,6 +501,9 @@ QUERIES: dict[str, Query] = {
     "record_hash": record_hash,
     "record_hash_sha256": record_hash_sha256,
     "record_hash_oracle": record_hash_oracle,
+    "record_hash_mysql": _database_hash("mysql"),
+    "record_hash_sqlserver": _database_hash("sqlserver"),
+    "record_hash_postgres": _database_hash("postgres"),
     "document_hash": document_hash,
     "canonical_text": canonical_text,
     "aligned_status": aligned_status,
@@ -452,6 +515,13 @@ QUERIES: dict[str, Query] = {
     "cross_type_key_status": cross_type_key_status,
     "null_key_status": null_key_status,
     "missing_either_way": missing_either_way,
+    "digest_drilldown": digest_drilldown,
+    "digest_line_statuses": digest_line_statuses,
+    "digest_unique_counts": digest_unique_counts,
+    "digest_missing": digest_missing,
+    "late_field_variances": late_field_variances,
+    "late_report": late_report,
+    "late_documents": late_documents,
     "enriched_left": _enriched("left"),
     "enriched_inner": _enriched("inner"),
     "order_vs_lineitem_total": order_vs_lineitem_total,

@@ -18,6 +18,11 @@ from concord.domain import DATETIME_FAMILIES, NUMERIC_FAMILIES, Field
 NULL_TEXT = "NULL"
 SEPARATOR = "|"
 ORACLE_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# What the databases make of a value that is turned into text. Decimals there have four places unless said otherwise.
+DATABASE_SCALE = 4
+SECONDS, MICROSECONDS = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS"
+BYTES_PREFIX = {"postgres": "\\x", "mysql": "", "sqlserver": "0x"}
+PROFILES = ("plain", "oracle", *BYTES_PREFIX)
 
 
 def physical_family(dtype: T.DataType) -> str:
@@ -134,6 +139,42 @@ def to_family(c: Column, dtype: T.DataType, family: str) -> Column:
     return raw_text(c, dtype)
 
 
+def double_in(c: Column, profile: str) -> Column:
+    """A double as `postgres` or `mysql` writes it: all its digits, no closing `.0`, an exponent only beyond a range of sizes."""
+    text = F.when(c == 0, "0").otherwise(c.cast("string"))
+    size = F.abs(c.cast("double"))
+    small = 1e-4 if profile == "postgres" else 1e-15
+    plain = F.when(size >= 1, short_number(text.try_cast("decimal(38,22)").cast("string"))).otherwise(
+        short_number(text.try_cast("decimal(38,37)").cast("string"))
+    )
+    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
+    power = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(2)), "^-", "")
+    sign = F.when(text.contains("E-"), "-").otherwise("+" if profile == "postgres" else "")
+    shown = F.concat(mantissa, F.lit("e"), sign, F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power) if profile == "postgres" else power)
+    return F.when((size >= small) & (size < 1e15) | (size == 0), plain).when(text.contains("E"), shown).otherwise(text)
+
+
+def database_text(c: Column, dtype: T.DataType, family: str, profile: str, scale: int) -> Column | None:
+    """Text of a value in a database's own form, where that is not the plain one. Values that do not fit keep their own text."""
+    own = raw_text(c, dtype)
+    if family == "boolean" and profile != "postgres":
+        value = to_family(c, dtype, family)
+        return F.coalesce(F.when(value, "1").when(~value, "0"), own)
+    if family == "decimal" and profile != "postgres":
+        return F.coalesce(c.try_cast(f"decimal(38,{scale})").cast("string"), own)
+    if family == "float" and physical_family(dtype) == "float" and profile != "sqlserver":
+        return double_in(c, profile)
+    if family == "timestamp" and profile != "postgres":
+        value = to_family(c, dtype, family)
+        if profile == "mysql":  # whole seconds, rounded
+            return F.coalesce(F.date_format(value + F.expr("INTERVAL 0.5 SECOND"), SECONDS), own)
+        return F.coalesce(F.concat(F.date_format(value, MICROSECONDS), F.lit("0")), own)
+    if family == "binary" and physical_family(dtype) == "binary":
+        digits = F.lower(F.hex(c)) if profile == "postgres" else F.hex(c)
+        return F.concat(F.lit(BYTES_PREFIX[profile]), digits)
+    return None
+
+
 def family_text(
     c: Column,
     dtype: T.DataType,
@@ -141,13 +182,22 @@ def family_text(
     digits: int | None = None,
     profile: str = "plain",
     strip_zeros: bool = False,
+    scale: int = DATABASE_SCALE,
 ) -> Column:
     """Text of a value compared in `family`.
 
     A value that does not fit the type keeps its own text, so two different misfits stay different.
     `profile="oracle"` writes dates and timestamps with a time of day, and numbers as TO_CHAR does: without
-    closing zeros, and without the zero before the point.
+    closing zeros, and without the zero before the point. `mysql` and `sqlserver` write booleans as 1 and 0 and decimals with `scale`
+    places; `mysql` timestamps have whole seconds, those of `sqlserver` seven digits behind them; `postgres` and `mysql` floats have
+    no closing `.0`. Floats of `sqlserver` are plain: it has no text that keeps all their digits by default.
     """
+    if profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile!r}")
+    if profile in BYTES_PREFIX:
+        text = database_text(c, dtype, family, profile, scale if digits is None else digits)
+        if text is not None:
+            return text
     if family in ("string", "text", "binary", "uuid"):
         return to_family(c, dtype, family)
     if family in NUMERIC_FAMILIES:
@@ -171,7 +221,7 @@ def declared_text(c: Column, dtype: T.DataType, field: Field, **options) -> Colu
         family = physical_family(dtype)  # the stored type holds the value
     elif family in ("integer", "float") and physical_family(dtype) == "string":
         family = "decimal"
-    return family_text(c, dtype, family, field.digits, **options)
+    return family_text(c, dtype, family, field.digits, scale=DATABASE_SCALE if field.scale is None else field.scale, **options)
 
 
 def paired_text(

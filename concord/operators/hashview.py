@@ -131,10 +131,10 @@ class Prepared:
         return replace(self, source=self.source.select(*src_columns), target=self.target.select(*tgt_columns), null_source=s, null_target=t)
 
 
-def prepare(source: DataFrame, target: DataFrame, domain: Domain, use_hash_column: bool = False) -> Prepared:
-    """Narrow projections only: nothing here moves a row."""
-    src_cols: list[Column] = []
-    tgt_cols: list[Column] = []
+def prepare(source: DataFrame, target: DataFrame, domain: Domain, use_hash_column: bool = False, carried: tuple[str, ...] = ()) -> Prepared:
+    """Narrow projections only: nothing here moves a row. `carried` columns of both sides are kept as they are."""
+    src_cols: list[Column] = [source[c] for c in carried]
+    tgt_cols: list[Column] = [target[c] for c in carried]
     keys = []
     for i, (a, b) in enumerate(domain.id_pairs(), start=1):
         key = f"k_{i}"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from concord.domain import Domain
 from concord.functions import canon, variance, verdict
 from concord.operators.align import HOT_ROWS, align, has_null_key, key_tally
 from concord.operators.hashview import PairColumns, Prepared, number_column, prepare, short_column
+from concord.operators.locate import FILE, ROW, fetch, located
 from concord.operators.records import record_id
 from concord.plans import contracts
 from concord.plans.summary import count_statuses, summarize
@@ -108,10 +112,13 @@ class Result:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it."""
+    """The folder all executors share, as the session names it; only a session on one machine may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="concord-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -167,25 +174,74 @@ def rare_discrepancies(
     read of both sides, and spares the shuffle of every matching row's fields. The written keys
     are read again by every action on the result; `clear_written` removes them when it is done with.
     """
-    contracts.require(source, target, domain, use_hash_column)
-    p = prepare(source, target, domain, use_hash_column)
-    odd = align(p.thin(), hot_rows).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
-    base = checked_folder(source.sparkSession, folder) if folder else shared_folder(source.sparkSession)
-    path = f"{base}/odd-keys-{uuid.uuid4()}"
-    odd.select(*p.keys).distinct().write.parquet(path)
-    keys = source.sparkSession.read.parquet(path)
+    p, keys = _odd_keys(source, target, domain, folder, use_hash_column, hot_rows)
     q = replace(
         p, source=p.source.join(keys, p.keys, "left_semi"), target=p.target.join(keys, p.keys, "left_semi")
     )
     return Result(domain, source, target, q, hot_rows=hot_rows).discrepancies
 
 
-def clear_written(discrepancies: DataFrame) -> None:
-    """Delete the keys that `rare_discrepancies` wrote for this frame."""
-    spark = discrepancies.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in discrepancies.inputFiles() if "/odd-keys-" in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def late_discrepancies(
+    source: DataFrame,
+    target: DataFrame,
+    domain: Domain,
+    *,
+    folder: str | None = None,
+    use_hash_column: bool = False,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """The discrepancies of sides that are projections or filters of Parquet scans, with values read at the very end.
+
+    As in `rare_discrepancies` keys and hashes are aligned first. The keys that do not match everywhere then name the places of
+    their rows, file and row number, which are written; values are read from these places alone, whether few or many, and rows that match
+    are never shuffled with their values. Sides without places are handled as in `rare_discrepancies`.
+    `clear_written` removes what was written.
+    """
+    if located(source) is None or located(target) is None:
+        return rare_discrepancies(source, target, domain, folder=folder, use_hash_column=use_hash_column, hot_rows=hot_rows)
+    p, keys = _odd_keys(source, target, domain, folder, use_hash_column, hot_rows)
+    places = prepare(located(source), located(target), domain, use_hash_column, carried=(FILE, ROW))
+
+    def rows(side: DataFrame, own: DataFrame, null_key: DataFrame | None) -> DataFrame:
+        found = own.select(*p.keys, FILE, ROW).join(keys, p.keys, "left_semi").select(FILE, ROW)
+        loose = [] if null_key is None else [null_key.select(FILE, ROW)]
+        return fetch(side, stored_copy(reduce(DataFrame.unionAll, loose, found), "odd-places", folder))
+
+    q = prepare(rows(source, places.source, places.null_source), rows(target, places.target, places.null_target), domain, use_hash_column)
+    return Result(domain, source, target, q, hot_rows=hot_rows).discrepancies
+
+
+def _odd_keys(
+    source: DataFrame, target: DataFrame, domain: Domain, folder: str | None, use_hash_column: bool, hot_rows: int | None
+) -> tuple[Prepared, DataFrame]:
+    """Both sides prepared, and the written keys that do not match everywhere."""
+    contracts.require(source, target, domain, use_hash_column)
+    p = prepare(source, target, domain, use_hash_column)
+    odd = align(p.thin(), hot_rows).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
+    return p, stored_copy(odd.select(*p.keys).distinct(), "odd-keys", folder)
+
+
+def stored_copy(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The frame, written to the shared folder and read again."""
+    spark = df.sparkSession
+    base = checked_folder(spark, folder) if folder else shared_folder(spark)
+    path = f"{base}/{name}-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# Names of the folders that this library writes for a frame's own use.
+WRITTEN = ("odd-keys", "odd-places", "odd-buckets", "digests", "listing")
+
+
+def clear_written(df: DataFrame) -> None:
+    """Delete what was written to make this frame."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[-1].rsplit("-", 5)[0] in WRITTEN:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool = False) -> DataFrame:

@@ -46,6 +46,29 @@ def one(spark, value, dtype):
         ("12.5", T.StringType(), "DECIMAL", {}, "12.5"),
         ("n/a", T.StringType(), "DECIMAL", {}, "n/a"),
         (date(2024, 1, 15), T.DateType(), "DATE", {}, "2024-01-15"),
+        (True, T.BooleanType(), "BOOLEAN", {"profile": "mysql"}, "1"),
+        (False, T.BooleanType(), "BOOLEAN", {"profile": "sqlserver"}, "0"),
+        (True, T.BooleanType(), "BOOLEAN", {"profile": "postgres"}, "true"),
+        ("maybe", T.StringType(), "BOOLEAN", {"profile": "mysql"}, "maybe"),
+        (Decimal("0.5"), DEC, "DECIMAL", {"profile": "mysql"}, "0.5000"),
+        (Decimal("-12.25"), DEC, "DECIMAL", {"profile": "sqlserver"}, "-12.2500"),
+        ("no number", T.StringType(), "DECIMAL", {"profile": "sqlserver"}, "no number"),
+        (100.0, T.DoubleType(), "DOUBLE", {"profile": "postgres"}, "100"),
+        (0.1, T.DoubleType(), "DOUBLE", {"profile": "mysql"}, "0.1"),
+        (-0.0, T.DoubleType(), "DOUBLE", {"profile": "postgres"}, "0"),
+        (12345678.5, T.DoubleType(), "DOUBLE", {"profile": "postgres"}, "12345678.5"),
+        (1e15, T.DoubleType(), "DOUBLE", {"profile": "postgres"}, "1e+15"),
+        (1e15, T.DoubleType(), "DOUBLE", {"profile": "mysql"}, "1e15"),
+        (-2.5e-7, T.DoubleType(), "DOUBLE", {"profile": "postgres"}, "-2.5e-07"),
+        (-2.5e-7, T.DoubleType(), "DOUBLE", {"profile": "mysql"}, "-0.00000025"),
+        (float("inf"), T.DoubleType(), "DOUBLE", {"profile": "postgres"}, "Infinity"),
+        (float("nan"), T.DoubleType(), "DOUBLE", {"profile": "mysql"}, "NaN"),
+        (b"\xab", T.BinaryType(), "BYTES", {"profile": "postgres"}, "\\xab"),
+        (b"\xab", T.BinaryType(), "BYTES", {"profile": "sqlserver"}, "0xAB"),
+        (b"\xab", T.BinaryType(), "BYTES", {"profile": "mysql"}, "AB"),
+        (datetime(2024, 1, 15, 8, 30, 59, 500000), T.TimestampNTZType(), "TIMESTAMP", {"profile": "mysql"}, "2024-01-15 08:31:00"),
+        (datetime(2024, 1, 15, 8, 30, 59, 500000), T.TimestampNTZType(), "TIMESTAMP", {"profile": "sqlserver"}, "2024-01-15 08:30:59.5000000"),
+        (datetime(2024, 1, 15, 8, 30, 59, 500000), T.TimestampNTZType(), "TIMESTAMP", {"profile": "postgres"}, "2024-01-15 08:30:59.5"),
         (date(2024, 1, 15), T.DateType(), "DATE", {"profile": "oracle"}, "2024-01-15 00:00:00"),
         (datetime(2024, 1, 15, 9, 30), NTZ, "TIMESTAMP", {}, "2024-01-15 09:30:00"),
         (datetime(2024, 1, 15, 9, 30), NTZ, "DATE", {}, "2024-01-15"),
