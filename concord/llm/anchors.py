@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from concord.llm import storage
 from concord.llm.storage import forget, saved
-from concord.llm.words import BYTE_VALUES, NOT_SPACE, RunHash, Texts, Words, chunks, gathered
+from concord.llm.words import BYTE_VALUES, NOT_SPACE, RunHash, Texts, Words, chunks, combined, gathered
 
 BLOCK_UNITS = 1 << 20
 BLOCK_BYTES = 1 << 20
@@ -88,7 +88,7 @@ def segments(units, scheme: Scheme) -> Iterator[tuple[np.ndarray, ...]]:
         if not len(at):
             continue
         run = RunHash(units.hashes(low, min(total, high + window - 1)))
-        index = np.arange(len(run.sums) - gram, dtype=np.int64)
+        index = np.arange(run.size + 1 - gram, dtype=np.int64)
         grams = run(index, index + gram)
         mask = np.uint64((1 << max(22, len(index).bit_length())) - 1)
         # Of equal grams the first counts: the place is in the low bits.
@@ -189,16 +189,16 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         for part in chunks(iter([batch]), "content", limit):
             waiting.append(part)
             size += part.column("content").nbytes
-            if size >= limit:
-                rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            # While all is of one anchor there is nothing to cut.
+            if size >= limit and waiting[0].column("anchor")[0] != part.column("anchor")[-1]:
+                rows = combined(waiting)
                 anchor = rows.column("anchor").to_numpy()
-                cut = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if anchor[0] != anchor[-1] else 0
-                if cut:
-                    yield rows.slice(0, cut)
+                cut = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1
+                yield rows.slice(0, cut)
                 waiting = [rows.slice(cut)]
                 size = waiting[0].column("content").nbytes
     if size:
-        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+        yield combined(waiting)
 
 
 def runs(flag: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

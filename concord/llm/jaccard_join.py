@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from concord.llm import anchors, storage
 from concord.llm.components import components
 from concord.llm.storage import by_ids, saved
-from concord.llm.words import LETTERS_DIGITS, Texts, Words, chunks, gathered, mixed
+from concord.llm.words import LETTERS_DIGITS, Texts, Words, chunks, combined, gathered, mixed
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -241,22 +241,12 @@ def _keyed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
         for e in np.flatnonzero(change).tolist():
             if e > at:
                 waiting.append(batch.slice(at, e - at))
-            yield _combined(waiting)
+            yield combined(waiting)
             waiting = []
             at = e
         waiting.append(batch.slice(at))
     if waiting:
-        yield _combined(waiting)
-
-
-def _combined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """All rows as one batch. Texts get offsets of 64 bits: with 32 Arrow makes a new batch at every 2 GB."""
-    if len(batches) == 1:
-        return batches[0]
-    large = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
-    schema = pa.schema([f.with_type(large.get(f.type, f.type)) for f in batches[0].schema])
-    (whole,) = pa.Table.from_batches(batches).cast(schema).combine_chunks().to_batches()
-    return whole
+        yield combined(waiting)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:

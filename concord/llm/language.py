@@ -163,12 +163,12 @@ def word_scores(letters: Letters, model: Model) -> np.ndarray:
 def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word: the sum of scores minus `penalty` per change of label is largest in each
     text. Text i has the words first[i]:first[i]+count[i]. All texts move forward by one word at a time."""
-    labels = np.zeros(len(score), np.int8)
+    labels = np.zeros(len(score), np.int32)
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
     active = np.searchsorted(-count, -np.arange(count.max(initial=0)), "left")  # texts with more than t words
     switched = np.zeros(score.shape, bool)
-    best = np.zeros(len(score), np.int8)
+    best = np.zeros(len(score), np.int32)
     value = np.zeros((len(first), score.shape[1]), np.float32)
     for t in range(len(active)):
         n = active[t]
@@ -182,7 +182,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: fl
         v -= v.max(1, keepdims=True)  # only differences count; keeps them small
         value[:n] = v
         best[at] = v.argmax(1)
-    state = np.zeros(len(first), np.int8)
+    state = np.zeros(len(first), np.int32)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = first[:n] + t

@@ -1,7 +1,7 @@
 """Whole batches of texts as byte arrays: words, their hashes and the hashes of word runs, in numpy.
 
-Hashes are 64 bits: a polynomial over bytes (or word hashes) modulo 2^64 with random byte values,
-followed by a mixing step. Positions are kept in 64-bit integers.
+Hashes are 64 bits: two polynomials over bytes (or word hashes) with random values and bases, modulo two primes of 32 bits, side by
+side, followed by a mixing step. (Modulo a power of two some texts would always collide.) Positions are kept in 64-bit integers.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ CHUNK_BYTES = 1 << 20
 
 _LIBC = ctypes.CDLL(None)
 _RANDOM = np.random.default_rng(20240607)
-BYTE_VALUES = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-BASE = int(_RANDOM.integers(1, 2**63, dtype=np.uint64)) | 1
-INVERSE = pow(BASE, -1, 2**64)
+#: The largest primes below 2^32, and a random base for each; values of bytes are below both.
+PRIMES = (4294967291, 4294967279)
+BASES = tuple(int(x) for x in _RANDOM.integers(1 << 20, PRIMES[1], 2, dtype=np.uint64))
+BYTE_VALUES = _RANDOM.integers(1, PRIMES[1], 256, dtype=np.uint32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,28 +34,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def up(base: int, prime: int) -> np.ndarray:
+        out = np.ones(size, np.uint32)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+            done += more
+        return out
+
+    return [(up(base, prime), up(pow(base, -1, prime), prime)) for base, prime in zip(BASES, PRIMES)]
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(5, -(-size >> 18)) << 18)
-    return up[:size], down[:size]
+def powers(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(up[:size], down[:size]) for up, down in _powers(max(5, -(-size >> 18)) << 18)]
 
 
 class RunHash:
-    """Hashes of any runs values[start:end] from one cumulative sum."""
+    """Hashes of any runs values[start:end] from cumulative sums."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[:-1], out=self.sums[1:])
+        self.size = len(values)
+        self.parts = []
+        for prime, (up, down) in zip(PRIMES, powers(self.size + 1)):
+            p = np.uint64(prime)
+            own = values if values.dtype == np.uint32 else values % p
+            sums = np.zeros(self.size + 1, np.uint64)
+            np.cumsum(own * up[:-1].astype(np.uint64) % p, out=sums[1:])
+            self.parts.append((p, sums, down))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mixed(raw + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        (one, other) = ((sums[end] - sums[start]) % p * down[start] % p for p, sums, down in self.parts)
+        return mixed(((one << np.uint64(32)) | other) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Texts:
@@ -154,3 +166,13 @@ def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(size) - size
     return np.arange(total, dtype=np.int64) + np.repeat(start - before, size)
+
+
+def combined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All rows as one batch. Texts get offsets of 64 bits: with 32 Arrow makes a new batch at every 2 GB."""
+    if len(batches) == 1:
+        return batches[0]
+    large = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
+    schema = pa.schema([f.with_type(large.get(f.type, f.type)) for f in batches[0].schema])
+    (whole,) = pa.Table.from_batches([b.cast(schema) for b in batches]).combine_chunks().to_batches()
+    return whole
