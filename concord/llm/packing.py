@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.storage import saved
-from concord.llm.words import RunHash, BYTE_VALUES, Texts, chunks, gathered
+from concord.llm.words import Texts, chunks, gathered
 
-#: Some 50 bytes each.
-CACHED_PARTS = 1_000_000
+#: Some 200 bytes each.
+CACHED_PARTS = 500_000
 JOINED_PARTS = 8_000
 SALT_ROWS = 50_000
 
@@ -50,8 +50,8 @@ class PartTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        # Hashes of the known parts, sorted, and for each its place in the arrays below.
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # The known parts, and for each its place in the arrays below.
+        self.slots: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -69,30 +69,31 @@ class PartTokenizer:
         cut[n] = True
         edge = np.flatnonzero(cut)
         start, end = edge[:-1], edge[1:]
-        different, at, which = np.unique(RunHash(BYTE_VALUES[data])(start, end), return_index=True, return_inverse=True)
-        slot = np.full(len(different), -1, np.int64)
-        if len(self.keys):
-            near = np.minimum(np.searchsorted(self.keys, different), len(self.keys) - 1)
-            slot = np.where(self.keys[near] == different, self.slot[near], -1)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        which, different = coded.indices.to_numpy(), coded.dictionary
+        known = self.slots.get
+        keys = different.to_pylist()
+        slot = np.fromiter((known(key, -1) for key in keys), np.int64, len(keys))
         new = np.flatnonzero(slot < 0)
-        if len(self.slot) + len(new) > CACHED_PARTS:
+        if len(self.slots) + len(new) > CACHED_PARTS:
             self._forget()
-            new = np.arange(len(different))
+            new = np.arange(len(keys))
         if len(new):
+            parts = Texts(different)
+            data, begin, stop = parts.data, parts.start, parts.end
+            plain = (data > 0x20) & (data < 0x7F)
             # A part that begins with a space and ends like a cut may stand next to any other such part.
-            a, b = start[at[new]], end[at[new]]
-            joins = (b - a > 1) & (data[a] == 0x20) & plain[np.minimum(a + 1, n - 1)] & plain[b - 1]
+            a, b = begin[new], stop[new]
+            joins = (b - a > 1) & (data[a] == 0x20) & plain[np.minimum(a + 1, len(data) - 1)] & plain[b - 1]
             new = np.concatenate([new[joins], new[~joins]])
             ids, size = self._joined(data, a[joins], b[joins])
             other_ids, other_size = self._single(data, a[~joins], b[~joins])
             size = np.concatenate([size, other_size])
             slot[new] = len(self.first) + np.arange(len(new))
+            self.slots.update((keys[i], k) for k, i in enumerate(new.tolist(), len(self.first)))
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, ids, other_ids])
-            keys = np.concatenate([self.keys, different[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.slot = keys[order], np.concatenate([self.slot, slot[new]])[order]
         own = slot[which]
         size = self.size[own]
         ends = np.concatenate([[0], np.cumsum(size)])
