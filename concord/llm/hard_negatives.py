@@ -125,10 +125,16 @@ NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 BLOCK = pa.schema([("width", pa.int32()), ("ids", pa.binary()), ("labels", pa.binary()), ("columns", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """The rows, sorted by length, label and id, in blocks of `BLOCK_VALUES`; `part` numbers a few blocks alike."""
-    facts = rows.agg(F.sum(F.greatest("width", F.lit(1)).cast("long")).alias("values")).first()
-    number = max(1, -(-(facts["values"] or 0) // BLOCK_VALUES))
+def values_of(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.greatest("width", F.lit(1)).cast("long")).alias("values")).first()["values"] or 0
+
+
+def blocks(rows: DataFrame, asked: int) -> DataFrame:
+    """The rows, sorted by length, label and id, in blocks of `BLOCK_VALUES`. `part` numbers some blocks alike: `BLOCKS_A_PART`, or fewer
+    as long as the copies of all `asked` values of anchors, one per part, are no more than the rows themselves."""
+    values = values_of(rows)
+    number = max(1, -(-values // BLOCK_VALUES))
+    parts = max(-(-number // BLOCKS_A_PART), min(number, values // max(1, asked)))
     dealt = rows.repartitionByRange(number, "width", "label", "vec_id").sortWithinPartitions("width", "label", "vec_id")
 
     def made(ids: list, labels: list, tables: list) -> pa.RecordBatch:
@@ -158,13 +164,12 @@ def blocks(rows: DataFrame) -> DataFrame:
             yield made(*waiting)
 
     cut = dealt.mapInArrow(run, "width int, ids binary, labels binary, columns binary, low binary, high binary")
-    return saved(cut.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(-(-number // BLOCKS_A_PART))).cast("int")), "negatives-blocks")
+    return saved(cut.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")), "negatives-blocks")
 
 
 def bunches(anchors: DataFrame) -> DataFrame:
     """The anchors, some at a time: rows (bunch, width, anchors)."""
-    facts = anchors.agg(F.sum(F.greatest("width", F.lit(1)).cast("long")).alias("values")).first()
-    number = max(1, -(-(facts["values"] or 0) // BUNCH_VALUES))
+    number = max(1, -(-values_of(anchors) // BUNCH_VALUES))
     dealt = anchors.withColumn("__bunch", F.pmod(F.xxhash64("vec_id", "label", "x"), F.lit(number)))
     own = dealt.groupBy("width", "__bunch").agg(F.collect_list(F.struct("vec_id", "label", "x")).alias("anchors"))
     return saved(own.select(F.monotonically_increasing_id().alias("bunch"), "width", "anchors"), "negatives-anchors")
@@ -252,7 +257,8 @@ def mined(
     rows = items.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.when(finite(vector), vector).alias("v"))
     rows = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL").select("vec_id", "label", scaled(F.col("v"), scale).alias("x"))
     rows = saved(rows.dropDuplicates(["vec_id", "label", "x"]).withColumn("width", F.size("x")), "negatives-rows")
-    stored, asked = blocks(rows), bunches(rows.where(is_anchor))
+    anchors = rows.where(is_anchor)
+    stored, asked = blocks(rows, values_of(anchors)), bunches(anchors)
 
     alike = ranked(searched(met(stored, asked), positives, within=False), ["bunch", "place"], positives)
     score = F.col("score")
