@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,7 +29,7 @@ from concord.llm.words import LETTERS_DIGITS, Texts, Words, chunks, gathered
 
 SAMPLE = 16
 SLICE_BYTES = 64 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 
 
 # ---- the index
@@ -52,27 +53,42 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+class Bits:
+    """A bit vector of 64-bit words, with the number of ones before each word."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(bit.astype(bool), bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(8 - len(packed) % 8 + 8, np.uint8)])[: (len(bit) // 64 + 1) * 8].view("<u8")
+        self.before = np.cumsum(np.append(0, np.bitwise_count(self.words[:-1]))).astype(np.int64)
+
+    def ones(self, place: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+
+
 class WaveletTree:
-    """Ranks of symbols in a sequence, one bit vector per bit of the symbol, highest first; each level
+    """Ranks of symbols in a sequence, one packed bit vector per bit of the symbol, highest first; each level
     holds the sequence stably sorted by the bits above."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits = bits
-        self.ones: list[np.ndarray] = []  # ones before each place, per level
+        self.levels: list[Bits] = []
         self.zeros: list[int] = []
-        self.symbols = symbols
+        self.symbols = symbols.astype(np.int32)
+        symbols = self.symbols
         for level in range(bits - 1, -1, -1):
             bit = symbols >> level & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]))
+            self.levels.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         low, at = np.zeros_like(place), place
-        for level, ones, zeros in zip(range(self.bits - 1, -1, -1), self.ones, self.zeros):
+        for level, bits, zeros in zip(range(self.bits - 1, -1, -1), self.levels, self.zeros):
             bit = (symbol >> level & 1).astype(bool)
-            one_low, one_at = ones[low], ones[at]
+            one_low, one_at = bits.ones(low), bits.ones(at)
             low = np.where(bit, zeros + one_low, low - one_low)
             at = np.where(bit, zeros + one_at, at - one_at)
         return at - low
@@ -111,7 +127,7 @@ class FMIndex:
             hit = on[done]
             found[hit] = self.samples[self.sample_rank[rows[hit]]] + steps[hit]
             on = on[~done]
-            symbol = self.bwt.symbols[rows[on]]
+            symbol = self.bwt.symbols[rows[on]].astype(np.int64)
             rows[on] = self.before[symbol] + self.bwt.rank(symbol, rows[on])
             steps[on] += 1
         return found
@@ -204,6 +220,21 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int
     yield items, texts
 
 
+def cut_out(texts: Texts, words: Words, row: np.ndarray, first: np.ndarray, end: np.ndarray, column: pa.Array) -> pa.Array:
+    """The texts without the stretches of words first:end of each row, rows in order."""
+    out = column.to_pylist()
+    edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(row)]):
+        i = int(row[a])
+        at, parts = int(texts.start[i]), []
+        for x, y in zip(words.start[first[a:b]].tolist(), words.end[end[a:b] - 1].tolist()):
+            parts.append(texts.data[at:x].tobytes())
+            at = y
+        parts.append(texts.data[at : texts.end[i]].tobytes())
+        out[i] = b"".join(parts).decode("utf-8", "replace")
+    return pa.array(out, pa.string())
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """`docs` with `n_words`, `spans` (array of first and end word of every covered stretch), `n_hit` and
     `items` (the item ids as text, sorted, no repeats)."""
@@ -232,7 +263,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: s
     )
 
 
-def _one_pass(docs: DataFrame, phrases: Phrases, text_col: str, k: int) -> tuple[DataFrame, str]:
+def _one_pass(docs: DataFrame, phrases: Phrases, text_col: str, k: int, cut: bool = False) -> tuple[DataFrame, str]:
+    """`docs` with a column of what was found; `cut` takes it out of the texts in the same pass."""
     name = f"__hits_{k}"
     result = pa.struct(
         [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
@@ -243,7 +275,8 @@ def _one_pass(docs: DataFrame, phrases: Phrases, text_col: str, k: int) -> tuple
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for shard in chunks(batches, text_col, SHARD_BYTES):
-            words = Words(Texts(shard.column(text_col)), LETTERS_DIGITS, lower=True)
+            texts = Texts(shard.column(text_col))
+            words = Words(texts, LETTERS_DIGITS, lower=True)
             start, size, phrase = hits(words, own)
             hit = covered(words, start, size)
             # Runs of covered words, cut where a text ends.
@@ -256,6 +289,10 @@ def _one_pass(docs: DataFrame, phrases: Phrases, text_col: str, k: int) -> tuple
             first = np.flatnonzero(hit & (~before | edge[:-1]))
             end = np.flatnonzero(hit & (~after | edge[1:])) + 1
             row = words.row[first]
+            if cut:
+                left = cut_out(texts, words, row, first, end, shard.column(text_col))
+                yield pa.RecordBatch.from_arrays([left if c == text_col else shard.column(c) for c in input_columns], input_columns)
+                continue
             offsets = np.searchsorted(row, np.arange(shard.num_rows + 1))
             spans = pa.StructArray.from_arrays(
                 [pa.array(first - words.first[row], pa.int64()), pa.array(end - words.first[row], pa.int64())], ["first", "end"]
@@ -278,7 +315,7 @@ def _one_pass(docs: DataFrame, phrases: Phrases, text_col: str, k: int) -> tuple
             yield pa.RecordBatch.from_arrays([*shard.columns, found], [*input_columns, name])
 
     kind = "struct<n_words:bigint,spans:array<struct<first:bigint,end:bigint>>,items:array<string>>"
-    schema = StructType([*docs.schema, *StructType.fromDDL(f"{name} {kind}")])
+    schema = docs.schema if cut else StructType([*docs.schema, *StructType.fromDDL(f"{name} {kind}")])
     return docs.mapInArrow(scan, schema), name
 
 
@@ -287,24 +324,26 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: s
     of its last one. Texts without a match stay byte for byte; so do rows and other columns."""
     columns = docs.columns
     framed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def unframed(done: DataFrame) -> DataFrame:
+        return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))
+
+    slices = _slices(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("slice_bytes", SLICE_BYTES))
+    items, texts = next(slices)
+    if next(slices, None) is None:
+        return unframed(_one_pass(framed, Phrases(items, texts, window), "text", 0, cut=True)[0])
     found = matches(framed, benchmark, window, "text", **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", SHARD_BYTES):
             texts = Texts(batch.column("text"))
             words = Words(texts, LETTERS_DIGITS)
-            out = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    at, parts = int(texts.start[i]), []
-                    for span in spans:
-                        parts.append(texts.data[at : words.start[words.first[i] + span["first"]]].tobytes())
-                        at = int(words.end[words.first[i] + span["end"] - 1])
-                    parts.append(texts.data[at : texts.end[i]].tobytes())
-                    out[i] = b"".join(parts).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
+            spans = batch.column("spans")
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+            flat = spans.flatten()
+            first, end = (flat.field(c).to_numpy(zero_copy_only=False) + words.first[row] for c in ("first", "end"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), cut_out(texts, words, row, first, end, batch.column("text"))], ["row", "text"])
 
     slim = found.select("row", "text", "spans")
     schema = StructType([f for f in slim.schema if f.name in ("row", "text")])
-    done = slim.mapInArrow(cut, schema)
-    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))
+    return unframed(slim.mapInArrow(cut, schema))
