@@ -480,4 +480,25 @@ ORACLE |= {
     "digest_missing": ORACLE["missing_either_way"],
     "late_field_variances": ORACLE["field_variances"],
     "late_report": ORACLE["discrepancy_report"],
+    "listing_page": ORACLE["discrepancy_page"],
+    "listing_second_page": ORACLE["discrepancy_second_page"],
+}
+
+SAME = ORDERS[: ORDERS.index("tgt AS (")] + "tgt AS (SELECT * FROM src)"
+EMPTY = ORDERS.replace("FROM orders)", "FROM orders WHERE o_orderstatus = 'none')")
+ORACLE |= {
+    "empty_sides": summary(EMPTY, 4, "orders"),
+    "csv_lines": judged(ORDERS, 4)
+    + "\nSELECT discrepancy_type, CAST(k_1 AS VARCHAR) AS record_id, details, count(*) AS copies FROM v WHERE status <> 'MATCH' GROUP BY ALL",
+    "view_counts": judged(ORDERS, 4)
+    + "\nSELECT discrepancy_type, strict_verdict, count(*) AS records, max(max_variance) AS largest FROM v WHERE status <> 'MATCH' GROUP BY ALL",
+    "run_trend": f"""
+WITH runs AS (
+  SELECT '1' AS run_id, * FROM ({summary(ORDERS, 4, "orders")}) UNION ALL
+  SELECT '2', * FROM ({summary(SAME, 4, "orders")}) UNION ALL
+  SELECT '3', * FROM ({summary(ORDERS, 4, "orders")}))
+SELECT domain, run_id, CAST(row_number() OVER w AS INT) AS run, match_pct, match_pct - lag(match_pct) OVER w AS match_change, total_discrepancies,
+       total_discrepancies - lag(total_discrepancies) OVER w AS discrepancy_change,
+       passed AND NOT lag(passed) OVER w AS mended, NOT passed AND lag(passed) OVER w AS broken
+FROM runs WINDOW w AS (ORDER BY run_id)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,8 @@ from concord.operators.hashview import prepare
 from concord.operators.records import field_names, get_field, record
 from concord.plans import contracts, report
 from concord.plans.drilldown import Drilldown, drilldown
-from concord.plans.reconcile import field_variances, late_discrepancies, rare_discrepancies
+from concord.plans.listing import Listing, stored_listing
+from concord.plans.reconcile import field_variances, late_discrepancies, rare_discrepancies, shared_folder
 from concord.plans.summary import breakdown, count_statuses, text_line, union_summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,6 +458,51 @@ def discrepancy_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stored_listing(spark: SparkSession, sf_dir: str) -> Listing:
+    return stored_listing(_orders(spark, sf_dir).discrepancies, file_lines=1_000)
+
+
+def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_listing(spark, sf_dir).page(100).select("k_1", "status", "discrepancy_type", "copies")
+
+
+def listing_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored_listing(spark, sf_dir)
+    return stored.page(100, stored.page(100).collect()[-1]).select("k_1", "status", "discrepancy_type", "copies")
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV export, read again."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
+    report.write_csv(_orders(spark, sf_dir).discrepancies, path)
+    return spark.read.option("header", True).schema("discrepancy_type string, record_id string, details string, copies long").csv(path)
+
+
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a registered list."""
+    name = f"listed_{uuid.uuid4().hex}"
+    report.register(_orders(spark, sf_dir).discrepancies, name)
+    return spark.sql(f"SELECT discrepancy_type, strict_verdict, sum(copies) AS records, max(max_variance) AS largest FROM {name} GROUP BY ALL")
+
+
+# Runs
+
+
+def run_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over whole tables, the first of them logged twice: orders with their copy, with themselves, with the copy again."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4()}"
+    source, target = pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir)
+    for run_id, other in (("1", target), ("1", target), ("2", source), ("3", target)):
+        report.append_run(reconcile(source, other, pairs.orders_domain()).summary, path, run_id)
+    return report.run_trend(report.read_runs(spark, path), "run_id")
+
+
+def empty_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No order has such a status."""
+    src, tgt = (df.where("o_orderstatus = 'none'") for df in (pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir)))
+    return reconcile(src, tgt, pairs.orders_domain()).summary
+
+
 # Scope
 
 
@@ -565,6 +612,12 @@ QUERIES: dict[str, Query] = {
     "scope_entity": _scoped("o_custkey", lambda df, c: scope.entity(df, c, 605)),
     "scope_other_column": _scoped(("o_orderstatus", "o_orderstatus"), lambda df, c: scope.entity(df, c, "F")),
     "scope_range": _scoped("o_orderdate", lambda df, c: scope.date_range(df, c, "1996-01-01", "1997-12-31")),
+    "listing_page": listing_page,
+    "listing_second_page": listing_second_page,
+    "csv_lines": csv_lines,
+    "view_counts": view_counts,
+    "run_trend": run_trend,
+    "empty_sides": empty_sides,
     "key_audit": key_audit,
     "type_conformance": type_conformance,
 }

@@ -51,7 +51,8 @@ def frequent_keys(side: DataFrame, keys: list[str], least: float) -> DataFrame:
         F.xxhash64(*keys).alias("item"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_PARTS)).alias("part")
     )
     sketches = hashed.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(item, {SKETCH_ITEMS})").alias("sketch"))
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
+    # Grouped by a constant: a side without rows has no sketch, and combining none fails.
+    merged = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
     top = merged.select(F.inline(F.expr(f"approx_top_k_estimate(sketch, {SKETCH_KEYS})")))
     return top.where(F.col("count") >= least).select("item")
 

@@ -36,16 +36,24 @@ def page(df: DataFrame, size: int, after: Row | None = None) -> DataFrame:
 
     Equal lines are one line with their number of copies, so a key repeated across a page
     border loses nothing. Each page runs the alignment; give both sides a lower bound on the key
-    beforehand (`scope`) where that is dear.
+    beforehand (`scope`) where that is dear, or store the list (`plans.listing`).
     """
-    order = [*keys_of(df), "status", "src_hash", "tgt_hash", "verdict", "strict_verdict"]
+    order = line_order(df)
     if after is not None:
-        df = df.where(_behind(df, order, after))
-    lines = df.groupBy(*order, "record_id", "discrepancy_type", "details").agg(F.sum("copies").alias("copies"))
-    return lines.orderBy(*order).limit(size)
+        df = df.where(behind(df, order, after))
+    return lines_of(df).orderBy(*order).limit(size)
 
 
-def _behind(df: DataFrame, order: list[str], after: Row) -> Column:
+def line_order(df: DataFrame) -> list[str]:
+    return [*keys_of(df), "status", "src_hash", "tgt_hash", "verdict", "strict_verdict"]
+
+
+def lines_of(df: DataFrame) -> DataFrame:
+    """The lines of a discrepancy list: equal ones are one, with their number of copies."""
+    return df.groupBy(*line_order(df), "record_id", "discrepancy_type", "details").agg(F.sum("copies").alias("copies"))
+
+
+def behind(df: DataFrame, order: list[str], after: Row) -> Column:
     """Field by field behind a line, with NULLs first, as ORDER BY does."""
     found, same = F.lit(False), F.lit(True)
     for c in order:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.functions import verdict
 from concord.operators.records import record
 from concord.plans.reconcile import Result
+from concord.plans.summary import COUNTS
 
 
 def register(df: DataFrame, name: str) -> DataFrame:
@@ -16,6 +17,7 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+# Fixed values from here to `discrepancy_objects`: the names and the shape of the JSON report.
 def summary_json() -> Column:
     """A summary row as a JSON object."""
     return F.to_json(
@@ -102,10 +104,36 @@ def stamped(summary: DataFrame) -> DataFrame:
     return summary.withColumn("executed_at", F.current_timestamp())
 
 
-def append_run(summary: DataFrame, path: str) -> None:
-    """Add a summary to the run log, partitioned by domain."""
-    stamped(summary).write.mode("append").partitionBy("domain").parquet(path)
+def append_run(summary: DataFrame, path: str, run_id: str) -> None:
+    """Put a summary into the run log, partitioned by domain and run. A run that is logged again, as after a failure, takes its own place."""
+    if not run_id:
+        raise ValueError("a run needs an id")
+    rows = stamped(summary).withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain", "run_id").parquet(path)
 
 
-def read_runs(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+LOGGED = (
+    ", ".join(f"{c} long" for c in COUNTS)
+    + ", match_pct double, total_discrepancies long, passed boolean, acceptable boolean, needs_approval boolean, executed_at timestamp, domain string, run_id string"
+)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run log: one row per domain and run."""
+    return spark.read.schema(LOGGED).parquet(path)
+
+
+def run_trend(runs: DataFrame, order: str = "executed_at") -> DataFrame:
+    """Every run with what changed since the run before it of the same domain: NULL for the first. `order` may be `run_id` where ids sort."""
+    before = Window.partitionBy("domain").orderBy(order, "run_id")
+    return runs.select(
+        "domain",
+        "run_id",
+        F.row_number().over(before).alias("run"),
+        "match_pct",
+        (F.col("match_pct") - F.lag("match_pct").over(before)).alias("match_change"),
+        "total_discrepancies",
+        (F.col("total_discrepancies") - F.lag("total_discrepancies").over(before)).alias("discrepancy_change"),
+        (F.col("passed") & ~F.lag("passed").over(before)).alias("mended"),
+        (~F.col("passed") & F.lag("passed").over(before)).alias("broken"),
+    )

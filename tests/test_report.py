@@ -50,8 +50,12 @@ def test_json_and_csv_files(spark, result, tmp_path):
 
 
 def test_run_log(spark, result, tmp_path):
-    report.append_run(result.summary, f"{tmp_path}/runs")
-    report.append_run(result.summary, f"{tmp_path}/runs")
+    for run_id in ("2024-01-01", "2024-01-02", "2024-01-02"):  # the last is a repetition
+        report.append_run(result.summary, f"{tmp_path}/runs", run_id)
+    trend = report.run_trend(report.read_runs(spark, f"{tmp_path}/runs")).orderBy("run").collect()
+    assert [(r.run_id, r.run, r.match_change, r.discrepancy_change) for r in trend] == [("2024-01-01", 1, None, None), ("2024-01-02", 2, 0.0, 0)]
+    with pytest.raises(ValueError):
+        report.append_run(result.summary, f"{tmp_path}/runs", "")
     runs = report.read_runs(spark, f"{tmp_path}/runs").where("domain = 'report'")
     assert runs.count() == 2 and runs.where("executed_at IS NULL").isEmpty()
 
