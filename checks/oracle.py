@@ -395,6 +395,14 @@ SELECT discrepancy_type, count(*) AS discrepancies FROM v WHERE status <> 'MATCH
             summary(DOCUMENTS, 3, "documents"),
         )
     ),
+    "multi_domain_strict": " UNION ALL ".join(
+        f"SELECT * FROM ({q})"
+        for q in (
+            summary(ORDERS, 4, "orders", slo=75.0),
+            summary(ORDERS, 4, "strict", slo=99.0, threshold=0.4),
+            summary(LINEITEMS, 3, "lineitems", **LINE_KEYS),
+        )
+    ),
     "summary_text": f"""
 SELECT domain, format('Reconciliation: {{}}/{{}} matched ({{:.1f}}%), {{}} pristine, {{}} noisy, {{}} material',
        matched, greatest(total_source, total_target), match_pct, pristine, noisy, material) AS summary_line
@@ -474,8 +482,47 @@ UNION ALL
 SELECT 'event_type', 'STRING', count(event_type), 0 FROM e""",
 }
 
+TYPED_EVENTS = """
+e AS (
+  SELECT *, json_extract_string(props, '$.k') AS k, CAST(value AS VARCHAR) AS amount, md5(CAST(event_id AS VARCHAR)) AS d,
+         CASE WHEN event_id % 3 = 0
+              THEN concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 12))
+              ELSE d END AS ref
+  FROM events)"""
+
+
+def sliced(table: str, key: str) -> str:
+    return f"SELECT count(*) AS row_count, CAST(sum({key}) AS BIGINT) AS key_sum, TRUE AS fair FROM {table}"
+
+
+ORACLE |= {
+    "audit_keys": """
+SELECT count(*) AS row_count, count(*) FILTER (WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS null_keys, TRUE AS near
+FROM lineitem""",
+    "value_offenders": f"""
+WITH {TYPED_EVENTS},
+bad AS (
+  SELECT 'k' AS field_name, 'INT' AS declared_type, k AS value FROM e WHERE k IS NOT NULL AND TRY_CAST(k AS INTEGER) IS NULL
+  UNION ALL
+  SELECT 'event_type', 'DECIMAL', event_type FROM e WHERE NOT regexp_full_match(event_type, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)')
+  UNION ALL
+  SELECT 'event_id', 'SMALLINT', CAST(event_id AS VARCHAR) FROM e
+  WHERE event_id IS NOT NULL AND TRY_CAST(CAST(event_id AS VARCHAR) AS SMALLINT) IS NULL
+  UNION ALL
+  SELECT 'props', 'DATE', props FROM e WHERE props IS NOT NULL AND TRY_CAST(props AS DATE) IS NULL
+  UNION ALL
+  SELECT 'ref', 'UUID', ref FROM e
+  WHERE NOT regexp_full_match(ref, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')),
+counted AS (SELECT field_name, declared_type, value, count(*) AS occurrences FROM bad GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY field_name ORDER BY occurrences DESC, value) AS INTEGER) AS rank FROM counted
+QUALIFY rank <= 3""",
+    "slices_by_price": sliced("orders", "o_orderkey"),
+    "slices_by_length": sliced("documents", "doc_id"),
+}
+
 # The same results by another way.
 ORACLE |= {
+    "audit_fields": ORACLE["type_conformance"],
     "digest_drilldown": ORACLE["match_counts"],
     "digest_missing": ORACLE["missing_either_way"],
     "late_field_variances": ORACLE["field_variances"],

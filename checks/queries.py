@@ -17,11 +17,13 @@ from concord.operators.align import key_tally, one_sided
 from concord.operators.enrich import enrich_side
 from concord.operators.hashview import prepare
 from concord.operators.records import field_names, get_field, record
-from concord.plans import contracts, report
+from concord.plans import audit, contracts, report
 from concord.plans.drilldown import Drilldown, drilldown
 from concord.plans.listing import Listing, stored_listing
+from concord.plans.many import summaries
 from concord.plans.reconcile import field_variances, late_discrepancies, rare_discrepancies, shared_folder
-from concord.plans.summary import breakdown, count_statuses, text_line, union_summaries
+from concord.plans.summary import breakdown, count_statuses, text_line
+from concord.sources.relations import quantile_bounds, slice_predicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -390,11 +392,23 @@ def type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_domain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = reconcile(
-        pairs.documents(spark, sf_dir), pairs.documents_copy(spark, sf_dir), pairs.documents_domain()
+    return summaries(
+        [
+            (pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), pairs.orders_domain()),
+            (pairs.customers(spark, sf_dir), pairs.customers_copy(spark, sf_dir), pairs.customers_domain()),
+            (pairs.documents(spark, sf_dir), pairs.documents_copy(spark, sf_dir), pairs.documents_domain()),
+        ]
     )
-    return union_summaries(
-        [_orders(spark, sf_dir).summary, _customers(spark, sf_dir).summary, documents.summary]
+
+
+def multi_domain_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains with keys of one and two fields and with thresholds of their own."""
+    return summaries(
+        [
+            (pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), pairs.orders_domain(slo_target=75.0)),
+            (pairs.orders(spark, sf_dir), pairs.orders_copy(spark, sf_dir), pairs.orders_domain("strict", slo_target=99.0, variance_threshold=0.4)),
+            (pairs.lineitems(spark, sf_dir), pairs.lineitems_copy(spark, sf_dir), pairs.lineitems_domain()),
+        ]
     )
 
 
@@ -525,7 +539,48 @@ def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.key_audit(pairs.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def audit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items audited flag by flag, one flag twice; beside the exact number of keys."""
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4()}"
+    rows, keys = pairs.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    for part in (F.col("l_returnflag") == "R", F.lit(True)):
+        audit.store_parts(audit.audit_parts(rows.where(part), keys, [], F.col("l_returnflag")), path)
+    exact = rows.select(*keys).distinct().agg(F.count("*").alias("exact"))
+    stacked = audit.merged_keys(spark.read.parquet(path)).unionByName(exact, allowMissingColumns=True)
+    one = stacked.agg(*[F.max(c).alias(c) for c in ("row_count", "null_keys", "distinct_keys", "exact")])
+    return one.select("row_count", "null_keys", (F.abs(F.col("distinct_keys") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))
+
+
+def audit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4()}"
+    rows, fields = _typed_events(spark, sf_dir)
+    audit.store_parts(audit.audit_parts(rows, ["event_id"], fields, F.col("event_type")), path)
+    return audit.merged_fields(spark.read.parquet(path)).select("field_name", "declared_type", "present", "nonconforming")
+
+
+def value_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fields = _typed_events(spark, sf_dir)
+    return audit.offenders(rows, fields[:5], 3)
+
+
+def _slices(table: str, key: str, column: str, count: int) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rows and keys over the slices of a column, and whether none is larger than twice its share."""
+        rows = pairs.table(spark, sf_dir, table)
+        slices = slice_predicates(column, quantile_bounds(rows, column, count))
+        numbered = F.coalesce(*[F.when(F.expr(s), F.lit(i)) for i, s in enumerate(slices)])
+        sizes = rows.groupBy(numbered.alias("slice")).agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
+        fair = F.max("n") <= 2 * F.sum("n") / count
+        return sizes.where("slice IS NOT NULL").agg(F.sum("n").alias("row_count"), F.sum("keys").alias("key_sum"), fair.alias("fair"))
+
+    return query
+
+
 def type_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.type_conformance(*_typed_events(spark, sf_dir))
+
+
+def _typed_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Field]]:
     digest = F.md5(F.col("event_id").cast("string"))
     parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     df = pairs.table(spark, sf_dir, "events").withColumns(
@@ -540,7 +595,7 @@ def type_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
         Field("props", "DATE"), Field("ref", "UUID"), Field("event_type", "STRING"),
         Field("amount", "DECIMAL", precision=4, scale=2),
     ]
-    return contracts.type_conformance(df, fields)
+    return df, fields
 
 
 QUERIES: dict[str, Query] = {
@@ -597,6 +652,7 @@ QUERIES: dict[str, Query] = {
     "verdict_breakdown": verdict_breakdown,
     "type_breakdown": type_breakdown,
     "multi_domain_summary": multi_domain_summary,
+    "multi_domain_strict": multi_domain_strict,
     "summary_text": summary_text,
     "material_only": _listed(listing.material),
     "noisy_only": _listed(listing.noisy),
@@ -620,4 +676,9 @@ QUERIES: dict[str, Query] = {
     "empty_sides": empty_sides,
     "key_audit": key_audit,
     "type_conformance": type_conformance,
+    "audit_keys": audit_keys,
+    "audit_fields": audit_fields,
+    "value_offenders": value_offenders,
+    "slices_by_price": _slices("orders", "o_orderkey", "o_totalprice", 16),
+    "slices_by_length": _slices("documents", "doc_id", "n_chars", 16),
 }

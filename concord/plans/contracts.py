@@ -121,8 +121,7 @@ def type_conformance(df: DataFrame, fields: list[Field] | tuple[Field, ...]) ->
     aggs = []
     for i, f in enumerate(fields):
         c = df[f.name]
-        fits = _fits(c, df, f)
-        aggs += [F.count(c).alias(f"n_{i}"), F.count_if(c.isNotNull() & ~fits).alias(f"bad_{i}")]
+        aggs += [F.count(c).alias(f"n_{i}"), F.count_if(c.isNotNull() & ~fits(df, f)).alias(f"bad_{i}")]
     # A single row of counts, turned into one line per field.
     lines = F.array(
         *[
@@ -138,7 +137,9 @@ def type_conformance(df: DataFrame, fields: list[Field] | tuple[Field, ...]) ->
     return df.agg(*aggs).select(F.inline(lines))
 
 
-def _fits(c: Column, df: DataFrame, f: Field) -> Column:
+def fits(df: DataFrame, f: Field) -> Column:
+    """Whether a column's value fits the declared type; NULL for NULL."""
+    c = df[f.name]
     family = f.family
     if family is None:
         raise ValueError(f"field {f.name!r} has unsupported type {f.type!r}")
@@ -149,8 +150,8 @@ def _fits(c: Column, df: DataFrame, f: Field) -> Column:
         return text.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
     if family == "decimal":
         return _fits_decimal(c, text, column_type(df, f.name), f)
-    fits = text.try_cast(SPARK_TYPE[f.type]).isNotNull()
-    return text.rlike(variance.NUMBER) & fits if f.is_numeric() else fits
+    cast = text.try_cast(SPARK_TYPE[f.type]).isNotNull()
+    return text.rlike(variance.NUMBER) & cast if f.is_numeric() else cast
 
 
 def _fits_decimal(c: Column, text: Column, dtype: T.DataType, f: Field) -> Column:

@@ -252,7 +252,7 @@ def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool
     mismatch = F.col("status") == verdict.MISMATCH
     measured = {}
     for i, p in enumerate(pairs):
-        (a, a_number), (b, b_number) = [_value(name, dtype, short) for name, dtype in p.sides()]
+        (a, a_number), (b, b_number) = [pair_value(name, dtype, short) for name, dtype in p.sides()]
         measured[f"_same_{i}"] = F.when(mismatch, variance.same_text(a, p.src_type, b, p.tgt_type))
         measured[f"_null_{i}"] = F.when(mismatch, a.isNull().cast("int") + b.isNull().cast("int"))
         measured[f"_src_{i}"] = F.when(mismatch, a_number)
@@ -284,7 +284,7 @@ def judge(rows: DataFrame, pairs: list[PairColumns], domain: Domain, short: bool
     )
 
 
-def _value(name: str, dtype: T.DataType, short: bool) -> tuple[Column, Column]:
+def pair_value(name: str, dtype: T.DataType, short: bool) -> tuple[Column, Column]:
     """A compared column, or its short form, and its number."""
     if short and isinstance(dtype, T.StringType):
         text = F.col(short_column(name))

@@ -27,13 +27,13 @@ def summarize(judged: DataFrame, source: DataFrame, target: DataFrame, domain: D
     that from its footers. The one-row aggregates are stacked and added up.
     """
     counted = judged.agg(
-        _copies("status", verdict.MATCH).alias("matched"),
-        _copies("status", verdict.MISMATCH).alias("mismatched"),
-        _copies("status", verdict.SOURCE_ONLY).alias("source_only"),
-        _copies("status", verdict.TARGET_ONLY).alias("target_only"),
-        _copies("verdict", verdict.PRISTINE).alias("pristine"),
-        _copies("verdict", verdict.NOISY).alias("noisy"),
-        _copies("verdict", verdict.MATERIAL).alias("material"),
+        copies_of("status", verdict.MATCH).alias("matched"),
+        copies_of("status", verdict.MISMATCH).alias("mismatched"),
+        copies_of("status", verdict.SOURCE_ONLY).alias("source_only"),
+        copies_of("status", verdict.TARGET_ONLY).alias("target_only"),
+        copies_of("verdict", verdict.PRISTINE).alias("pristine"),
+        copies_of("verdict", verdict.NOISY).alias("noisy"),
+        copies_of("verdict", verdict.MATERIAL).alias("material"),
     )
     parts = [
         counted,
@@ -45,7 +45,8 @@ def summarize(judged: DataFrame, source: DataFrame, target: DataFrame, domain: D
     return gates(totals.select(F.lit(domain.name).alias("domain"), *COUNTS))
 
 
-def _copies(column: str, value: str) -> Column:
+def copies_of(column: str, value: str) -> Column:
+    """Number of records with a status or verdict, as an aggregate."""
     return F.expr(f"sum(if({column} = '{value}', copies, 0))")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from concord.domain import Side
 from concord.operators.enrich import enrich_side
@@ -88,18 +91,53 @@ def jdbc_options(side: Side, default: Connection | None = None, slices: Slices |
     return options
 
 
+def quantile_bounds(df: DataFrame, column: str, count: int, accuracy: int = 100_000) -> list:
+    """Values that cut a column into `count` slices of about the same number of rows. `df` may be an earlier copy of the table or a
+    read of that column alone; the driver gets `count` - 1 values at most, as a value that fills several slices is one bound."""
+    if count < 1:
+        raise ValueError("count must be positive")
+    shares = [i / count for i in range(1, count)]
+    if not shares:
+        return []
+    cut = df.agg(F.percentile_approx(column, shares, accuracy).alias("cut")).first()["cut"]
+    return list(dict.fromkeys(cut or []))
+
+
+def slice_predicates(column: str, bounds: Sequence) -> list[str]:
+    """Conditions that put every row into exactly one slice: NULLs into the first, the bounds into the slice that they begin."""
+    texts = [_literal(b) for b in bounds]
+    if not texts:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(texts, texts[1:])]
+    return [f"{column} < {texts[0]} OR {column} IS NULL", *inner, f"{column} >= {texts[-1]}"]
+
+
+def _literal(value) -> str:
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+    if isinstance(value, date):
+        return f"DATE '{value}'"
+    return str(value)
+
+
 def read_jdbc(
-    spark: SparkSession, side: Side, default: Connection | None = None, slices: Slices | None = None
+    spark: SparkSession, side: Side, default: Connection | None = None, slices: Slices | Sequence[str] | None = None
 ) -> DataFrame:
     """A table or view over JDBC, enriched as the side declares.
 
-    Without slices it arrives in one partition, so give them for large tables.
+    Without slices it arrives in one partition, so give them for large tables: ranges of equal width, or conditions as
+    `slice_predicates` makes them, one partition each.
     """
     def read(table: str) -> DataFrame:
         other = replace(side, table=table, view_suffix="")
         return spark.read.format("jdbc").options(**jdbc_options(other, default)).load()
 
-    df = spark.read.format("jdbc").options(**jdbc_options(side, default, slices)).load()
+    if slices is None or isinstance(slices, Slices):
+        df = spark.read.format("jdbc").options(**jdbc_options(side, default, slices)).load()
+    else:
+        options = jdbc_options(side, default)
+        url, table = options.pop("url"), options.pop("dbtable")
+        df = spark.read.jdbc(url, table, predicates=list(slices), properties=options)
     return enrich_side(df, side, read)
 
 
