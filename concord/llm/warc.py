@@ -10,7 +10,7 @@ candidates are part of a payload. A candidate without a readable header has no s
 
 NULL payloads count as empty. NULL ids and URLs leave their header lines out and come back as NULL; a NULL id
 counts as larger than any other. Line breaks in URLs are escaped. Repeated rows are a record each. An
-empty table makes an empty archive.
+empty table makes an empty archive. A row is told apart by its place in a Parquet file, or by a number that is stored with it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm.storage import numbered, saved
+from concord.operators.locate import FILE, ROW, located
 
 # Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -32,33 +33,40 @@ RECORDS_PER_FILE = 10_000
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
-    """Write one WARC record per row to the folder `path`. Rows are stored with their numbers first. Only digests are grouped; payloads move once.
+    """Write one WARC record per row to the folder `path`. Only digests are grouped; payloads move once. Rows
+    of Parquet scans are read where they are, others are stored with numbers first.
     Archives are compressed whole, or with `compression="none"` may be read in parts."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     )
-    rows = numbered(rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")}), "row", "warc-rows")
-    order = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.col("row"))
+    placed = located(rows)
+    placed = numbered(rows.withColumn(FILE, F.lit("")), ROW, "warc-rows") if placed is None else placed
+    rows = placed.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
+    order = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.col(FILE), F.col(ROW))
     shared = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    typed = rows.join(shared, "digest", "left").withColumn("again", F.col("first").isNotNull() & (F.col("first.row") != F.col("row")))
+    typed = rows.join(shared, "digest", "left").withColumn("again", F.col("first").isNotNull() & ((F.col(f"first.{FILE}") != F.col(FILE)) | (F.col(f"first.{ROW}") != F.col(ROW))))
 
     def line(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
 
+    def name(file: str, row: str) -> Column:
+        return F.concat(F.lit("<urn:row:"), F.md5(F.concat_ws(":", file, row)), F.lit(">"))
+
     known = F.when(F.col("first.id") != 2**63 - 1, F.col("first.id"))
     body = F.when(F.col("again"), F.lit("")).otherwise(F.col("payload"))
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(F.col("again"), REVISIT).otherwise(RESPONSE)),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:row:"), F.col("row"), F.lit(">"))),
+        line("WARC-Record-ID", name(FILE, ROW)),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
         line("WARC-Page-ID", F.concat(F.lit(f"<{ID}"), F.col("id"), F.lit(">"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Payload-Length", F.col("size").cast("string")),
-        line("WARC-Refers-To", F.when(F.col("again"), F.concat(F.lit(f"<{ID}"), known, F.lit(">")))),
+        line("WARC-Refers-To", F.when(F.col("again"), name(f"first.{FILE}", f"first.{ROW}"))),
+        line("WARC-Refers-To-Page", F.when(F.col("again"), F.concat(F.lit(f"<{ID}"), known, F.lit(">")))),
         line("WARC-Profile", F.when(F.col("again"), PROFILE)),
         F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.octet_length(body).cast("string"),
@@ -118,8 +126,8 @@ def _reachable(candidates: pd.DataFrame) -> pd.DataFrame:
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of the archives under `path`: page_id, url, record_type, payload_bytes and payload_digest (of
     the full payload: a revisit's come from its header), refers_to, and on request `payload` (NULL for a
-    revisit). The archives are read once and their pieces stored, with the number that the chain names them by. Digests are
-    taken where a piece is read; only payloads that hold the magic line are moved, to be put together again."""
+    revisit). What the headers say and the digests are taken where a piece is read, and stored with the number that the chain
+    names a piece by. Values are read again, by their SHA-256, only for payloads that hold the magic line or are asked for."""
     head = F.octet_length("header") + len(END)
     declared = F.when(F.expr(f"instr(header, '\r\n') > 0 AND octet_length(header) + {len(END)} <= bytes"), F.expr("try_cast(length AS bigint)"))
     parsed = (
@@ -129,8 +137,6 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         .withColumn("declared", declared)
         .withColumn("span", F.when(F.col("declared") >= 0, head + F.col("declared") + len(END)))
     )
-    parsed = saved(parsed.drop("length"), "warc-pieces")
-    chain = saved(_chain(parsed.select("file", "block", "seq", "bytes", "span")), "warc-chain")
     # Of a value that holds more than one piece the payload is cut from all of them.
     payload = F.expr(f"substring(value, octet_length(header) + {len(END) + 1}, int(declared))")
     fields = [
@@ -139,18 +145,30 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Payload-Digest").alias("digest_said"),
         _field("WARC-Payload-Length").alias("length_said"),
-        F.regexp_extract(F.coalesce(_field("WARC-Refers-To"), F.lit("")), rf"<{ID}(-?\d+)>", 1).alias("refers_to"),
+        F.regexp_extract(F.coalesce(_field("WARC-Refers-To-Page"), F.lit("")), rf"<{ID}(-?\d+)>", 1).alias("refers_to"),
         F.sha2(payload, 256).alias("digest"),
         F.octet_length(payload).cast("long").alias("size"),
-        *([payload.alias("payload")] if with_payload else []),
     ]
-    records = parsed.select("file", "seq", *fields).join(chain.where("own").select("file", "seq"), ["file", "seq"]).drop("file", "seq")
+    whole = [payload.alias("payload")] if with_payload else []
+    key = F.unhex(F.sha2("value", 256)).alias("key")
+    narrow = saved(parsed.select("file", "block", "seq", "bytes", "span", "declared", key, *fields), "warc-pieces")
+    chain = saved(_chain(narrow.select("file", "block", "seq", "bytes", "span")), "warc-chain")
+    found = narrow.join(chain, ["file", "seq"])
+    values = parsed.select(key, "value", "header", "declared")
+    names = [f for f in narrow.columns if f not in ("file", "block", "seq", "bytes", "span", "declared", "key")]
+    records = found.where("own").select("key", *names)
+    if with_payload:
+        records = records.join(values.groupBy("key").agg(F.first(payload).alias("payload")), "key")
+    records = records.drop("key")
     if not chain.where("NOT own").isEmpty():
-        pieces = parsed.join(chain.where("NOT own").select("file", "seq", "record"), ["file", "seq"])
-        parts = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "header", "declared"))).alias("parts"))
-        joined = F.expr(f"aggregate(slice(parts, 2, size(parts)), parts[0].value, (a, p) -> concat(a, cast('{MAGIC}' AS binary), p.value))")
-        long = parts.select(joined.alias("value"), F.col("parts")[0]["header"].alias("header"), F.col("parts")[0]["declared"].alias("declared"))
-        records = records.unionByName(long.select(*fields))
+        pieces = found.where("NOT own").select("file", "record", "seq", "key")
+        wanted = saved(pieces.select("key").distinct(), "warc-keys")
+        again = values.join(wanted, "key", "left_semi").groupBy("key").agg(F.first(F.struct("value", "header", "declared")).alias("piece"))
+        parts = pieces.join(again, "key").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("parts"))
+        joined = F.array_join(F.transform("parts", lambda p: p["piece"]["value"].cast("string")), MAGIC).cast("binary")
+        lead = F.col("parts")[0]["piece"]
+        long = parts.select(joined.alias("value"), lead["header"].alias("header"), lead["declared"].alias("declared"))
+        records = records.unionByName(long.select(*fields, *whole))
     revisit = F.col("record_type") == REVISIT
     return records.select(
         F.expr("try_cast(page_id AS bigint)").alias("page_id"),

@@ -1,4 +1,6 @@
 import hashlib
+import os
+import re
 
 import pytest
 
@@ -60,6 +62,30 @@ def test_revisits_hold_no_payload(spark):
     assert text.count("x" * 200) == 1 and text.startswith("WARC/1.0\r\n") and text.endswith("\r\n\r\n")
 
 
+def test_rows_of_files_are_told_apart_by_place(spark, tmp_path):
+    """Repeated rows in several files: nothing but headers is stored beside the archive, and a revisit names a record that is there."""
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages"))
+    stored, path = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))), new_path(spark, "warc-test")
+    warc.write(spark.read.parquet(str(tmp_path / "pages")), path, compression="none")
+    read = warc.read(spark, path, with_payload=False).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read), key=str) == expected(PAGES)
+    assert not any(n.startswith("warc-rows") for n in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - stored)
+    text = "".join(bytes(r.content).decode() for r in spark.read.format("binaryFile").load(path).collect())
+    ids, named = (re.findall(rf"\r\n{field}: (\S+)\r\n", text) for field in ("WARC-Record-ID", "WARC-Refers-To"))
+    assert len(ids) == len(set(ids)) == len(PAGES) and named and set(named) <= set(ids)
+
+
+def test_payload_that_is_an_archive(spark, tmp_path):
+    """Whole records inside a payload, some of them repeated, and bytes that are no UTF-8."""
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    payload = b"\xff\xfe" + record * 4 + b"\x80"
+    outer = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Page-ID: <urn:page:1>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(payload), payload)
+    (tmp_path / "a.warc").write_bytes(outer + record + outer)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.payload) for r in rows) == sorted([payload, payload, b"abc"])
+    assert sorted(r.payload_digest for r in rows) == sorted(hashlib.sha256(p).hexdigest() for p in (payload, payload, b"abc"))
+
+
 def test_empty(spark):
     path = round_trip(spark, [(1, "u", "h")])
     assert warc.read(spark, path).count() == 1
