@@ -4,6 +4,7 @@ Spark expressions only. A pattern's matches come from `regexp_extract_all` and t
 from `split` by the same pattern; the lengths of both give the places, in code points. The patterns
 take linear time: repetitions are possessive or, where a match may give back what it took too much, at
 most 30 steps long, and a match starts where its run of characters starts or where the last match ended.
+A span's context is what stands before and behind it, as far as the next matches of its kind.
 
 NULL text counts as empty and has no spans. Rows are kept one for one, repeated ones too.
 """
@@ -56,23 +57,25 @@ SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,score:double>"
 def _spans(kind: str, text: str) -> Column:
     """Confirmed spans of a kind, in order. Places are summed in blocks, so that a text with very many matches takes little longer than in proportion."""
     pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
+    parts = f"split(`{text}`, '{pattern}', -1)"
     pairs = (
-        f"zip_with(slice(split(`{text}`, '{pattern}', -1), 1, size(found)), found, (p, m) -> named_struct("
-        f"'gap', bigint(length(p)), 'm', m, 'n', bigint(length(m)), 'before', right(p, {BEFORE})))"
+        "zip_with(zip_with(slice(parts, 1, size(found)), found, (p, m) -> named_struct("
+        f"'gap', bigint(length(p)), 'm', m, 'n', bigint(length(m)), 'before', right(p, {BEFORE}))), slice(parts, 2, size(found)),"
+        f" (e, p) -> named_struct('gap', e.gap, 'm', e.m, 'n', e.n, 'context', concat(e.before, '|', left(p, {AFTER}))))"
     )
     blocks = f"transform(sequence(0, (size(pairs) - 1) div {BLOCK}), b -> slice(pairs, int(b * {BLOCK} + 1), {BLOCK}))"
     sizes = "transform(blocks, x -> aggregate(x, 0L, (s, e) -> s + e.gap + e.n))"
     placed = (
-        "flatten(transform(blocks, (x, b) -> transform(x, (e, j) -> named_struct('m', e.m, 'before', e.before, 'start',"
+        "flatten(transform(blocks, (x, b) -> transform(x, (e, j) -> named_struct('m', e.m, 'context', e.context, 'start',"
         " aggregate(slice(sizes, 1, b), 0L, (s, y) -> s + y) + aggregate(slice(x, 1, j), 0L, (s, y) -> s + y.gap + y.n) + e.gap))))"
     )
-    near = f"lower(e.before) RLIKE '(?<![a-z])(?:{CONTEXT[kind]})'"
+    near = f"lower(e.context) RLIKE '(?<![a-z])(?:{CONTEXT[kind]})'"
     kept = (
         f"transform(filter(placed, e -> exists(array(e.m), m -> {VALID[kind]})), e -> named_struct('kind', '{kind}', 'start', e.start,"
         f" 'end', e.start + length(e.m), 'value', e.m, 'score', CASE WHEN {near} THEN {SUPPORTED}D ELSE {CONFIRMED}D END))"
     )
     # Each step is bound to a name by a transform over a list of one.
-    steps = f"transform(array({pairs}), pairs -> transform(array({blocks}), blocks -> transform(array({sizes}), sizes -> transform(array({placed}), placed -> {kept})[0])[0])[0])[0]"
+    steps = f"transform(array({parts}), parts -> transform(array({pairs}), pairs -> transform(array({blocks}), blocks -> transform(array({sizes}), sizes -> transform(array({placed}), placed -> {kept})[0])[0])[0])[0])[0]"
     none = f"cast(array() AS array<{SPAN}>)"
     found = f"regexp_extract_all(`{text}`, '{pattern}', 0)"
     if kind in NEEDED:

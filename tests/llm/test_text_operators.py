@@ -264,3 +264,13 @@ def test_quality_skips_texts_that_do_not_fit(spark):
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
     assert quality.train(rows, labels, sample_passages=50).constant is None
+
+
+def test_context_stands_before_or_behind(spark):
+    texts = {
+        "4111111111111111 (Visa)": [0.95], "visa 4111111111111111": [0.95], "4111111111111111 and nothing": [0.7],
+        "4111111111111111" + " " * 30 + "visa": [0.7], "4111111111111111": [0.7],
+        "x@a.de y@b.de, my mail": [0.7, 0.95], "4111111111111111 x 4111111111111111 visa": [0.7, 0.95],
+    }
+    found = pii.find(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: [s.score for s in r.pii] for r in found} == texts
