@@ -20,8 +20,21 @@ LOT_ROWS = 500_000
 LOT_FILES = 1_000
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether each row of the frame is a row of a file, the same ones in every job: a scan under projections and filters without
+    chance. Joins and generators repeat rows, limits choose them anew."""
+    node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
 def located(df: DataFrame) -> DataFrame | None:
     """The frame with its rows' file and row number; None unless it is a projection or filter of a scan that knows them."""
+    if not is_scan(df):
+        return None
     try:
         return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
     except AnalysisException:
