@@ -109,7 +109,7 @@ def keyed(doc_id: Column, text: Column) -> tuple[Column, Column]:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, text), stored: `uid` tells rows apart, also repeated ones; NULL ids count as the largest."""
+    """(uid, doc_id, text): `uid` tells rows apart, also repeated ones, and stays; NULL ids count as the largest."""
     rows = docs.select(*keyed(F.col(id_col), F.col(text_col)))
     return storage.numbered(rows, "uid").select("uid", "doc_id", "text")
 

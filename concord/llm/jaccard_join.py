@@ -7,7 +7,8 @@
    again, by the hash of the path so far, to `DEPTH` levels. Runs are repeated until a pair at the
    threshold meets with probability `target`.
 3. Small buckets are compared in full by their embeddings, large ones in blocks of bounded size. What
-   looks similar is linked as a star, and stars are joined to groups of candidates.
+   looks similar is linked as a star, and stars are joined to groups of candidates. The first `FIRST` runs go ahead: later ones leave
+   out buckets whose sets are in one group already, as they could add nothing.
 4. Within a group all pairs are compared exactly, on the whole texts, again in blocks of bounded size. A
    class gets the number of texts linked to it; groups are the connected components of these links.
 
@@ -45,6 +46,8 @@ BLOCK_BYTES = 8 << 20
 #: Buckets from this size on are split, unless their sets are on average this similar.
 SPLIT = 1024
 ALIKE = 0.6
+#: Runs that go ahead.
+FIRST = 2
 #: A pair is a candidate if its embeddings agree to this much less than the threshold: four standard deviations.
 MARGIN = 0.15
 
@@ -105,7 +108,15 @@ def drawn(path: np.ndarray, tokens: np.ndarray, branches: float) -> tuple[np.nda
     return row, mixed(step[row, column] + GOLDEN)
 
 
-SIGNATURE = "uid long, doc_id long, low long, high long, size int, bytes long, sketch binary, paths array<long>"
+def _lists(found: list[tuple[np.ndarray, np.ndarray]], sets: int) -> pa.ListArray:
+    """Paths of some runs as one list per set."""
+    owner, path = (np.concatenate([*x, np.zeros(0, x[0].dtype)]) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    order = np.argsort(owner, kind="stable")
+    offsets = np.searchsorted(owner[order], np.arange(sets + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(path[order].view(np.int64)))
+
+
+SIGNATURE = "uid long, doc_id long, low long, high long, size int, bytes long, sketch binary, paths array<long>, later array<long>"
 
 
 def signatures(rows: DataFrame, runs: int) -> DataFrame:
@@ -123,9 +134,6 @@ def signatures(rows: DataFrame, runs: int) -> DataFrame:
             tokens = embedded(shingles, size)
             sketch = (tokens >> np.uint64(48)).astype("<u2")
             found = [drawn(np.full(len(size), mixed(np.array([k + 1], np.uint64))[0]), tokens, BRANCHES) for k in range(runs)]
-            owner, path = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(owner, kind="stable")
-            offsets = np.searchsorted(owner[order], np.arange(len(size) + 1)).astype(np.int32)
             columns = [
                 batch.column("uid"),
                 batch.column("doc_id"),
@@ -134,7 +142,8 @@ def signatures(rows: DataFrame, runs: int) -> DataFrame:
                 pa.array(size, pa.int32()),
                 pc.binary_length(batch.column("text")).cast(pa.int64()),
                 pa.array([x.tobytes() for x in sketch], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(path[order].view(np.int64))),
+                _lists(found[:FIRST], len(size)),
+                _lists(found[FIRST:], len(size)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -168,30 +177,35 @@ def _alike(members: DataFrame) -> DataFrame:
     return counts.groupBy("path").agg((F.sum(F.col("n") * F.col("n")) * (TOKENS // 16) / (n * n)).alias("alike"))
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """Buckets to compare: (path, blocks) with their members, (path, class, blocks)."""
-    level = classes.select(F.explode("paths").alias("path"), "class")
+def buckets(level: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Buckets to compare, with their members, (path, class, blocks), from the paths of sets (path, class, part). Buckets with
+    sets of one `part` only are left out; `sketches` are those of all classes (class, sketch)."""
     leaves = None
     for depth in range(DEPTH):
-        level = saved(level.distinct(), "paths")
-        size = level.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("members"))
+        level = saved(level, "paths")
+        size = level.groupBy("path").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+        size = saved(size.where("low < high").select("path", "n"), "buckets")
+        held = saved(level.join(size, "path"), "held")
         # Of buckets with the same members one is enough.
-        size = saved(size.where("n > 1").groupBy("n", "members").agg(F.min("path").alias("path")).select("path", "n"), "buckets")
+        same = held.groupBy("path", "n").agg(F.bit_xor(F.xxhash64("class")).alias("members")).groupBy("n", "members").agg(F.min("path").alias("path"))
+        size = saved(same.select("path", "n"), "buckets")
+        held = held.drop("n").join(size, "path")
         last = depth == DEPTH - 1
         large = size.where(F.col("n") >= SPLIT)
         some = not last and not large.isEmpty()
-        whole = size
+        whole = held
         if some:
-            held = saved(level.join(large, "path").join(classes.select("class", "sketch"), "class"), "large")
+            large = held.where(F.col("n") >= SPLIT)
+            large = saved(large.join(by_ids(sketches, saved(large.select("class").distinct(), "asked"), "left_semi"), "class"), "large")
             # How alike a bucket is only decides where its sets are compared: some 512 of them tell.
-            told = held.where(f"pmod(xxhash64(class, 9), int(ceil(n / {BLOCK}))) = 0")
+            told = large.where(f"pmod(xxhash64(class, 9), int(ceil(n / {BLOCK}))) = 0")
             split = saved(_alike(told).where(F.col("alike") < ALIKE).select("path"), "split")
-            whole = size.join(split, "path", "left_anti")
-        found = saved(level.join(whole.select("path", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "path"), "leaves")
+            whole = held.join(split, "path", "left_anti")
+        found = saved(whole.select("path", "class", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "leaves")
         leaves = found if leaves is None else leaves.unionByName(found)
         if not some:
             break
-        level = held.join(split, "path").select("path", "class", "sketch").mapInArrow(_further, "path long, class long")
+        level = large.join(split, "path").select("path", "class", "part", "sketch").mapInArrow(_further, "path long, class long, part long").distinct()
     return leaves
 
 
@@ -199,7 +213,8 @@ def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             row, path = drawn(batch.column("path").to_numpy().view(np.uint64), _sketches(batch.column("sketch")).astype(np.uint64), BRANCHES)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("class").take(pa.array(row))], ["path", "class"])
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("class").take(row), batch.column("part").take(row)], ["path", "class", "part"])
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
@@ -319,28 +334,38 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(which[some]), pa.array(links[some].astype(np.int64)), pa.array(roots[some])], names)
 
 
+def _arms(classes: DataFrame, paths: str, least: float) -> DataFrame:
+    """Stars (a, b) of classes that share a bucket along `paths` and whose embeddings agree."""
+    sketches = classes.select("class", "sketch")
+    leaves = buckets(classes.select(F.explode(F.array_distinct(paths)).alias("path"), "class", "part"), sketches)
+    asked = saved(leaves.select("class").distinct(), "asked")
+    members = leaves.join(by_ids(sketches, asked, "left_semi"), "class")
+    keyed = in_blocks(members).repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
+    return keyed.select("path", "x", "y", "class", "sketch").mapInArrow(lambda b: _compare(b, least), "a long, b long")
+
+
 def joined(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (uid, doc_id, class_id, n_links, component). `n_links` counts the other rows with a Jaccard
     similarity of at least `similarity`, copies included; `class_id` is the smallest id among the rows connected by
-    such links, so a row's own id if it has none. `uid` is the number that `anchors.numbered` stores with the row, and `component` is the
+    such links, so a row's own id if it has none. `uid` is the number that `anchors.numbered` gives the row, and `component` is the
     `uid` of one row of the class: it tells classes apart where ids repeat. A NULL id stays NULL in `doc_id` and counts as
     2^63 - 1 in `class_id`."""
     return _joined(anchors.numbered(docs, id_col, text_col), similarity, target)
 
 
 def _joined(rows: DataFrame, similarity: float, target: float) -> DataFrame:
-    """`joined` of rows (uid, doc_id, text) that are stored with their numbers."""
+    """`joined` of rows (uid, doc_id, text) with numbers that stay."""
     signed = saved(signatures(rows, runs_needed(similarity, target)), "signatures")
     classes = saved(
         signed.groupBy("low", "high", "size").agg(
-            F.min("uid").alias("class"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("bytes", "uid").alias("bytes"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+            F.min("uid").alias("class"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("bytes", "uid").alias("bytes"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"), F.first("later").alias("later")
         ),
         "classes",
     )
-    members = buckets(classes).join(classes.select("class", "sketch"), "class")
-    least = similarity - MARGIN
-    keyed = in_blocks(members).repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
-    arms = keyed.select("path", "x", "y", "class", "sketch").mapInArrow(lambda b: _compare(b, least), "a long, b long")
+    first = saved(_arms(classes.withColumn("part", F.col("class")), "paths", similarity - MARGIN), "arms")
+    known = saved(components(first).select(F.col("node").alias("class"), F.col("component").alias("part")), "first-groups")
+    rest = classes.join(known, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    arms = _arms(rest, "later", similarity - MARGIN).unionByName(known.select(F.col("class").alias("a"), F.col("part").alias("b")))
     grouped = saved(components(arms).select(F.col("node").alias("class"), "component"), "candidates")
 
     sized = grouped.join(classes.select("class", "copies", "bytes"), "class")

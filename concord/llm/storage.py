@@ -9,9 +9,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from concord.operators.locate import FILE, ROW, located
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -70,10 +72,24 @@ def crc_bucket(key: str, buckets: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % buckets, F.lit(0))
 
 
+#: Names of files that may be broadcast: some 4 MB.
+BROADCAST_FILES = 20_000
+ROW_BITS = 40
+
+
 def numbered(frame: DataFrame, column: str, name: str = "rows") -> DataFrame:
-    """A stored copy of the frame with a `column` that tells rows apart. The number is written once, with the row: Spark
-    packs files into partitions anew in every job, by the cores it has then, and a number computed again may differ."""
-    return saved(frame.withColumn(column, F.monotonically_increasing_id()), name)
+    """The frame with a `column` that tells rows apart and is the same in every job. Rows of Parquet scans are numbered by
+    file and place and stay where they are. Others are stored, with a number that is written once: Spark packs files into
+    partitions anew in every job, by the cores it has then, and a number computed again may differ. So are rows of more files
+    than may be broadcast."""
+    placed = located(frame)
+    if placed is not None:
+        files = placed.select(FILE).distinct()
+        files = saved(files.withColumn("number", F.row_number().over(Window.orderBy(FILE))), "files") if files.count() <= BROADCAST_FILES else None
+    if placed is None or files is None:
+        return saved(frame.withColumn(column, F.monotonically_increasing_id()), name)
+    number = F.shiftleft(F.col("number").cast("long"), ROW_BITS).bitwiseOR(F.col(ROW))
+    return placed.join(F.broadcast(files), FILE).select(*(F.col(f"`{c}`") for c in frame.columns), number.alias(column))
 
 
 #: Ids of eight bytes that may be broadcast: 32 MB.
