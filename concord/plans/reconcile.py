@@ -16,12 +16,16 @@ from concord.domain import Domain
 from concord.functions import canon, variance, verdict
 from concord.operators.align import HOT_ROWS, align, has_null_key, key_tally
 from concord.operators.hashview import PairColumns, Prepared, number_column, prepare, short_column
-from concord.operators.locate import FILE, ROW, fetch, located
+from concord.operators.locate import FILE, ROW, fetch, located, marks
 from concord.operators.records import record_id
 from concord.plans import contracts
 from concord.plans.summary import count_statuses, summarize
 
 
+#: Keys that do not match, up to which Spark may send them to every executor; more are shuffled.
+SENT_KEYS = 200_000
+
+
 @dataclass(frozen=True)
 class Result:
     """Lazy frames; nothing has been computed.
@@ -170,7 +174,7 @@ def rare_discrepancies(
 
     Keys and hashes alone are aligned first, and the keys that do not match everywhere are written
     to the shared folder. Only rows of those keys then take part in the comparison of fields.
-    Spark joins them by the written size: broadcast when small, shuffled otherwise. Costs a second
+    Spark joins them by their number and written size: broadcast when small, shuffled otherwise. Costs a second
     read of both sides, and spares the shuffle of every matching row's fields. The written keys
     are read again by every action on the result; `clear_written` removes them when it is done with.
     """
@@ -193,8 +197,8 @@ def late_discrepancies(
     """The discrepancies of sides that are projections or filters of Parquet scans, with values read at the very end.
 
     As in `rare_discrepancies` keys and hashes are aligned first. The keys that do not match everywhere then name the places of
-    their rows, file and row number, which are written; values are read from these places alone, whether few or many, and rows that match
-    are never shuffled with their values. Sides without places are handled as in `rare_discrepancies`.
+    their rows, file and row number, which are written as bits; values are read from these places alone, whether few or many, and rows that
+    match are never shuffled with their values. Sides without places are handled as in `rare_discrepancies`.
     `clear_written` removes what was written.
     """
     if located(source) is None or located(target) is None:
@@ -205,7 +209,7 @@ def late_discrepancies(
     def rows(side: DataFrame, own: DataFrame, null_key: DataFrame | None) -> DataFrame:
         found = own.select(*p.keys, FILE, ROW).join(keys, p.keys, "left_semi").select(FILE, ROW)
         loose = [] if null_key is None else [null_key.select(FILE, ROW)]
-        return fetch(side, stored_copy(reduce(DataFrame.unionAll, loose, found), "odd-places", folder))
+        return fetch(side, stored_copy(marks(reduce(DataFrame.unionAll, loose, found)), "odd-places", folder))
 
     q = prepare(rows(source, places.source, places.null_source), rows(target, places.target, places.null_target), domain, use_hash_column)
     return Result(domain, source, target, q, hot_rows=hot_rows).discrepancies
@@ -218,7 +222,9 @@ def _odd_keys(
     contracts.require(source, target, domain, use_hash_column)
     p = prepare(source, target, domain, use_hash_column)
     odd = align(p.thin(), hot_rows).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
-    return p, stored_copy(odd.select(*p.keys).distinct(), "odd-keys", folder)
+    keys = stored_copy(odd.select(*p.keys).distinct(), "odd-keys", folder)
+    # Spark takes files of some MB for small, but a million keys in them are not, once they are unpacked on the driver.
+    return p, keys if keys.count() <= SENT_KEYS else keys.hint("merge")
 
 
 def stored_copy(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from concord import reconcile
 from concord.operators.hashview import prepare
-from concord.operators.locate import FILE, ROW, fetch, located, lots
+from concord.operators.locate import FILE, ROW, fetch, located, lots, marks
+from concord.plans import reconcile as plans
 from concord.plans.drilldown import differing, drilldown, leaves
-from concord.plans.reconcile import clear_written, late_discrepancies
+from concord.plans.reconcile import clear_written, late_discrepancies, rare_discrepancies
 from helpers import domain, frame
 from test_align import sample
 from test_plans import exchanged, plan
@@ -136,3 +137,28 @@ def test_only_files_with_wanted_rows_are_opened(spark, stored, tmp_path):
     whole.where(F.col(FILE) == file).limit(3).select(FILE, ROW).write.parquet(path)
     assert len(fetch(stored[0], spark.read.parquet(path)).select("*").collect()) == 3
     assert lots(spark.read.parquet(path))[0].files == [file]
+
+
+def test_marks_do_not_grow_with_wanted_rows(spark, tmp_path):
+    """A driver with all locators of many lots ran out of memory; their bits are few, and one scan serves them."""
+    spark.range(700_000).withColumn("v", F.col("id") * 3).coalesce(1).write.parquet(str(tmp_path / "side"))
+    side = spark.read.parquet(str(tmp_path / "side"))
+    places = located(side).select("id", FILE, ROW)
+    for i, rule in enumerate(("id % 64 IN (0, 63) OR id % 32768 IN (1, 32767)", "id % 8 <> 5", "id = 699999", "true")):
+        path = str(tmp_path / f"marks-{i}")
+        wanted = places.where(rule).select(FILE, ROW)
+        marks(wanted.unionAll(wanted)).write.parquet(path)
+        stored = spark.read.parquet(path)
+        assert stored.count() == (1 if "=" in rule and "%" not in rule else 22)
+        got = fetch(side, stored)
+        assert plan(got).count("BroadcastHashJoin") == plan(side.join(F.broadcast(side), "id")).count("BroadcastHashJoin")
+        assert got.agg(F.count("*"), F.sum("id"), F.sum("v")).first() == side.where(rule).agg(F.count("*"), F.sum("id"), F.sum("v")).first()
+        assert got.exceptAll(side.where(rule)).isEmpty()
+
+
+def test_many_keys_are_not_sent_to_the_driver(spark, stored, monkeypatch):
+    monkeypatch.setattr(plans, "SENT_KEYS", 5)
+    rare = rare_discrepancies(*stored, domain(), hot_rows=None)
+    assert "BroadcastExchange" not in plan(rare)
+    want = reconcile(*stored, domain()).discrepancies
+    assert rare.exceptAll(want).isEmpty() and want.exceptAll(rare).isEmpty()
