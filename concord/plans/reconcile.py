@@ -223,7 +223,7 @@ def _odd_keys(
     p = prepare(source, target, domain, use_hash_column)
     odd = align(p.thin(), hot_rows).where((F.col("status") != verdict.MATCH) & ~has_null_key(p.keys))
     keys = stored_copy(odd.select(*p.keys).distinct(), "odd-keys", folder)
-    # Spark takes files of some MB for small, but a million keys in them are not, once they are unpacked on the driver.
+    # Spark takes files of some MB for small, but a million keys in them are not once the driver has unpacked them.
     return p, keys if keys.count() <= SENT_KEYS else keys.hint("merge")
 
 
