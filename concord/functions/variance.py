@@ -77,13 +77,15 @@ def same_text(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> C
 
 def variance_type(nulls: str, same: str, a_number: str, b_number: str) -> Column:
     """Kind of variance, from the number of NULLs in the pair, text equality and the two numbers."""
-    return F.expr(
-        f"""CASE WHEN {nulls} = 2 THEN '{EXACT_MATCH}'
-                 WHEN {nulls} = 1 THEN '{NULL_MISMATCH}'
-                 WHEN {same} THEN '{EXACT_MATCH}'
-                 WHEN {a_number} IS NOT NULL AND {b_number} IS NOT NULL THEN '{NUMERIC}'
-                 WHEN {nulls} = 0 THEN '{TEXT}' END"""
-    )
+    return F.expr(type_sql(nulls, same, a_number, b_number))
+
+
+def type_sql(nulls: str, same: str, a_number: str, b_number: str) -> str:
+    return f"""CASE WHEN {nulls} = 2 THEN '{EXACT_MATCH}'
+                    WHEN {nulls} = 1 THEN '{NULL_MISMATCH}'
+                    WHEN {same} THEN '{EXACT_MATCH}'
+                    WHEN {a_number} IS NOT NULL AND {b_number} IS NOT NULL THEN '{NUMERIC}'
+                    WHEN {nulls} = 0 THEN '{TEXT}' END"""
 
 
 def variance_pct(kind: str, a_number: str, b_number: str) -> Column:
@@ -91,12 +93,14 @@ def variance_pct(kind: str, a_number: str, b_number: str) -> Column:
 
     Numbers differ in percent of the source value, or of the target value when the source is zero.
     """
+    return F.expr(pct_sql(kind, a_number, b_number))
+
+
+def pct_sql(kind: str, a_number: str, b_number: str) -> str:
     base = f"abs(if({a_number} = 0, {b_number}, {a_number}))"
-    return F.expr(
-        f"""CASE {kind} WHEN '{EXACT_MATCH}' THEN 0D
-                        WHEN '{NULL_MISMATCH}' THEN 100D
-                        WHEN '{NUMERIC}' THEN if({base} = 0, 0D, abs({a_number} - {b_number}) / {base} * 100D) END"""
-    )
+    return f"""CASE {kind} WHEN '{EXACT_MATCH}' THEN 0D
+                           WHEN '{NULL_MISMATCH}' THEN 100D
+                           WHEN '{NUMERIC}' THEN if({base} = 0, 0D, abs({a_number} - {b_number}) / {base} * 100D) END"""
 
 
 def exceeds(pct: str, threshold: float) -> str:

@@ -50,6 +50,28 @@ def test_equals_domains_one_by_one(spark, hot_rows):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_sides_of_several_domains_are_aligned_once(spark):
+    def sides(*names):
+        return [(pairs.orders(spark, SF_DIR), pairs.orders_copy(spark, SF_DIR), pairs.orders_domain(n, slo_target=50.0 + i)) for i, n in enumerate(names)]
+
+    def scans(found):
+        return plan(found).split("== Initial Plan ==")[0].count(") Scan parquet")
+
+    more = scans(summaries(sides("a", "b", "c"), hot_rows=None)) - scans(summaries(sides("a"), hot_rows=None))
+    assert more <= 4  # the totals' own scans
+    df = frame(spark, [(1, Decimal(1), "a"), (2, Decimal(2), "b")])
+    swapped = df.select("id1", F.col("amount").alias("note"), F.col("note").alias("amount"))
+    two = [(df, df, domain("one")), (swapped, df, domain("two"))]
+    same(summaries(two, hot_rows=None), [reconcile(*s, hot_rows=None).summary for s in two])
+
+
+def test_fields_are_measured_without_long_generated_code(spark):
+    """As columns of their own the fields' steps made methods too long to be compiled; doubles in the counted values were normalised singly."""
+    sides = [(pairs.orders(spark, SF_DIR), pairs.orders_copy(spark, SF_DIR), pairs.orders_domain("a"))]
+    text = plan(summaries(sides, hot_rows=None))
+    assert "normalizenanandzero" not in text and "_type_3" not in text and "_pct_3" not in text
+
+
 def test_exchanges_do_not_grow_with_domains(spark):
     def exchanges(n):
         sides = [(pairs.orders(spark, SF_DIR), pairs.orders_copy(spark, SF_DIR), pairs.orders_domain(f"d{i}")) for i in range(n)]
