@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from concord.llm.storage import saved
 from concord.llm.words import Texts, chunks, gathered
 
-#: Some 200 bytes each.
-CACHED_PARTS = 500_000
+#: Some 200 bytes each, 300 MB a worker. With fewer, common parts of a large share are forgotten and encoded again and again.
+CACHED_PARTS = 1_500_000
 JOINED_PARTS = 8_000
 SALT_ROWS = 50_000
 

@@ -74,3 +74,18 @@ def test_documents(spark, odd_docs, odd_texts, monkeypatch):
 
 def test_empty(no_docs):
     assert packing.packed(no_docs, PATH, 64).count() == 0
+
+
+def test_parts_of_a_large_share_are_encoded_once(monkeypatch):
+    """A cache of 500,000 parts was emptied again and again within one worker's share."""
+    coder, seen = packing.PartTokenizer(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    def one_id_each(data, a, b):
+        seen.append(len(a))
+        return np.zeros(len(a), np.uint32), np.ones(len(a), np.int64)
+
+    monkeypatch.setattr(coder, "_joined", one_id_each)
+    monkeypatch.setattr(coder, "_single", one_id_each)
+    for at in (*range(0, 600_000, 100_000), 0):
+        coder.encode(Texts(pa.array([" ".join(f"w{i}" for i in range(at, at + 100_000))])))
+    assert sum(seen) == 600_000
